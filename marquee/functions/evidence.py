@@ -7,6 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from marquee.constants import NEGATION_PREFIXES
 
@@ -40,6 +41,6 @@ def aligned(quote: str | None, text: str | None) -> bool:
         for form in forms for hit in re.finditer(form, material))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def quote_matches(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([aligned(q, t) for q, t in zip(quote, text)], dtype="boolean")

@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 NAME_NOISE = r"[^0-9A-Za-z㐀-鿿]+"
 SPACE_EDGES = r"(?U)^\s+|\s+$"
@@ -36,14 +37,17 @@ def not_blank(value: Column | str) -> Column:
 
 
 def bigrams(value: Column | str) -> Column:
-    """Distinct two-character shingles of the folded text; the whole text when shorter."""
+    """Distinct two-character shingles of the folded text; the whole text when shorter.
+
+    The text is cut into characters once, so the work grows with its length and not its square.
+    """
     text = fold(value)
-    size = F.length(text)
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
     return (
-        F.when(size == 0, F.array().cast("array<string>"))
-        .when(size <= 2, F.array(text))
-        .otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substr(text, i, F.lit(2)))))
-    )
+        F.when(F.length(text) == 0, F.array().cast("array<string>"))
+        .when(F.length(text) <= 2, F.array(text))
+        .otherwise(F.array_distinct(F.array_compact(pairs))))
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -53,7 +57,7 @@ def jaccard(left: Column, right: Column) -> Column:
         both / (F.size(left) + F.size(right) - both))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape(values: pd.Series) -> pd.Series:
     return values.map(lambda v: html.unescape(v) if isinstance(v, str) and "&" in v else v)
 

@@ -37,7 +37,8 @@ def components(memberships: DataFrame, member: str, key: str, name: str = "compo
     contracted turn by turn; each turn's mapping is kept and the mappings are applied from the
     last, smallest one back to the first.
     """
-    pairs = memberships.select(F.col(member).alias("m"), F.col(key).alias("k"))
+    # both uses below read the written pairs, so keys are computed from their texts once
+    pairs = materialize(memberships.select(F.col(member).alias("m"), F.col(key).alias("k")))
     heads = pairs.groupBy("k").agg(F.min("m").alias("head"))
     linked = materialize(pairs.join(heads, "k").select("m", "head").distinct())
     first = linked.groupBy("m").agg(F.min("head").alias("root"))

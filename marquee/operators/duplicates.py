@@ -20,12 +20,13 @@ def duplicate_keys(obs: DataFrame, namespaced_canonical: bool = False) -> DataFr
     ip = F.col("ip_slug")
     tag = lambda kind, *value: F.concat_ws("\x1f", ip, F.lit(kind), *value)
     canonical = ([F.col("kind")] if namespaced_canonical else []) + [F.col("canonical_content_id")]
-    text = fold("text")
+    # the digest of a text without letters stands for "no text"
+    text, blank = F.sha2(fold("text"), 256), F.sha2(F.lit(""), 256)
     keys = F.array(
         tag("id", F.col("obs_id")), tag("source", F.col("source_id")), tag("hash", F.col("content_hash")),
         F.when(not_blank("canonical_content_id"), tag("canonical", *canonical)),
-        F.when(not_blank(text), tag("text", F.sha2(text, 256))))
-    return obs.select("obs_id", F.explode(F.array_compact(keys)).alias("key"))
+        F.when(F.col("_text") != blank, tag("text", F.col("_text"))))
+    return obs.withColumn("_text", text).select("obs_id", F.explode(F.array_compact(keys)).alias("key"))
 
 
 def exact_members(obs: DataFrame, namespaced_canonical: bool = False) -> DataFrame:

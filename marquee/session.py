@@ -5,8 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 
+import marquee
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# Python workers receive the few Arrow functions by value, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(marquee)
+
 # Settings the operators rely on. All of them can be changed at run time, so they are
 # applied to sessions created elsewhere as well.
 RUNTIME_CONF = {

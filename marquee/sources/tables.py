@@ -29,6 +29,12 @@ def scan(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt
     return reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small scan to all cores; a scan that already has as many splits is left alone."""
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+
+
 def bucket(df: DataFrame, column: str, day: date | str) -> DataFrame:
     """One day's rows; on a table partitioned by ``column`` only that folder is opened."""
     return df.where(F.col(column) == F.lit(str(day)).cast("date"))

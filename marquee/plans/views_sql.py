@@ -40,7 +40,7 @@ VIEWS = {
                CASE l_returnflag || l_linestatus WHEN 'AO' THEN 'sale_open' WHEN 'AF' THEN 'gift' WHEN 'RO' THEN 'reservation_open'
                     WHEN 'NO' THEN 'event_start' WHEN 'NF' THEN 'sale_close' WHEN 'RF' THEN 'announcement' END AS kind,
                'Part ' || l_partkey AS title,
-               CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate + to_hours(l_suppkey % 24) END AS at,
+               CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate + to_hours(l_suppkey % 24) END AS at_,
                CASE WHEN l_linenumber % 2 = 0 AND l_quantity > 40 THEN l_shipdate + to_hours(l_suppkey % 24) + INTERVAL 5 DAY END AS end_at,
                CASE WHEN l_linenumber % 2 <> 0 THEN l_shipdate::DATE END AS start_date,
                CASE WHEN l_linenumber % 2 <> 0 AND l_quantity > 40 THEN l_shipdate::DATE + 5 END AS end_date,
@@ -68,34 +68,34 @@ VIEWS = {
     "points": """usable AS (
         SELECT * FROM actions WHERE NOT cancelled AND NOT ended AND kind <> 'announcement'),
       own_points AS (
-        SELECT activity_id, action_id, kind, title, coalesce(at, start_date::TIMESTAMP - INTERVAL 8 HOUR) AS at, start_date FROM usable
+        SELECT activity_id, action_id, kind, title, coalesce(at_, start_date::TIMESTAMP - INTERVAL 8 HOUR) AS at_, start_date FROM usable
         UNION ALL
         SELECT activity_id, action_id || '--end', CASE kind WHEN 'reservation_open' THEN 'reservation_close' WHEN 'sale_open' THEN 'sale_close'
                ELSE 'event_end' END, title || '截止', coalesce(end_at, end_date::TIMESTAMP - INTERVAL 8 HOUR), end_date FROM usable),
       side_points AS (
         SELECT activity_id, activity_id || '--start' AS action_id, 'event_start' AS kind, title || '开始' AS title,
-               coalesce(start_at, start_date::TIMESTAMP - INTERVAL 8 HOUR) AS at, start_date FROM activities
+               coalesce(start_at, start_date::TIMESTAMP - INTERVAL 8 HOUR) AS at_, start_date FROM activities
         UNION ALL
         SELECT activity_id, activity_id || '--end', 'event_end', title || '结束', coalesce(end_at, end_date::TIMESTAMP - INTERVAL 8 HOUR), end_date FROM activities),
-      marked AS (SELECT *, kind IN ('reservation_close','sale_close','event_end') AS is_deadline FROM own_points WHERE at IS NOT NULL),
+      marked AS (SELECT *, kind IN ('reservation_close','sale_close','event_end') AS is_deadline FROM own_points WHERE at_ IS NOT NULL),
       points AS (
         SELECT * FROM marked
         UNION ALL
-        SELECT s.*, s.kind = 'event_end' FROM side_points s WHERE s.at IS NOT NULL AND NOT EXISTS (
-          SELECT 1 FROM marked m WHERE m.activity_id = s.activity_id AND m.at = s.at AND m.is_deadline = (s.kind = 'event_end')))""",
+        SELECT s.*, s.kind = 'event_end' FROM side_points s WHERE s.at_ IS NOT NULL AND NOT EXISTS (
+          SELECT 1 FROM marked m WHERE m.activity_id = s.activity_id AND m.at_ = s.at_ AND m.is_deadline = (s.kind = 'event_end')))""",
     "owners": """owners AS (
         SELECT a.activity_id, a.campaign_id FROM activities a JOIN campaigns c USING (campaign_id)
         WHERE a.status NOT IN ('ended','cancelled') AND c.status NOT IN ('ended','cancelled'))""",
     "jobs": """jobs AS (
         SELECT 'job-' || sha256(semantic_key)[1:20] AS job_id, * FROM (
           SELECT campaign_id, activity_id, action_id, CASE WHEN is_deadline THEN 'deadline' ELSE 'day_before' END AS kind,
-                 (at + INTERVAL 8 HOUR)::DATE - 1 AS due_date, at AS expected_at, start_date AS expected_date,
+                 (at_ + INTERVAL 8 HOUR)::DATE - 1 AS due_date, at_ AS expected_at, start_date AS expected_date,
                  'schedule:' || activity_id || ':' || action_id || ':' || CASE WHEN is_deadline THEN 'deadline' ELSE 'day_before' END || ':' ||
-                   strftime(at + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S+08:00') AS semantic_key,
+                   strftime(at_ + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S+08:00') AS semantic_key,
                  CASE WHEN kind = 'event_start' THEN '明天开始：' WHEN kind = 'sale_open' THEN '明天开售：' WHEN kind = 'reservation_open' THEN '明天开放预约：'
                       WHEN is_deadline THEN '明天截止：' ELSE '明天需要关注：' END || title AS summary
           FROM points JOIN owners USING (activity_id)
-          WHERE CASE WHEN start_date IS NOT NULL THEN start_date >= DATE '1998-06-01' ELSE at > TIMESTAMP '1998-06-01' END))""",
+          WHERE CASE WHEN start_date IS NOT NULL THEN start_date >= DATE '1998-06-01' ELSE at_ > TIMESTAMP '1998-06-01' END))""",
 }
 
 

@@ -188,7 +188,7 @@ def slice_posts(payloads: DataFrame, kind: str = "skland") -> DataFrame:
     caption = trim_all(F.coalesce("i.caption", F.lit("")))
     formatted = not_blank(trim_all(F.col("i.format")))
     links = F.flatten(F.transform(F.coalesce("i.linkSlice", F.array()), lambda l: F.array(l["url"], l["href"], l["link"])))
-    first = lambda *names: F.coalesce(*[F.when(not_blank(f"i.{n}") & (F.col(f"i.{n}") != "0"), F.col(f"i.{n}")) for n in names])
+    first = lambda *names: F.coalesce(*[F.when(not_blank(f"i.{n}"), F.col(f"i.{n}")) for n in names])
     rows = (rows
             .withColumn("body", F.coalesce(F.when(formatted & not_blank(body), body), F.when(caption != "", caption), spoken))
             .withColumn("text", lines(trim_all(F.coalesce("i.title", F.lit(""))), F.col("body")))

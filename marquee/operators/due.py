@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marquee import constants as C
 from marquee.functions.text import lines, not_blank
 from marquee.functions.times import display_time, iso_local, local_day
+from marquee.session import materialize
 
 CARD = ["campaign_id", "activity_id"]
 
@@ -120,7 +121,8 @@ def digest_lines(items: DataFrame, activities: DataFrame, actions: DataFrame, ve
     keys gives the text; it is written by a range-sorted job and never built in one task.
     """
     at = F.coalesce("expected_at", generated_at)
-    items = _carded(items)
+    # seven kinds of lines read the due items, so they are written once
+    items = materialize(_carded(items))
     first = items.groupBy(*CARD).agg(F.min(F.struct(at.alias("card_at"), "ip_name", "job_id")).alias("_f"), F.max("campaign_title").alias("campaign_title"))
     heads = first.select(*CARD, "campaign_title", F.col("_f.card_at").alias("card_at"), F.col("_f.ip_name").alias("ip_name"), F.col("_f.job_id").alias("card_job"))
     place = ["card_at", "ip_name", "card_job"]

@@ -16,10 +16,10 @@ FACT = ["campaign_id", "entity_id", "label", "value"]
 KEY = ["campaign_id", "entity_id", "label"]
 
 
-def _rows(df: DataFrame, entity: str, pairs: list[tuple[Column, Column]]) -> DataFrame:
-    cells = F.array(*[F.struct(label.alias("label"), value.alias("value")) for label, value in pairs])
-    return df.select("campaign_id", F.col(entity).alias("entity_id"), F.explode(cells).alias("_c")).select(
-        "campaign_id", "entity_id", "_c.label", "_c.value").where("value is not null")
+def _rows(df: DataFrame, entity: str, labels: dict[str, Column]) -> DataFrame:
+    """One row per labelled value that is known."""
+    wide = df.select("campaign_id", F.col(entity).alias("entity_id"), *[v.cast("string").alias(k) for k, v in labels.items()])
+    return wide.unpivot(["campaign_id", "entity_id"], list(labels), "label", "value").where("value is not null")
 
 
 def _text(df: DataFrame, field: str, zone: str) -> Column:
@@ -38,13 +38,11 @@ def public_facts(activities: DataFrame, actions: DataFrame, venues: DataFrame, z
     """
     def labelled(df: DataFrame, entity: str) -> DataFrame:
         fields = [f for f in C.FACT_LABELS if f in df.columns]
-        return _rows(df, entity, [(F.lit(C.FACT_LABELS[f]), _text(df, f, zone)) for f in fields])
+        return _rows(df, entity, {C.FACT_LABELS[f]: _text(df, f, zone) for f in fields})
 
-    cells = F.array(*[F.struct(F.lit(f"{C.VENUE_LABEL}:{f}").alias("label"), F.when(F.col(f) != "", F.col(f)).alias("value")) for f in C.VENUE_FACTS])
-    places = (venues.select("campaign_id", F.col("activity_id").alias("entity_id"), "venue_id", F.explode(cells).alias("_c"))
-              .where("_c.value is not null")
-              .groupBy("campaign_id", "entity_id", F.col("_c.label").alias("label"))
-              .agg(F.max(F.struct("venue_id", F.col("_c.value").alias("value"))).getField("value").alias("value")))
+    said = {f"{C.VENUE_LABEL}:{f}": F.when(F.col(f) != "", F.struct("venue_id", F.col(f).alias("value"))) for f in C.VENUE_FACTS}
+    last = venues.groupBy("campaign_id", "activity_id").agg(*[F.max(v).alias(k) for k, v in said.items()])
+    places = _rows(last, "activity_id", {k: F.col(k).getField("value") for k in said})
     return labelled(activities, "activity_id").unionByName(labelled(actions, "action_id")).unionByName(places)
 
 
@@ -58,9 +56,8 @@ def extended_facts(campaigns: DataFrame, activities: DataFrame, actions: DataFra
     flags = ["cancelled", "ended", "requires_reservation", "requires_rush"]
     base = public_facts(activities, actions, venues, zone).where(~F.col("label").isin([C.FACT_LABELS[f] for f in flags]))
     head = campaigns.select("campaign_id", F.lit("campaign").alias("entity_id"), F.lit(C.STATUS_LABEL).alias("label"), _state(F.col("status")).alias("value"))
-    names = _rows(activities, "activity_id", [(F.lit(C.ACTIVITY_LABEL), F.col("title")), (F.lit(C.STATUS_LABEL), _state(F.col("status")))])
-    items = _rows(actions, "action_id", [(F.lit(C.ITEM_LABEL), F.col("title"))] + [
-        (F.lit(C.FACT_LABELS[f]), F.initcap(F.col(f).cast("string"))) for f in flags])
+    names = _rows(activities, "activity_id", {C.ACTIVITY_LABEL: F.col("title"), C.STATUS_LABEL: _state(F.col("status"))})
+    items = _rows(actions, "action_id", {C.ITEM_LABEL: F.col("title"), **{C.FACT_LABELS[f]: F.initcap(F.col(f).cast("string")) for f in flags}})
     return reduce(DataFrame.unionByName, [base, head, names, items])
 
 
@@ -100,10 +97,10 @@ def fact_delta(current: DataFrame, baseline: DataFrame, shown: DataFrame | None
     news = rows.where("not (value <=> old_value)")
     if shown is None:
         return news
-    literal, day, clock = shown_parts(F.col("value"), F.col("public_text"))
-    seen = news.join(shown, "campaign_id").groupBy(*FACT).agg(
-        F.bool_or(literal).alias("_l"), F.bool_or(day).alias("_d"), F.bool_or(clock).alias("_c")).where("_l or (_d and _c)")
-    return news.join(seen.select(*FACT), FACT, "left_anti")
+    literal, day, clock = shown_parts(F.col("value"), F.coalesce("public_text", F.lit("")))
+    told = news.join(shown, "campaign_id", "left").withColumns({"_l": literal & F.col("public_text").isNotNull(), "_d": day, "_c": clock})
+    seen = told.groupBy(*FACT, "old_value").agg(F.bool_or("_l").alias("_l"), F.bool_or("_d").alias("_d"), F.bool_or("_c").alias("_c"))
+    return seen.where("not (_l or (_d and _c))").drop("_l", "_d", "_c")
 
 
 def described(delta: DataFrame, entities: DataFrame) -> DataFrame:
@@ -209,7 +206,7 @@ def register_candidates(accepted: DataFrame, notices: DataFrame, notice_sources:
     A stored notice of the same name that cites a member's source version or content is reused, the
     first by id; otherwise the primary post makes a new one.
     """
-    shelf = notice_sources.join(notices.select("candidate_id", "ip_slug"), "candidate_id")
+    shelf = notice_sources.select("candidate_id", "content_hash").join(notices.select("candidate_id", "ip_slug"), "candidate_id")
     by_hash = shelf.groupBy("ip_slug", "content_hash").agg(F.min("candidate_id").alias("known"))
     found = accepted.select("ip_slug", "primary_id", "content_hash").distinct().join(by_hash, ["ip_slug", "content_hash"])
     known = found.groupBy("ip_slug", "primary_id").agg(F.min("known").alias("known"))
@@ -252,7 +249,7 @@ def candidate_jobs(registered: DataFrame, jobs: DataFrame, receipts: DataFrame,
 def associate(notices: DataFrame, notice_sources: DataFrame, campaigns: DataFrame, campaign_sources: DataFrame) -> DataFrame:
     """(candidate_id, campaign_id): first campaign of the same name that cites the same source version, else the stored one."""
     live = campaigns.where("redirected_to is null").select("campaign_id", "ip_slug")
-    shelf = campaign_sources.join(live, "campaign_id").groupBy("ip_slug", "source_id", "content_hash").agg(F.min("campaign_id").alias("hit"))
+    shelf = campaign_sources.select("campaign_id", "source_id", "content_hash").join(live, "campaign_id").groupBy("ip_slug", "source_id", "content_hash").agg(F.min("campaign_id").alias("hit"))
     rows = notice_sources.select("candidate_id", "source_id", "content_hash").join(notices.select("candidate_id", "ip_slug"), "candidate_id")
     first = rows.join(shelf, ["ip_slug", "source_id", "content_hash"]).groupBy("candidate_id").agg(F.min("hit").alias("hit"))
     return notices.join(first, "candidate_id", "left").select("candidate_id", F.coalesce("hit", "campaign_id").alias("campaign_id")).where("campaign_id is not null")
@@ -302,5 +299,5 @@ def supplement_jobs(steps: DataFrame, last: DataFrame, delta: DataFrame, jobs: D
 def audit_queue(campaigns: DataFrame, campaign_sources: DataFrame, markers: DataFrame, posts: DataFrame) -> DataFrame:
     """Posts of visible campaigns to look at once more, for names without a marker: (ip_slug, obs_id)."""
     todo = campaigns.where("visible").join(markers.select("ip_slug"), "ip_slug", "left_anti").select("campaign_id", "ip_slug")
-    ids_ = campaign_sources.join(todo, "campaign_id").select("ip_slug", F.col("source_id").alias("obs_id")).distinct()
+    ids_ = campaign_sources.select("campaign_id", "source_id").join(todo, "campaign_id").select("ip_slug", F.col("source_id").alias("obs_id")).distinct()
     return ids_.join(posts.select("obs_id"), "obs_id", "left_semi")

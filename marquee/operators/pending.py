@@ -65,8 +65,9 @@ def reopen_notices(notices: DataFrame, fresh: DataFrame, notice_sources: DataFra
 
     ``fresh`` is (ip_slug, source_id, content_hash). An attached campaign is required for structured.
     """
-    hit = notice_sources.join(fresh.distinct(), ["source_id", "content_hash"]).select("candidate_id", F.col("ip_slug").alias("_ip")).distinct()
-    rows = notices.join(hit, (notices["candidate_id"] == hit["candidate_id"]) & (notices["ip_slug"] == hit["_ip"]), "left").drop(hit["candidate_id"])
+    hit = notice_sources.select("candidate_id", "source_id", "content_hash").join(fresh.distinct(), ["source_id", "content_hash"])
+    marks = hit.select("candidate_id", "ip_slug", F.col("ip_slug").alias("_ip")).distinct()
+    rows = notices.join(marks, ["candidate_id", "ip_slug"], "left")
     touched = F.col("_ip").isNotNull()
     status = F.when(touched & (F.col("n_campaigns") == 0), "pending").when(touched & F.col("campaign_id").isNotNull(), "structured").otherwise(F.col("status"))
     return rows.withColumn("status", status).withColumn(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 NAME_NOISE = r"[^0-9A-Za-z㐀-鿿]+"
+# removed by plain replacement first, which spares the pattern most of its matches
+COMMON_MARKS = [" ", "\n", ".", ","]
 SPACE_EDGES = r"(?U)^\s+|\s+$"
 
 
@@ -20,7 +22,10 @@ def col(value: Column | str) -> Column:
 
 def fold(value: Column | str) -> Column:
     """Keep ASCII letters, digits and CJK ideographs, in lower case; null counts as empty."""
-    return F.lower(F.regexp_replace(F.coalesce(col(value), F.lit("")), NAME_NOISE, ""))
+    text = F.coalesce(col(value), F.lit(""))
+    for mark in COMMON_MARKS:
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return F.lower(F.regexp_replace(text, NAME_NOISE, ""))
 
 
 def squeeze(value: Column | str) -> Column:
@@ -96,11 +101,11 @@ def contains_any(material: Column, terms: list[str]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
-def shown_parts(value: Column, text: Column) -> tuple[Column, Column, Column]:
-    """What of ``value`` a text shows: the value itself, its day, its clock time.
+def already_shown(value: Column, text: Column) -> Column:
+    """True when a reader of ``text`` has seen ``value``.
 
-    The value counts without regard to white space. An ISO value also has Chinese and ISO day forms
-    and, if it is timed, an hour and minute.
+    The value counts without regard to white space. An ISO value also counts by a Chinese or ISO
+    form of its day, together with its hour and minute if it is timed.
     """
     iso = F.regexp_extract(value, r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}))?", 0)
     day, clock = F.substring(iso, 1, 10), F.substring(iso, 12, 5)
@@ -108,13 +113,6 @@ def shown_parts(value: Column, text: Column) -> tuple[Column, Column, Column]:
     short = lambda part: F.regexp_replace(part, "^0", "")
     day_forms = [F.concat(short(month), F.lit("月"), short(dom), F.lit("日")),
                  F.concat(month, F.lit("月"), dom, F.lit("日")), day]
-    day_seen = (iso != "") & reduce(lambda a, b: a | b, [F.contains(text, form) for form in day_forms])
+    day_seen = reduce(lambda a, b: a | b, [F.contains(text, form) for form in day_forms])
     clock_seen = (clock == "") | F.contains(text, clock) | F.contains(text, short(clock))
-    safe = lambda test: F.coalesce(test, F.lit(False))
-    return safe(F.contains(squeeze(text), squeeze(value))), safe(day_seen), safe(clock_seen)
-
-
-def already_shown(value: Column, text: Column) -> Column:
-    """True when a reader of ``text`` has seen ``value``: as it is, or by its day and clock time."""
-    literal, day, clock = shown_parts(value, text)
-    return literal | (day & clock)
+    return F.coalesce(F.contains(squeeze(text), squeeze(value)) | ((iso != "") & day_seen & clock_seen), F.lit(False))

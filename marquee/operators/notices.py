@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee import constants as C
 from marquee.functions import ids
-from marquee.functions.text import excerpt, shown_parts
+from marquee.functions.text import already_shown, excerpt
 from marquee.functions.times import iso_local, local_day
 
 FACT = ["campaign_id", "entity_id", "label", "value"]
@@ -88,19 +88,18 @@ def baselines(delivered: DataFrame, stored: DataFrame, covered: DataFrame) -> Da
 
 
 def fact_delta(current: DataFrame, baseline: DataFrame, shown: DataFrame | None = None) -> DataFrame:
-    """Current facts the baseline does not hold and no sent text shows: FACT columns and old_value.
+    """Current facts the baseline does not hold and its text does not show: FACT columns and old_value.
 
-    ``shown`` is (campaign_id, public_text), normally the one text kept with a baseline. Of several
-    texts one may show the day of a value and another its hour.
+    ``shown`` is (campaign_id, public_text), the one text a baseline keeps; campaigns without one are
+    compared by value only and skip the text tests.
     """
     rows = current.join(baseline.select(*KEY, F.col("value").alias("old_value")), KEY, "left")
     news = rows.where("not (value <=> old_value)")
     if shown is None:
         return news
-    literal, day, clock = shown_parts(F.col("value"), F.coalesce("public_text", F.lit("")))
-    told = news.join(shown, "campaign_id", "left").withColumns({"_l": literal & F.col("public_text").isNotNull(), "_d": day, "_c": clock})
-    seen = told.groupBy(*FACT, "old_value").agg(F.bool_or("_l").alias("_l"), F.bool_or("_d").alias("_d"), F.bool_or("_c").alias("_c"))
-    return seen.where("not (_l or (_d and _c))").drop("_l", "_d", "_c")
+    told = news.join(shown, "campaign_id", "left")
+    unseen = F.when(F.col("public_text").isNull(), F.lit(True)).otherwise(~already_shown(F.col("value"), F.col("public_text")))
+    return told.where(unseen).drop("public_text")
 
 
 def described(delta: DataFrame, entities: DataFrame) -> DataFrame:

@@ -14,10 +14,6 @@ from marquee.functions.times import iso_local, local_day, local_midnight
 POINT = ["activity_id", "action_id", "kind", "title", "at", "start_date", "is_deadline"]
 
 
-def _with_deadline(df: DataFrame) -> DataFrame:
-    return df.withColumn("is_deadline", F.col("kind").isin(C.DEADLINE_KINDS)).select(*POINT)
-
-
 def schedule_points(activities: DataFrame, actions: DataFrame, zone: str = C.DEFAULT_ZONE) -> DataFrame:
     """All dated points: open remindable actions, their derived ends, and activity starts and ends.
 
@@ -25,20 +21,26 @@ def schedule_points(activities: DataFrame, actions: DataFrame, zone: str = C.DEF
     end is left out where a point at that instant already plays the same role.
     """
     moment = lambda at, day: F.coalesce(F.col(at), local_midnight(day, zone))
+
+    def both(df: DataFrame, first: dict[str, Column], last: dict[str, Column]) -> DataFrame:
+        """Start and end points of every row from one pass over the table."""
+        point = lambda parts: F.struct(*[parts[k].alias(k) for k in ("action_id", "kind", "title", "at", "start_date")])
+        wide = df.select("activity_id", point(first).alias("first"), point(last).alias("last"))
+        rows = wide.unpivot(["activity_id"], ["first", "last"], "side", "point").where("point.at is not null")
+        return rows.select("activity_id", "point.*").withColumn("is_deadline", F.col("kind").isin(C.DEADLINE_KINDS)).select(*POINT)
+
+    suffixed = lambda name, text: F.concat(name, F.lit(text))
     usable = actions.where(~F.coalesce("cancelled", F.lit(False)) & ~F.coalesce("ended", F.lit(False)) & F.col("kind").isin(C.REMINDABLE_KINDS))
-    starts = usable.select("activity_id", "action_id", "kind", "title", moment("at", "start_date").alias("at"), "start_date")
-    end_kind = F.when(F.col("kind") == "reservation_open", "reservation_close").when(F.col("kind") == "sale_open", "sale_close").otherwise("event_end")
-    ends = usable.select("activity_id", F.concat("action_id", F.lit("--end")).alias("action_id"), end_kind.alias("kind"),
-                         F.concat("title", F.lit(C.DEADLINE_SUFFIX)).alias("title"), moment("end_at", "end_date").alias("at"),
-                         F.col("end_date").alias("start_date"))
-    points = _with_deadline(starts.unionByName(ends).where("at is not null"))
-
-    def own(side: str, kind: str, suffix: str) -> DataFrame:
-        return activities.select("activity_id", F.concat("activity_id", F.lit("--" + side)).alias("action_id"), F.lit(kind).alias("kind"),
-                                 F.concat("title", F.lit(suffix)).alias("title"), moment(f"{side}_at", f"{side}_date").alias("at"),
-                                 F.col(f"{side}_date").alias("start_date"))
-
-    extra = _with_deadline(own("start", "event_start", C.START_SUFFIX).unionByName(own("end", "event_end", C.END_SUFFIX)).where("at is not null"))
+    closing = F.when(F.col("kind") == "reservation_open", "reservation_close").when(F.col("kind") == "sale_open", "sale_close").otherwise("event_end")
+    points = both(usable,
+                  {"action_id": F.col("action_id"), "kind": F.col("kind"), "title": F.col("title"), "at": moment("at", "start_date"), "start_date": F.col("start_date")},
+                  {"action_id": suffixed("action_id", "--end"), "kind": closing, "title": suffixed("title", C.DEADLINE_SUFFIX), "at": moment("end_at", "end_date"),
+                   "start_date": F.col("end_date")})
+    extra = both(activities,
+                 {"action_id": suffixed("activity_id", "--start"), "kind": F.lit("event_start"), "title": suffixed("title", C.START_SUFFIX),
+                  "at": moment("start_at", "start_date"), "start_date": F.col("start_date")},
+                 {"action_id": suffixed("activity_id", "--end"), "kind": F.lit("event_end"), "title": suffixed("title", C.END_SUFFIX),
+                  "at": moment("end_at", "end_date"), "start_date": F.col("end_date")})
     taken = points.select("activity_id", "at", "is_deadline")
     return points.unionByName(extra.join(taken, ["activity_id", "at", "is_deadline"], "left_anti").select(*POINT))
 

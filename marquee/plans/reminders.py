@@ -321,21 +321,22 @@ _BASE = _PUBLIC + """,
          OR (regexp_matches(dl.value, '^[0-9]{4}-01-02') AND (dl.value NOT LIKE '%T%' OR dl.value LIKE '%T09:00%'))))"""
 
 
-def _baseline(t: Tables) -> DataFrame:
-    rows = _extended(t).join(t.campaigns().select("campaign_id", "custkey"), "campaign_id").where((F.col("custkey") % 4 != 0) & ~F.col("label").isin("时间", "事项", "已取消"))
+def _baseline(t: Tables, snapshot: DataFrame) -> DataFrame:
+    rows = snapshot.join(t.campaigns().select("campaign_id", "custkey"), "campaign_id").where((F.col("custkey") % 4 != 0) & ~F.col("label").isin("时间", "事项", "已取消"))
     value = F.when(F.col("label") == "规则", "before").when(F.col("label") == "状态", "ended").otherwise(F.col("value"))
     rows = rows.withColumn("value", value).withColumn("receipt_id", F.concat(F.lit("rc-"), "campaign_id"))
     return notices.baselines(rows.where("custkey % 2 = 0"), rows, rows.withColumn("value", F.lit("never used")))
 
 
-def _delta(t: Tables, base: DataFrame | None = None) -> DataFrame:
+def _delta(t: Tables, snapshot: DataFrame, base: DataFrame) -> DataFrame:
     shown = t.campaigns().where("custkey % 4 = 1").select("campaign_id", F.lit("seen Part 1 1998年 1月2日 09:00").alias("public_text"))
-    return notices.fact_delta(_extended(t), _baseline(t) if base is None else base, shown)
+    return notices.fact_delta(snapshot, base, shown)
 
 
 @query("notice_delta", sql(*_NOTICE, body=_BASE + " SELECT * FROM delta"))
 def notice_delta(t: Tables) -> DataFrame:
-    return _delta(t)
+    snapshot = materialize(_extended(t))
+    return _delta(t, snapshot, _baseline(t, snapshot))
 
 
 def _titles(t: Tables) -> DataFrame:
@@ -359,15 +360,17 @@ _LINES = _BASE + """,
 @query("notice_lines", sql(*_NOTICE, body=_LINES + """
     SELECT campaign_id, entity_id, entity_title AS title, label, CASE WHEN label IN ('活动','事项') THEN NULL WHEN old_value IS NOT NULL AND label NOT IN ('状态','已取消','已结束') THEN old_value || ' → ' || w ELSE w END AS display FROM wordy"""))
 def notice_lines(t: Tables) -> DataFrame:
-    return notices.described(_delta(t), _titles(t)).select("campaign_id", "entity_id", "title", "label", "display")
+    snapshot = materialize(_extended(t))
+    return notices.described(_delta(t, snapshot, _baseline(t, snapshot)), _titles(t)).select("campaign_id", "entity_id", "title", "label", "display")
 
 
 @query("notice_jobs", sql(*_NOTICE, body=_LINES + """, b AS (SELECT DISTINCT campaign_id FROM told), s AS (SELECT DISTINCT campaign_id FROM once)
     SELECT c.campaign_id, CASE WHEN b.campaign_id IS NULL THEN 'announcement' ELSE 'update' END AS kind, CASE WHEN b.campaign_id IS NOT NULL THEN '活动更新' WHEN s.campaign_id IS NOT NULL THEN '新联动' ELSE '新联动：详情待公布' END AS summary
     FROM campaigns c LEFT JOIN b USING (campaign_id) LEFT JOIN s USING (campaign_id) WHERE b.campaign_id IS NULL OR s.campaign_id IS NOT NULL"""))
 def notice_jobs(t: Tables) -> DataFrame:
-    base, snapshot = _baseline(t), _extended(t)
-    lines = notices.described(_delta(t, base), _titles(t))
+    snapshot = materialize(_extended(t))
+    base = materialize(_baseline(t, snapshot))
+    lines = notices.described(_delta(t, snapshot, base), _titles(t))
     sent = t.campaigns().select(F.col("campaign_id").alias("job_id"))
     return notices.campaign_jobs(t.campaigns().select("campaign_id"), snapshot, base, lines, sent, t.now).select("campaign_id", "kind", "summary")
 

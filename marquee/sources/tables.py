@@ -8,22 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OBSERVATION = T.StructType.fromDDL("""
+OBSERVATION = """
     obs_id STRING, source_id STRING, kind STRING, url STRING, account_name STRING, account_id STRING,
     canonical_content_id STRING, is_official BOOLEAN, published_at TIMESTAMP, first_seen_at TIMESTAMP,
     updated_at TIMESTAMP, content_hash STRING, excerpt STRING, summary STRING, text STRING,
     media_urls ARRAY<STRING>, media_hashes ARRAY<STRING>, media_text ARRAY<STRING>, outbound_urls ARRAY<STRING>,
-    ip_slug STRING""")
-JOB = T.StructType.fromDDL("""
+    ip_slug STRING"""
+JOB = """
     job_id STRING, campaign_id STRING, candidate_id STRING, activity_id STRING, action_id STRING, change_id STRING,
     kind STRING, due_date DATE, expected_at TIMESTAMP, expected_date DATE, semantic_key STRING, summary STRING,
-    campaign_notice BOOLEAN""")
-RECEIPT = T.StructType.fromDDL("""
+    campaign_notice BOOLEAN"""
+RECEIPT = """
     job_id STRING, candidate_id STRING, semantic_key STRING, sent_at TIMESTAMP, delivery_day DATE, channel STRING,
-    public_text STRING, campaign_id STRING""")
+    public_text STRING, campaign_id STRING"""
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
+def scan(spark: SparkSession, path: str, schema: T.StructType | str | None = None, fmt: str = "parquet") -> DataFrame:
     """Read a table; with a schema nothing is inferred and filters and columns reach the files."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
     return reader.format(fmt).load(path)

@@ -34,7 +34,7 @@ def daily_tally(posts: DataFrame, time: str, by: list[str]) -> DataFrame:
         F.date_format("w.start", "yyyy-MM-dd").alias("day"), *by, "n")
 
 
-VERSION = T.StructType.fromDDL("obs_id STRING, content_hash STRING, first_seen_at TIMESTAMP, updated_at TIMESTAMP, change STRING")
+VERSION = "obs_id STRING, content_hash STRING, first_seen_at TIMESTAMP, updated_at TIMESTAMP, change STRING"
 
 
 class _Versions(StatefulProcessor):
@@ -58,7 +58,7 @@ class _Versions(StatefulProcessor):
             out.append((key[0], *old, change))
         if out:
             self.seen.update(old)
-            frame = pd.DataFrame(out, columns=VERSION.fieldNames())
+            frame = pd.DataFrame(out, columns=["obs_id", "content_hash", "first_seen_at", "updated_at", "change"])
             for name in ("first_seen_at", "updated_at"):
                 frame[name] = pd.to_datetime(frame[name])
             yield frame
@@ -85,9 +85,10 @@ def drain(df: DataFrame, folder: str, output_mode: str = "append") -> None:
     query.awaitTermination()
 
 
-def drained(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+def drained(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
     """Rows written by :func:`drain`, with the number of their batch."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/rows")
+    full = f"{schema}, batch BIGINT" if isinstance(schema, str) else T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    return spark.read.schema(full).parquet(f"{folder}/rows")
 
 
 def latest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -174,14 +174,14 @@ def extra_accounts(t: Tables) -> DataFrame:
 def page_material(t: Tables) -> DataFrame:
     """Visible text, pictures and links of every page."""
     m = F.col("m")
-    return t.raw("pages").select("page_id", pages.page_material("html").alias("m")).select(
+    return tables.spread(t.raw("pages"), "page_id").select("page_id", pages.page_material("html").alias("m")).select(
         "page_id", m["text"].alias("text"), F.array_join(m["images"], " ").alias("images"), F.array_join(m["links"], " ").alias("links"))
 
 
 @query("page_paragraphs")
 def page_paragraphs(t: Tables) -> DataFrame:
     """The same pages read in paragraphs-only mode."""
-    return t.raw("pages").select("page_id", pages.page_material("html", paragraphs_only=True)["text"].alias("text"))
+    return tables.spread(t.raw("pages"), "page_id").select("page_id", pages.page_material("html", paragraphs_only=True)["text"].alias("text"))
 
 
 def _landed(df: DataFrame, payload) -> DataFrame:

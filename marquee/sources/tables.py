@@ -29,10 +29,10 @@ def scan(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return reader.format(fmt).load(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, key: str) -> DataFrame:
     """Deal the rows of a small scan to all cores; a scan that already has as many splits is left alone."""
     width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(width) if df.rdd.getNumPartitions() < width else df
+    return df.repartition(width, key) if df.rdd.getNumPartitions() < width else df
 
 
 def bucket(df: DataFrame, column: str, day: date | str) -> DataFrame:
@@ -59,8 +59,8 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: Column | Non
     """
     last = incoming
     if order is not None:
-        place = F.struct(order.alias("o"), F.struct(*incoming.columns).alias("row"))
-        last = incoming.groupBy(F.col(key).alias("_k")).agg(F.max(place).alias("_m")).select("_m.row.*")
+        row = F.struct(*incoming.columns)
+        last = incoming.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, order).alias("_m")).select("_m.*")
     return stored.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 

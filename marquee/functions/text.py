@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -41,25 +42,28 @@ def not_blank(value: Column | str) -> Column:
     return F.coalesce(F.length(col(value)) > 0, F.lit(False))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def bigrams(value: Column | str) -> Column:
     """Distinct two-character shingles of the folded text; the whole text when shorter.
 
-    The text is cut into characters once, so the work grows with its length and not its square.
+    The text is folded and cut into characters once, so the work grows with its length.
     """
-    text = fold(value)
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda a, b: F.concat(a, b))
-    return (
-        F.when(F.length(text) == 0, F.array().cast("array<string>"))
-        .when(F.length(text) <= 2, F.array(text))
-        .otherwise(F.array_distinct(F.array_compact(pairs))))
+    pairs = lambda chars: F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.concat(a, b))
+    shingles = lambda chars: (
+        F.when(F.size(chars) == 0, F.array().cast("array<string>"))
+        .when(F.size(chars) <= 2, F.array(F.array_join(chars, "")))
+        .otherwise(F.array_distinct(F.array_compact(pairs(chars)))))
+    return bound(F.filter(F.split(fold(value), ""), lambda c: c != ""), shingles)
 
 
 def jaccard(left: Column, right: Column) -> Column:
     """Shared share of two shingle sets, 0 when either side is empty."""
-    both = F.size(F.array_intersect(left, right))
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), F.lit(0.0)).otherwise(
-        both / (F.size(left) + F.size(right) - both))
+    ratio = lambda a, b, both: F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(both / (F.size(a) + F.size(b) - both))
+    return bound(left, lambda a: bound(right, lambda b: bound(F.size(F.array_intersect(a, b)), lambda both: ratio(a, b, both))))
 
 
 @F.pandas_udf(StringType())
@@ -96,11 +100,6 @@ def lines(*parts: Column) -> Column:
     return F.concat_ws("\n", *[F.when(not_blank(p), p) for p in parts])
 
 
-def contains_any(material: Column, terms: list[str]) -> Column:
-    tests = [F.contains(material, F.lit(t.lower())) for t in terms]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
 def already_shown(value: Column, text: Column) -> Column:
     """True when a reader of ``text`` has seen ``value``.
 

@@ -83,14 +83,15 @@ def pair_verdicts(pairs: DataFrame, obs: DataFrame) -> DataFrame:
     """Compare the given pairs (left_id, right_id) of posts. Never builds pairs itself."""
     both = (pairs.join(_pair_side(obs, "left_id", "l"), "left_id").join(_pair_side(obs, "right_id", "r"), "right_id"))
     l, r = F.col("l"), F.col("r")
-    text = fold(l["text"])
-    return both.select("left_id", "right_id", *verdict(
+    both = both.withColumn("_media", F.arrays_overlap(l["media"], r["media"])).withColumn("_text", fold(l["text"]) == fold(r["text"]))
+    # shingles are cut only for pairs that share a medium and are not copies
+    close = both.withColumn("_near", F.when(F.col("_media") & ~F.col("_text"), jaccard(bigrams(l["text"]), bigrams(r["text"]))).otherwise(F.lit(0.0)))
+    return close.select("left_id", "right_id", *verdict(
         (l["obs_id"] == r["obs_id"]) | (l["source_id"] == r["source_id"]),
         not_blank(l["canonical_content_id"]) & (l["canonical_content_id"] == r["canonical_content_id"]),
         l["content_hash"] == r["content_hash"],
-        not_blank(text) & (text == fold(r["text"])),
-        F.arrays_overlap(l["urls"], r["urls"]), F.arrays_overlap(l["media"], r["media"]),
-        jaccard(bigrams(l["text"]), bigrams(r["text"]))))
+        F.col("_text") & not_blank(fold(l["text"])),
+        F.arrays_overlap(l["urls"], r["urls"]), F.col("_media"), F.col("_near")))
 
 
 def material_tokens(obs: DataFrame) -> DataFrame:

@@ -138,8 +138,8 @@ def _sent(j: DataFrame) -> DataFrame:
 _WATCHED = [f"ip-{i}" for i in range(1, 9)]
 
 
-def _due(t: Tables, again: bool = False) -> tuple[DataFrame, DataFrame]:
-    j = _job_table(t)
+def _due(t: Tables, again: bool = False, j: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    j = _job_table(t) if j is None else j
     return due.collect_due(j, _sent(j), points(t), t.activities(), t.campaigns(), F.lit(_DAY).cast("date"), instant("1998-06-20 03:00:00"),
                            watched=_WATCHED, include_delivered=again)
 
@@ -210,20 +210,21 @@ def digest_lines(t: Tables) -> DataFrame:
     return rows.groupBy("card_job", big("section").alias("section"), "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _frozen(t: Tables) -> DataFrame:
-    items = materialize(_due(t)[0])
+def _frozen(t: Tables, j: DataFrame) -> DataFrame:
+    items = materialize(_due(t, j=j)[0])
     yesterday = items.select("job_id", "candidate_id", "campaign_id", "campaign_notice", "semantic_key").withColumn("delivery_day", F.lit("1998-06-19").cast("date"))
     return due.freeze_day(items, yesterday, F.lit(_DAY).cast("date"))
 
 
 @query("frozen_day", sql(*_JOBS, body=_DUE + " SELECT job_id, '1998-06-20' AS day FROM items"))
 def frozen_day(t: Tables) -> DataFrame:
-    return _frozen(t).select("job_id", day_text("delivery_day").alias("day"))
+    return _frozen(t, _job_table(t)).select("job_id", day_text("delivery_day").alias("day"))
 
 
 @query("day_receipts", sql(*_JOBS, body=_DUE + " SELECT job_id, CASE WHEN job_id LIKE 'notice-%' THEN campaign_id END AS campaign_id, 'email' AS channel FROM items UNION ALL SELECT 'daily-digest-1998-06-20', NULL, 'email'"))
 def day_receipts(t: Tables) -> DataFrame:
-    return due.day_receipts(_frozen(t), _sent(_job_table(t)), instant("1998-06-20 13:00:00"), F.lit(_DAY).cast("date")).select("job_id", "campaign_id", "channel")
+    j = _job_table(t)
+    return due.day_receipts(_frozen(t, j), _sent(j), instant("1998-06-20 13:00:00"), F.lit(_DAY).cast("date")).select("job_id", "campaign_id", "channel")
 
 
 @query("send_gate", sql(body="SELECT count(*) FILTER (WHERE source IN ('src1','src2'))::BIGINT AS n_pending, count(*) FILTER (WHERE source IN ('src1','src2')) = 0 AS ready FROM documents"))

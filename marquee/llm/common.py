@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,27 @@ def arrow_map(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
+def with_result(docs: DataFrame, name: str, kind: str, make: Callable[[], Callable[[list[str | None]], pa.Array]], keep: list[str] | None = None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (all of them by default) and ``name``, computed from the whole ``text`` of every row.
+
+    ``make`` runs once in a task and gives the function from texts to results. The other columns pass by untouched, whatever
+    their names; one that is called ``name`` itself is an error.
+    """
+    keep = docs.columns if keep is None else keep
+    if name in keep:
+        raise ValueError(f"column {name} exists")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("row"), work(part.column("text").to_pylist())], names=["row", "result"])
+
+    done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, result {kind}")
+    return done.select("row.*", F.col("result").alias(name))
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold ``most`` bytes at most; a longer text comes alone."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
@@ -54,3 +76,31 @@ def crc_mod(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % k
+
+
+class Remembered:
+    """Ids of units (words with their space, say), computed once for all their occurrences while a task remembers them."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
+        self.encode, self.most = encode, most
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def __call__(self, units: list[list[str]]) -> list[np.ndarray]:
+        """The ids of every list of units."""
+        flat = [u for doc in units for u in doc]
+        if len(self.known) > self.most:
+            self.forget()
+        if fresh := [u for u in dict.fromkeys(flat) if u not in self.known]:
+            ids, lens = self.encode(fresh)
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+            self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
+        row = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        size, begin = self.lens[row], (np.cumsum(self.lens) - self.lens)[row]
+        upto = np.cumsum(size)
+        ids = self.ids[np.repeat(begin - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        cuts = np.r_[0, upto][np.cumsum([0, *map(len, units)])].tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import decontaminate, simhash
+import public_tokenizers
+from marquee.llm import decontaminate, languages, pieces, simhash, token_store
+from marquee.llm.common import crc_mod
 from marquee.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +37,26 @@ def op8_simhash(table) -> DataFrame:
 def op4_decontaminate(table) -> DataFrame:
     """Words of all documents inside 10-word windows of benchmark items."""
     return decontaminate.report(table("documents"), table("benchmark"))
+
+
+@query
+def op2_sentencepiece(table) -> DataFrame:
+    """Ids of all documents by merge rounds, and the texts decoded from them."""
+    found = pieces.encode_decode(table("documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op6_token_store(table) -> DataFrame:
+    """All documents' ids written as directly addressable codes and read back."""
+    return token_store.index(token_store.write(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2))
+
+
+@query
+def op3_language(table) -> DataFrame:
+    """Language of all documents, learned from two thirds of them."""
+    docs = table("documents")
+    held_out = crc_mod("doc_id", 3) == 1
+    found = languages.identify(docs, languages.fit(docs, ~held_out), keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))

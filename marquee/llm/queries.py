@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from marquee.llm import decontaminate, languages, pieces, simhash, token_store
+from marquee.llm import decontaminate, languages, personal_data, pieces, simhash, token_store
 from marquee.llm.common import crc_mod
 from marquee.session import prepare
 
@@ -60,3 +60,16 @@ def op3_language(table) -> DataFrame:
     held_out = crc_mod("doc_id", 3) == 1
     found = languages.identify(docs, languages.fit(docs, ~held_out), keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+@query
+def op10_personal_data(table) -> DataFrame:
+    """Personal data in all documents: counts and digest of the patterns' spans, and all spans with those that the tagger adds.
+
+    The counts and ``base_sha256`` are of the patterns' spans; ``n_added`` counts the tagger's.
+    """
+    docs = table("documents")
+    found = personal_data.detect(docs, personal_data.fit(docs), keep=["doc_id"])
+    counts = [F.size(F.filter("personal.base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(F.expr(personal_data.listed("personal.base")), 256).alias("base_sha256"),
+                        F.expr(personal_data.listed("concat(personal.base, personal.added)")).alias("spans"), F.size("personal.added").cast("bigint").alias("n_added"))

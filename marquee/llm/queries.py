@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from marquee.llm import decontaminate, languages, personal_data, pieces, simhash, token_store
+from marquee.llm import decontaminate, languages, personal_data, pieces, simhash, token_store, toxicity
 from marquee.llm.common import crc_mod
 from marquee.session import prepare
 
@@ -73,3 +73,14 @@ def op10_personal_data(table) -> DataFrame:
     counts = [F.size(F.filter("personal.base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
     return found.select("doc_id", *counts, F.sha2(F.expr(personal_data.listed("personal.base")), 256).alias("base_sha256"),
                         F.expr(personal_data.listed("concat(personal.base, personal.added)")).alias("spans"), F.size("personal.added").cast("bigint").alias("n_added"))
+
+
+@query
+def op7_toxicity(table) -> DataFrame:
+    """Toxicity of all documents, learned from four fifths of the labelled ones."""
+    docs, labels = table("documents"), table("labels")
+    held_out = crc_mod("doc_id", 5) == 0
+    marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    machine = toxicity.fit(docs, marks.where(~held_out))
+    found = toxicity.score(docs, machine, keep=["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))

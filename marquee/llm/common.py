@@ -38,7 +38,8 @@ def arrow_map(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict
     return df.mapInArrow(run, schema)
 
 
-def with_result(docs: DataFrame, name: str, kind: str, make: Callable[[], Callable[[list[str | None]], pa.Array]], keep: list[str] | None = None) -> DataFrame:
+def with_result(docs: DataFrame, name: str, kind: str, make: Callable[[], Callable[[list[str | None]], pa.Array]], keep: list[str] | None = None,
+                text: str = "text") -> DataFrame:
     """Columns ``keep`` of ``docs`` (all of them by default) and ``name``, computed from the whole ``text`` of every row.
 
     ``make`` runs once in a task and gives the function from texts to results. The other columns pass by untouched, whatever
@@ -47,7 +48,7 @@ def with_result(docs: DataFrame, name: str, kind: str, make: Callable[[], Callab
     keep = docs.columns if keep is None else keep
     if name in keep:
         raise ValueError(f"column {name} exists")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from marquee.llm import decontaminate, languages, personal_data, pieces, simhash, token_store, toxicity
+from marquee.llm import decontaminate, languages, personal_data, pieces, quartile_digest, simhash, token_store, toxicity, url_filter
 from marquee.llm.common import crc_mod
 from marquee.session import prepare
 
@@ -84,3 +84,19 @@ def op7_toxicity(table) -> DataFrame:
     machine = toxicity.fit(docs, marks.where(~held_out))
     found = toxicity.score(docs, machine, keep=["doc_id"])
     return found.select("doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op9_quartile_digest(table) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, with their likeness to these and to the next documents."""
+    return quartile_digest.compare_edited(table("documents"))
+
+
+# The rules of the query (verdict, host, path).
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op5_url_filter(table) -> DataFrame:
+    """Verdicts on the URLs of all pages, by rules and by trees that learn from the rules."""
+    return url_filter.judge(table("pages"), URL_RULES)

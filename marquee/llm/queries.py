@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from marquee.llm import decontaminate, languages, personal_data, pieces, quartile_digest, simhash, token_store, toxicity, url_filter
+from marquee.llm import decontaminate, languages, personal_data, pieces, quartile_digest, simhash, token_counts, token_store, toxicity, url_filter
 from marquee.llm.common import crc_mod
 from marquee.session import prepare
 
@@ -100,3 +100,10 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 def op5_url_filter(table) -> DataFrame:
     """Verdicts on the URLs of all pages, by rules and by trees that learn from the rules."""
     return url_filter.judge(table("pages"), URL_RULES)
+
+
+@query
+def op1_token_counts(table) -> DataFrame:
+    """Pre-tokens and tokens of all documents under a unigram model."""
+    found = token_counts.counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return found.select("doc_id", F.col("counts.pre_tokens").alias("n_pre_tokens"), F.col("counts.tokens").alias("n_tokens"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,27 +80,34 @@ def crc_mod(doc_id: Column | str, k: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % k
 
 
+class Numbering(dict):
+    """Numbers keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Remembered:
     """Ids of units (words with their space, say), computed once for all their occurrences while a task remembers them."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbering()
         self.ids, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
     def __call__(self, units: list[list[str]]) -> list[np.ndarray]:
         """The ids of every list of units."""
-        flat = [u for doc in units for u in doc]
         if len(self.known) > self.most:
             self.forget()
-        if fresh := [u for u in dict.fromkeys(flat) if u not in self.known]:
+        before = len(self.known)
+        row = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, sum(map(len, units)))
+        if fresh := list(islice(self.known, before, None)):
             ids, lens = self.encode(fresh)
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
             self.ids, self.lens = np.concatenate([self.ids, ids]), np.concatenate([self.lens, lens])
-        row = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         size, begin = self.lens[row], (np.cumsum(self.lens) - self.lens)[row]
         upto = np.cumsum(size)
         ids = self.ids[np.repeat(begin - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]

@@ -108,4 +108,4 @@ def report(docs: DataFrame, items: DataFrame, width: int = 10, shingle: int = 5)
 def clean(docs: DataFrame, items: DataFrame, width: int = 10, shingle: int = 5) -> DataFrame:
     """``docs`` without the rows that hold a benchmark window."""
     bad = stage(hits(docs, items, width, shingle).where("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(docs["text"]) == bad["_h"]), "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -20,6 +21,10 @@ from marquee.llm.common import Remembered, slices, stage
 MAGIC = b"DAC1"
 #: Bits of a chunk, and bits of a bitmap for each entry of its rank directory.
 CHUNK, RANKED = 8, 512
+#: Marks the unit that begins a text. No other unit begins with it: all others begin with a visible character, their space left out.
+BARE = "\n"
+#: Units that are encoded as one text.
+SIDE_BY_SIDE = 5_000
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 1 << 18
 
@@ -102,6 +107,7 @@ class TextEncoder:
     """
 
     def __init__(self, model: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_str(model)
@@ -112,19 +118,45 @@ class TextEncoder:
         # a special token with a space inside, or one that takes spaces from around it, would not survive the cut
         if any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in plan.get("added_tokens", [])):
             self.cut = None
+        vocabulary = self.model.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(self.model.get_vocab_size(), np.int64)  # bytes of each token: a byte-level piece has a character for each
+        for piece, i in vocabulary.items():
+            self.lengths[i] = len(piece)
+        for t in plan.get("added_tokens", []):
+            self.lengths[t["id"]] = len(t["content"].encode())
         self.units = Remembered(self._encode)
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.model.encode_batch_fast(units, add_special_tokens=False)]
-        return np.array([i for ids in found for i in ids], np.int32), np.array([len(ids) for ids in found], np.int64)
+        """Ids of distinct units. Those with a space before them are encoded side by side as one text, and told apart by the tokens' bytes."""
+        out, sizes = [], np.zeros(len(units), np.int64)
+        alone = [i for i, u in enumerate(units) if u[0] == BARE]
+        for i, got in zip(alone, self.model.encode_batch_fast([units[i][1:] for i in alone], add_special_tokens=False), strict=True):
+            out.append((np.array([i]), np.array(got.ids, np.int64)))
+            sizes[i] = len(got.ids)
+        spaced = np.setdiff1d(np.arange(len(units)), alone)
+        for k in range(0, len(spaced), SIDE_BY_SIDE):
+            some = spaced[k:k + SIDE_BY_SIDE]
+            texts = [" " + units[i] for i in some.tolist()]
+            ids = np.array(self.model.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.cumsum([len(t.encode()) for t in texts])
+            upto = np.searchsorted(np.cumsum(self.lengths[ids]), ends, side="right")
+            sizes[some] = np.diff(np.r_[0, upto])
+            out.append((some, ids))
+        flat = np.zeros(int(sizes.sum()), np.int32)
+        begin = np.cumsum(sizes) - sizes
+        for some, ids in out:
+            n = sizes[some]
+            flat[np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
+        return flat, sizes
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.cut is None:
             return [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         units = []
         for t in texts:
-            first, *rest = self.cut.split(t or "")
-            units.append(([first] if first else []) + [" " + r for r in rest])
+            parts = self.cut.split(t or "")
+            parts[0] = BARE + parts[0]
+            units.append(parts if len(parts[0]) > 1 else parts[1:])
         return self.units(units)
 
 

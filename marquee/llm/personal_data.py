@@ -26,7 +26,9 @@ TRIGGER = re.compile(r"[0-9@](?:[^\n]{0,8}[0-9@])*")
 WINDOW, STEP = 64, 32
 #: Documents with a digit or @ that training reads (expected number; all where there are fewer), and windows it takes from one of them.
 TRAIN_DOCS, TRAIN_WINDOWS = 2500, 3
-HIDDEN, EMBED, EPOCHS, BATCH, RATE = 20, 10, 6, 64, 0.01
+HIDDEN, EMBED, UPDATES, BATCH, RATE = 20, 10, 250, 64, 0.01
+#: Pairs of windows that are set side by side, for each window with a span.
+PAIRS = 3
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 
 
@@ -201,13 +203,13 @@ class Tagger:
         np.add.at(grads["embed"], symbols.T, dx)
         return float((log_z - gold).mean()), {k: g / n for k, g in grads.items()}
 
-    def train(self, symbols: np.ndarray, tags: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> float:
-        """Adam over the windows; the mean loss of the last epoch."""
-        rng, step, mean = np.random.default_rng(seed), 0, 0.0
+    def train(self, symbols: np.ndarray, tags: np.ndarray, updates: int = UPDATES, seed: int = 7) -> float:
+        """Adam over shuffled windows, pass after pass up to ``updates`` steps; the mean loss of the last pass."""
+        rng, step, losses = np.random.default_rng(seed), 0, []
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
-        for _ in range(epochs):
+        while len(symbols) and step < updates:
             order, losses = rng.permutation(len(symbols)), []
-            for k in range(0, len(order), BATCH):
+            for k in range(0, len(order), BATCH)[:updates - step]:
                 some = order[k:k + BATCH]
                 loss, grads = self.loss(symbols[some], tags[some])
                 losses.append(loss)
@@ -217,8 +219,7 @@ class Tagger:
                     m[name] = 0.9 * m[name] + 0.1 * g / norm
                     v[name] = 0.999 * v[name] + 0.001 * (g / norm) ** 2
                     self.p[name] -= RATE * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
-            mean = float(np.mean(losses)) if losses else 0.0
-        return mean
+        return float(np.mean(losses)) if losses else 0.0
 
     def decode(self, symbols: np.ndarray) -> np.ndarray:
         """The best tags of every window, by Viterbi."""
@@ -245,8 +246,8 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
     """Train on windows around the base spans of about ``train_docs`` documents, taken by a hash of their text.
 
-    The labels are the base spans. Half of the windows are also set side by side in pairs, cut at their spans, so that spans that
-    touch are learned, which the patterns run together. None if the corpus has no span.
+    The labels are the base spans. Windows are also set side by side in pairs, cut at their spans, so that spans that touch are
+    learned, which the patterns run together. None if the corpus has no span.
     """
     rows = docs.where(F.col("text").rlike("[0-9@]")).select("text")
     n = rows.count()
@@ -268,10 +269,12 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
     x, y = (np.array(got.column(k).to_pylist(), np.int64).reshape(-1, WINDOW) for k in ("symbols", "tags"))
     if not y.any():
         return None
+    whole = lambda rows: ~((rows[:, 0] > 0) & (rows[:, 0] % 2 == 0))  # noqa: E731  a window that begins inside a span has no valid path
+    x, y = x[whole(y)], y[whole(y)]
     rng = np.random.default_rng(11)
     spanned = np.flatnonzero((y > 0).any(axis=1))
     glued_x, glued_y = [], []
-    for a, b in zip(rng.permutation(spanned), rng.permutation(spanned), strict=True):
+    for a, b in zip(np.concatenate([rng.permutation(spanned) for _ in range(PAIRS)]), np.concatenate([rng.permutation(spanned) for _ in range(PAIRS)]), strict=True):
         end = int(np.flatnonzero(y[a] > 0)[0])
         while end < WINDOW and y[a][end] > 0:
             end += 1
@@ -279,13 +282,11 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
         gap = [_symbols(" ")[0]]
         glued_x.append(np.concatenate([x[a][:end], gap, x[b][begin:], np.zeros(WINDOW, np.int64)])[max(0, end - 40):][:WINDOW])
         glued_y.append(np.concatenate([y[a][:end], [0], y[b][begin:], np.zeros(WINDOW, np.int64)])[max(0, end - 40):][:WINDOW])
-    ys = np.array(glued_y)
-    lone = (ys[:, 0] > 0) & (ys[:, 0] % 2 == 0)
-    keep = ~lone
-    x, y = np.concatenate([x, np.array(glued_x)[keep]]), np.concatenate([y, ys[keep]])
-    whole = ~((y[:, 0] > 0) & (y[:, 0] % 2 == 0))  # a window that begins inside a span has no valid path
     tagger = Tagger()
-    tagger.train(x[whole], y[whole])
+    if glued_y:
+        more_x, more_y = np.array(glued_x), np.array(glued_y)
+        x, y = np.concatenate([x, more_x[whole(more_y)]]), np.concatenate([y, more_y[whole(more_y)]])
+    tagger.train(x, y)
     return tagger
 
 

@@ -87,7 +87,7 @@ def op10_personal_data(table) -> DataFrame:
     """
     docs = table("documents")
     found = personal_data.detect(docs, personal_data.fit(docs), keep=["doc_id"])
-    counts = [F.size(F.filter("personal.base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    counts = [F.expr(f"cast(size(filter(personal.base, s -> s.kind = {k})) AS bigint)").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
     return found.select("doc_id", *counts, F.sha2(F.expr(personal_data.listed("personal.base")), 256).alias("base_sha256"),
                         F.expr(personal_data.listed("concat(personal.base, personal.added)")).alias("spans"), F.size("personal.added").cast("bigint").alias("n_added"))
 

@@ -83,25 +83,16 @@ def squeezed_fields(names: list[str]) -> list[Column]:
     return [squeeze(F.col(n).cast("string")).alias(n) for n in sorted(names)]
 
 
-def set_digest(df: DataFrame, keys: list[str], item: Column, *, size: int, sep: str = UNIT, tail_column: str | None = None,
-               exact_limit: int = 10_000, name: str = "set_id", plain: bool = False) -> DataFrame:
-    """One digest per key over the sorted items of its rows.
-
-    Groups of at most ``exact_limit`` items are joined in order and hashed as one text. A larger
-    group never becomes one row: its items are hashed one by one and folded with xor and sums,
-    which combine map-side, so its digest is equally stable but of a different kind. ``plain``
-    returns the joined text itself for groups within the limit.
+def set_digest(df: DataFrame, keys: list[str], item: Column, *, size: int, tail_column: str | None = None, name: str = "set_id") -> DataFrame:
+    """One digest per key over the distinct items of its rows, by one rule for sets of any size.
+
+    The SHA-256 of every item is cut into four numbers of 60 bits; their sums and the number of items are hashed, with the tail if
+    there is one. Sums combine map-side and need no order, so a set never becomes one row, and repeats do not count.
     """
-    rows = df.select(*keys, item.cast("string").alias("_item"))
-    hashed = F.xxhash64("_item")
-    hashed2 = F.xxhash64(F.lit("second"), F.col("_item"))
-    totals = rows.groupBy(*keys).agg(
-        F.count("_item").alias("_n"),
-        F.bit_xor(hashed).alias("_x"), F.bit_xor(hashed2).alias("_y"))
-    marked = rows.join(totals.where(F.col("_n") <= exact_limit).select(*keys), keys, "left_semi")
-    tail = F.lit("") if tail_column is None else F.col(tail_column)
-    text = F.concat(F.array_join(F.array_sort(F.collect_list("_item")), sep), tail)
-    exact = marked.groupBy(*keys).agg((text if plain else digest(text, size)).alias(name))
-    folded = totals.where(F.col("_n") > exact_limit).select(
-        *keys, digest(F.concat(F.concat_ws(":", "_n", "_x", "_y"), tail), size).alias(name))
-    return exact.unionByName(folded)
+    rows = df.select(*keys, item.cast("string").alias("_item")).where("_item is not null").distinct().withColumn("_h", F.sha2("_item", 256))
+    part = lambda i: F.conv(F.substring("_h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")
+    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(part(i)).alias(f"_s{i}") for i in range(4)])
+    text = F.concat_ws(":", "_n", *[F.col(f"_s{i}").cast("string") for i in range(4)])
+    if tail_column is not None:
+        text = F.concat(text, F.col(tail_column))
+    return totals.select(*keys, digest(text, size).alias(name))

@@ -136,7 +136,7 @@ def campaign_jobs(campaign_ids: DataFrame, snapshot: DataFrame, baseline: DataFr
     base = baseline.groupBy("campaign_id").agg(F.max("receipt_id").alias("receipt_id"))
     speaks = lines.select("campaign_id").distinct().withColumn("_said", F.lit(True))
     fact = F.to_json(F.struct(F.concat_ws(":", "entity_id", "label").alias("key"), "value"))
-    state = ids.set_digest(snapshot, ["campaign_id"], fact, size=64, sep=",", name="state")
+    state = ids.set_digest(snapshot, ["campaign_id"], fact, size=64, name="state")
     rows = (campaign_ids.join(state, "campaign_id").join(base, "campaign_id", "left").join(speaks, "campaign_id", "left")
             .where("receipt_id is null or _said"))
     key = F.concat(F.lit("notice-"), ids.digest(F.to_json(F.array("campaign_id", F.coalesce("receipt_id", F.lit("")), "state")), 24))
@@ -285,7 +285,7 @@ def supplement_jobs(steps: DataFrame, last: DataFrame, delta: DataFrame, jobs: D
     """
     first = steps.where("step = 'supplement'").groupBy("campaign_id").agg(F.min("candidate_id").alias("candidate_id"))
     fact = F.concat(F.concat_ws(":", "entity_id", "label"), F.lit("="), F.col("value"))
-    marks = ids.set_digest(delta, ["campaign_id"], fact, size=64, name="news", plain=True)
+    marks = ids.set_digest(delta, ["campaign_id"], fact, size=64, name="news")
     rows = first.join(last, "campaign_id").join(marks, "campaign_id")
     rows = rows.withColumn("job_id", ids.candidate_key("candidate_id", "receipt_id", "news"))
     unsent = jobs.where("kind = 'update'").join(receipts.select("job_id"), "job_id", "left_anti").join(links.select("candidate_id", F.col("campaign_id").alias("_c")), "candidate_id")

@@ -41,9 +41,7 @@ def work_items(pending_posts: DataFrame, posts: DataFrame) -> DataFrame:
 
 
 def pending_ids(groups: DataFrame) -> DataFrame:
-    """Work id of every group over its member ids in order, as they are: (primary_id, pending_id).
-
-    ``groups`` has primary_id and obs_id; members are joined in id order.
+    """Work id of every group over the set of its members: (primary_id, pending_id). ``groups`` has primary_id and obs_id.
     """
     marks = ids.set_digest(groups, ["primary_id"], F.col("obs_id"), size=20, name="mark")
     return marks.select("primary_id", F.concat(F.lit("pending-ai-"), "mark").alias("pending_id"))
@@ -75,9 +73,9 @@ def reopen_notices(notices: DataFrame, fresh: DataFrame, notice_sources: DataFra
 
 
 def batch_signatures(members: DataFrame, by: str = "batch_id") -> DataFrame:
-    """Signature of a batch over its sorted (post, content hash) pairs."""
+    """Signature of a batch over the set of its (post, content hash) pairs."""
     pair = F.concat(F.lit('["'), F.col("obs_id"), F.lit('", "'), F.col("content_hash"), F.lit('"]'))
-    return ids.set_digest(members, [by], pair, size=64, sep=", ", name="signature")
+    return ids.set_digest(members, [by], pair, size=64, name="signature")
 
 
 def open_groups(routes: DataFrame, signatures: DataFrame, completed: DataFrame) -> DataFrame:

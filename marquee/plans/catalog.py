@@ -29,3 +29,9 @@ def query(name: str, check: str | None = None) -> Callable:
         return work
 
     return register
+
+
+def set_sql(item: str, size: int, tail: str = "''") -> str:
+    """DuckDB aggregate that states :func:`marquee.functions.ids.set_digest` over the distinct items of a group."""
+    sums = ", ".join(f"sum(DISTINCT CAST('0x' || substr(sha256({item}), {1 + 15 * i}, 15) AS BIGINT))" for i in range(4))
+    return f"substr(sha256(concat_ws(':', count(DISTINCT {item}), {sums}) || {tail}), 1, {size})"

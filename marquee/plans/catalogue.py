@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marquee.functions import ids
 from marquee.functions.times import instant
 from marquee.operators import additions, assembly, consolidation, facts, matching, merging
-from marquee.plans.catalog import query
+from marquee.plans.catalog import query, set_sql
 from marquee.plans.material import big, stamp
 from marquee.plans.stand_ins import Tables
 from marquee.plans.views_sql import sql
@@ -107,8 +107,8 @@ def undated_claims(t: Tables) -> DataFrame:
     return assembly.undated_claims(acts, assembly.draft_actions(acts), assembly.claims_of(ex))
 
 
-@query("new_campaign_ids", sql("posts", body="""g AS (SELECT ip_slug || '-' || account_id AS campaign_id, string_agg(obs_id, chr(31) ORDER BY obs_id) AS seed FROM posts GROUP BY 1)
-    SELECT campaign_id || '-' || sha256(seed || 'phrase ' || campaign_id)[1:8] AS campaign_id FROM g"""))
+@query("new_campaign_ids", sql("posts", body=f"""g AS (SELECT *, ip_slug || '-' || account_id AS c FROM posts)
+    SELECT c || '-' || {set_sql("obs_id", 8, "'phrase ' || c")} AS campaign_id FROM g GROUP BY c"""))
 def new_campaign_ids(t: Tables) -> DataFrame:
     members = t.posts().select(F.concat_ws("-", "ip_slug", "account_id").alias("campaign_id"), "obs_id")
     return assembly.new_campaign_id(members.select("campaign_id").distinct(), members, F.concat(F.lit("phrase "), "campaign_id"))
@@ -281,7 +281,7 @@ def source_union(t: Tables) -> DataFrame:
     return merging.union_sources(old, new).select("campaign_id", "source_id", "summary", "added")
 
 
-@query("source_changes", "WITH " + _SRC + """, gained AS (SELECT campaign_id, string_agg(source_id, '-' ORDER BY source_id) AS s FROM (SELECT * FROM new EXCEPT SELECT * FROM old) GROUP BY 1)
+@query("source_changes", "WITH " + _SRC + """, gained AS (SELECT campaign_id, """ + set_sql("source_id", 64) + """ AS s FROM (SELECT * FROM new EXCEPT SELECT * FROM old) GROUP BY 1)
     SELECT campaign_id, campaign_id || ':source-added-' || s AS semantic_key, 'source_added' AS kind FROM gained""")
 def source_changes(t: Tables) -> DataFrame:
     gained = _sources(t, "o_orderkey % 3 = 0").join(_sources(t, "o_orderkey % 2 = 0"), ["campaign_id", "source_id"], "left_anti")

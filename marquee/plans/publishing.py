@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.times import instant
 from marquee.operators import pending, review, screening, views
-from marquee.plans.catalog import query
+from marquee.plans.catalog import query, set_sql
 from marquee.plans.catalogue import extractions
 from marquee.plans.material import big, day_text, stamp
 from marquee.plans.reminders import points
@@ -195,7 +195,7 @@ def work_items(t: Tables) -> DataFrame:
     return pending.work_items(wanted, p).select("ip_slug", "obs_id", "content_hash")
 
 
-@query("work_ids", sql("posts", body="SELECT ip_slug || '/' || account_id AS primary_id, 'pending-ai-' || sha256(string_agg(obs_id, chr(31) ORDER BY obs_id))[1:20] AS pending_id FROM posts GROUP BY 1"))
+@query("work_ids", sql("posts", body=f"SELECT ip_slug || '/' || account_id AS primary_id, 'pending-ai-' || {set_sql('obs_id', 20)} AS pending_id FROM posts GROUP BY 1"))
 def work_ids(t: Tables) -> DataFrame:
     return pending.pending_ids(t.posts().select(F.concat_ws("/", "ip_slug", "account_id").alias("primary_id"), "obs_id"))
 
@@ -224,7 +224,7 @@ def _batches(t: Tables) -> DataFrame:
 
 
 _SIG = """b AS (SELECT 'b-' || (doc_id // 24) AS batch_id, '["' || obs_id || '", "' || content_hash || '"]' AS item, * FROM posts),
-    sg AS (SELECT batch_id, sha256(string_agg(item, ', ' ORDER BY item)) AS signature FROM b GROUP BY 1)"""
+    sg AS (SELECT batch_id, """ + set_sql("item", 64) + """ AS signature FROM b GROUP BY 1)"""
 
 
 @query("batch_signatures", sql("posts", body=_SIG + " SELECT * FROM sg"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.times import instant
 from marquee.operators import due, notices, schedule
-from marquee.plans.catalog import query
+from marquee.plans.catalog import query, set_sql
 from marquee.plans.material import big, day_text, stamp
 from marquee.plans.stand_ins import Tables
 from marquee.plans.views_sql import sql
@@ -493,7 +493,7 @@ def candidate_steps(t: Tables) -> DataFrame:
 
 
 @query("supplement_jobs", "WITH " + _STEP + """
-    SELECT 'candidate-' || sha256(min(candidate_id) || chr(31) || 'rc-' || campaign_id || chr(31) || 'e:规则=v')[1:24] AS job_id, campaign_id FROM st WHERE step = 'supplement' GROUP BY campaign_id""")
+    SELECT 'candidate-' || sha256(min(candidate_id) || chr(31) || 'rc-' || campaign_id || chr(31) || (SELECT """ + set_sql("x", 64) + """ FROM (SELECT 'e:规则=v' AS x)))[1:24] AS job_id, campaign_id FROM st WHERE step = 'supplement' GROUP BY campaign_id""")
 def supplement_jobs(t: Tables) -> DataFrame:
     steps, links, sent, queued, delta = _steps(t)
     last = links.select("campaign_id").distinct().withColumn("receipt_id", F.concat(F.lit("rc-"), "campaign_id"))

@@ -92,9 +92,14 @@ def test_times(spark):
     assert one(spark, times.nested_time_ok(F.struct(F.lit("2026-02-30").alias("date"), F.lit(None).cast("string").alias("time"), F.lit("Asia/Shanghai").alias("timezone")))) is False
 
 
-def test_set_digest_beyond_its_limit(spark):
-    rows = spark.range(40).selectExpr("id % 2 AS k", "cast(id AS string) AS v")
-    whole = {r["k"]: r["set_id"] for r in set_digest(rows, ["k"], F.col("v"), size=20).collect()}
-    folded = {r["k"]: r["set_id"] for r in set_digest(rows, ["k"], F.col("v"), size=20, exact_limit=5).collect()}
-    again = {r["k"]: r["set_id"] for r in set_digest(rows.orderBy(F.desc("v")), ["k"], F.col("v"), size=20, exact_limit=5).collect()}
-    assert folded == again and len(set(folded.values())) == 2 and not set(whole.values()) & set(folded.values())
+def test_set_digest_has_one_rule_for_all_sizes(spark):
+    import hashlib
+
+    def by_hand(items):
+        marks = [hashlib.sha256(x.encode()).hexdigest() for x in set(items)]
+        sums = [sum(int(m[15 * i:15 * i + 15], 16) for m in marks) for i in range(4)]
+        return hashlib.sha256(":".join(map(str, [len(marks), *sums])).encode()).hexdigest()[:20]
+
+    rows = spark.range(30_010).selectExpr("if(id < 30000, 'large', 'small') AS k", "cast(id AS string) AS v")
+    got = {r["k"]: r["set_id"] for r in set_digest(rows.unionByName(rows.limit(500)), ["k"], F.col("v"), size=20).collect()}
+    assert got == {"large": by_hand(map(str, range(30_000))), "small": by_hand(map(str, range(30_000, 30_010)))}

@@ -1,44 +1,93 @@
-"""Does a quote occur in its source? Row-level check after an equi-join on the cited post."""
+"""Does a quote occur in its source? Row-level check after an equi-join on the cited post.
+
+A text is laid out once: its letters as one string, with the place of each. A quote is then found by plain search of its letters,
+and what lies between them is compared gap by gap, so the work grows with the length of the text.
+"""
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from marquee.constants import NEGATION_PREFIXES
+from marquee.constants import LOOSE_QUOTE_CHARS, NEGATION_PREFIXES, QUOTE_MARKS
+
+_SAME_MARK = {ord(c): plain for plain, marks in QUOTE_MARKS.items() for c in marks}
+
+
+@lru_cache(maxsize=4096)
+def _mark(c: str) -> bool:
+    return unicodedata.category(c).startswith("P")
+
+
+@dataclass
+class _Layout:
+    """A text without white space: its letters in a row, and where each stands."""
 
-_QUOTE_MARKS = str.maketrans("“”「」『』‘’", "\"\"\"\"\"\"''")
-_LOOSE = r"[^\w\s]*"
+    whole: str
+    letters: str
+    places: list[int]
 
+    @classmethod
+    def of(cls, text: str) -> _Layout:
+        whole = "".join(unicodedata.normalize("NFKC", text).split()).translate(_SAME_MARK)
+        places = [i for i, c in enumerate(whole) if c.isalnum() or c == "_"]
+        return cls(whole, "".join(whole[i] for i in places), places)
 
-def _compact(text: str) -> str:
-    return re.sub(r"\s+", "", unicodedata.normalize("NFKC", text)).translate(_QUOTE_MARKS)
+    def gap(self, k: int) -> str:
+        """What stands before letter ``k``, back to the letter before it; the last gap ends the text."""
+        start = self.places[k - 1] + 1 if k else 0
+        return self.whole[start:self.places[k] if k < len(self.places) else len(self.whole)]
 
 
-def _is_punctuation(char: str) -> bool:
-    return unicodedata.category(char)[0] == "P"
+def _follows(gap: str, wanted: str, loose: bool) -> bool:
+    """May ``gap`` stand for ``wanted``? Punctuation is free where the quote has some, or everywhere in a long quote; other signs must be there, in order."""
+    if gap == wanted:
+        return True
+    if not loose and not any(map(_mark, wanted)):
+        return False
+    rest = iter(gap)
+    return all(c in rest for c in wanted if not _mark(c))
+
+
+def _places(text: str, part: str) -> Iterator[int]:
+    at = text.find(part)
+    while at >= 0:
+        yield at
+        at = text.find(part, at + 1)
+
+
+def _affirmed(whole: str, start: int) -> bool:
+    return not start or whole[start - 1] not in NEGATION_PREFIXES
 
 
 def aligned(quote: str | None, text: str | None) -> bool:
-    """Letters must agree; punctuation may differ within a small budget; a negation in front voids it."""
+    """Letters must agree; punctuation may differ within a small budget; a negation in front voids it. A quote without a letter is no evidence."""
     if not quote or not text:
         return False
-    wanted, material = _compact(quote), _compact(text)
-    if not any(map(str.isalnum, wanted)):
+    q = _Layout.of(quote)
+    if not any(map(str.isalnum, q.letters)):
+        return False
+    t = _Layout.of(text)
+    if any(_affirmed(t.whole, at) for at in _places(t.whole, q.whole)):
+        return True
+    # an underscore of the quote is punctuation, one of the text is a letter: such a quote can only occur as it is
+    if "_" in q.letters:
         return False
-    slack = max(2, len(wanted) // 10)
-    solid = [re.escape(c) for c in wanted if not _is_punctuation(c)]
-    forms = [re.escape(wanted), "".join(_LOOSE if _is_punctuation(c) else re.escape(c) for c in wanted)]
-    if len(wanted) >= 8:
-        forms.append(_LOOSE.join(solid))
-    return any(
-        abs(hit.end() - hit.start() - len(wanted)) <= slack
-        and not (hit.start() and material[hit.start() - 1] in NEGATION_PREFIXES)
-        for form in forms for hit in re.finditer(form, material))
+    n, budget, loose = len(q.letters), max(2, len(q.whole) // 10), len(q.whole) >= LOOSE_QUOTE_CHARS
+    head, tail = ("".join(c for c in q.gap(k) if not _mark(c)) for k in (0, n))
+    inner = q.places[-1] + 1 - q.places[0] + len(head) + len(tail)
+    for at in _places(t.letters, q.letters):
+        start, end = t.places[at] - len(head), t.places[at + n - 1] + 1 + len(tail)
+        if (abs(end - start - inner) <= budget and start >= 0 and t.whole[start:t.places[at]] == head and t.whole[end - len(tail):end] == tail
+                and _affirmed(t.whole, start) and all(_follows(t.gap(at + k), q.gap(k), loose) for k in range(1, n))):
+            return True
+    return False
 
 
 @F.pandas_udf(BooleanType())

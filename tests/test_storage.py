@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marquee.functions.times import instant
 from marquee.plans.stand_ins import Tables
 from marquee.sources import feeds, pages, registry, sinks, tables
-from marquee.sources.pages import _read
+from marquee.sources.pages import read_page
 from marquee.streaming import intake as streams
 
 
@@ -49,12 +49,12 @@ def test_views_refuse_secrets(spark, tmp_path):
     ("x<iframe><p>y</iframe>z", "xz", [], []),
 ])
 def test_pages(markup, text, images, links):
-    assert _read(markup, False, "https://") == (text, images, links)
+    assert read_page(markup, False, "https://") == (text, images, links)
 
 
 def test_paragraph_mode(spark):
     markup = "<div>skip<p>keep <img src='https://web.hycdn.cn/upload/image/a'><img src='https://o.org/b'></p>skip<h2>head</h2></div>"
-    assert _read(markup, True, "https://web.hycdn.cn/upload/image/") == ("keep\nhead", ["https://web.hycdn.cn/upload/image/a"], [])
+    assert read_page(markup, True, "https://web.hycdn.cn/upload/image/") == ("keep\nhead", ["https://web.hycdn.cn/upload/image/a"], [])
     assert spark.createDataFrame([(markup,), (None,)], "h STRING").select(pages.page_material("h")["text"]).count() == 2
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee import constants as C
 from marquee.functions.evidence import quote_matches
+from marquee.session import materialize
 
 
 def _scope(parts: Column) -> Column:
@@ -31,22 +32,27 @@ def judge_updates(updates: DataFrame, facts: DataFrame, posts: DataFrame, entiti
     updates:  group_id, campaign_id, field_path, value, obs_id, quote
     facts:    campaign_id, field_path, value, published_at (null without provenance)
     posts:    obs_id, source_id, content_hash, published_at, text
-    entities: campaign_id, entity_id of existing activities, actions and venues
+    entities: campaign_id, entity_id of existing activities, actions and venues, and with parent_id (null or empty for activities)
+      the activity that an action or venue belongs to, which a nested target must name
     campaign_sources (optional): campaign_id, published_at; guards values without provenance
 
-    ``group_ok`` is false on all rows of a group that holds one rejected row: groups apply as a
-    whole. One call is one run, in which a field may be proposed once, so stored facts and
-    proposals meet in a plain join.
+    ``group_ok`` is false on all rows of a group that holds one rejected row: groups apply as a whole. Every group is judged against
+    the stored facts; an end that would lie before its start rejects it. Of the groups of one run that change the same field the one
+    with the newest cited post is applied and the others are older, or same if they say the same; different values of the newest
+    moment reject their groups.
     """
     parts = F.split("field_path", r"\.")
     rows = updates.withColumn("_parts", parts).withColumn("_scope", _scope(F.col("_parts"))).withColumn(
         "_entity", F.when(F.size("_parts") > 1, F.element_at("_parts", -2))).withColumn("_field", F.element_at("_parts", -1))
     repeated = updates.groupBy("group_id", "campaign_id", "field_path").agg((F.count(F.lit(1)) > 1).alias("_repeated"))
     cited = posts.select("obs_id", "source_id", "content_hash", F.col("published_at").alias("cited_at"), F.col("text").alias("_text"))
-    known = entities.select("campaign_id", F.col("entity_id").alias("_entity")).distinct().withColumn("_known", F.lit(True))
+    nested = "parent_id" in entities.columns
+    inside = F.coalesce("parent_id", F.lit("")) if nested else F.lit("")
+    known = entities.select("campaign_id", F.col("entity_id").alias("_entity"), inside.alias("_parent")).distinct().withColumn("_known", F.lit(True))
+    rows = rows.withColumn("_parent", F.when((F.size("_parts") == 5) & F.lit(nested), F.try_element_at("_parts", F.lit(2))).otherwise(""))
     stored = facts.select("campaign_id", "field_path", F.col("value").alias("old_value"), F.col("published_at").alias("_proven_at"))
     rows = (rows.join(repeated, ["group_id", "campaign_id", "field_path"]).join(cited, "obs_id", "left")
-            .join(known, ["campaign_id", "_entity"], "left").join(stored, ["campaign_id", "field_path"], "left"))
+            .join(known, ["campaign_id", "_entity", "_parent"], "left").join(stored, ["campaign_id", "field_path"], "left"))
     newest = F.lit(None).cast("timestamp")
     if campaign_sources is not None:
         rows = rows.join(campaign_sources.groupBy("campaign_id").agg(F.max("published_at").alias("_newest")), "campaign_id", "left")
@@ -64,15 +70,62 @@ def judge_updates(updates: DataFrame, facts: DataFrame, posts: DataFrame, entiti
         .when(~_editable(F.col("_scope"), F.col("_field")), "field is not editable")
         .when(~status_ok, "only explicit official status is editable")
         .when(F.col("old_value").isNotNull() & F.col("_proven_at").isNull() & (F.col("cited_at") < newest), "older conflicting fact without provenance")
-        .when(~same & proven & (F.col("cited_at") == F.col("_proven_at")), "same-time conflicting evidence requires review"))
+        .when(~same & proven & (F.col("cited_at") == F.col("_proven_at")), C.SAME_TIME_CONFLICT))
     outcome = (F.when(F.col("problem").isNotNull(), "rejected").when(same, "same")
                .when(proven & (F.col("cited_at") < F.col("_proven_at")), "older").otherwise("applied"))
-    judged = rows.withColumn("problem", problem).withColumn("outcome", outcome).select(
-        *updates.columns, "source_id", "content_hash", "cited_at", "old_value", "problem", "outcome")
+    judged = materialize(rows.withColumn("problem", problem).withColumn("outcome", outcome).select(
+        *updates.columns, "source_id", "content_hash", "cited_at", "old_value", "problem", "outcome"))
+    turned = _turned_intervals(judged, facts)
+    judged = judged.join(turned, ["group_id", "campaign_id", "field_path"], "left").withColumn(
+        "problem", F.coalesce("problem", "_turned")).withColumn("outcome", F.when(F.col("_turned").isNotNull(), "rejected").otherwise(F.col("outcome"))).drop("_turned")
+    return _one_per_field(_with_groups(judged))
+
+
+def _with_groups(judged: DataFrame) -> DataFrame:
     ok = judged.groupBy("group_id").agg(F.bool_and(F.col("problem").isNull()).alias("group_ok"))
     return judged.join(ok, "group_id")
 
 
+def _turned_intervals(judged: DataFrame, facts: DataFrame) -> DataFrame:
+    """Updates after which an end would lie before its start: (group_id, campaign_id, field_path, _turned).
+
+    Proposed and stored bounds of the entities that a group touches meet in one aggregation; what is proposed goes before what is stored.
+    """
+    split = lambda df: df.withColumns({"_field": F.regexp_extract("field_path", r"([^.]+)$", 1), "_entity": F.regexp_extract("field_path", r"^(.*?)[^.]+$", 1)}).where(
+        F.col("_field").isin(C.INTERVAL_FIELDS))
+    new = split(judged.where("outcome = 'applied'")).select("group_id", "campaign_id", "_entity", "_field", "field_path", F.col("value").alias("_new"))
+    old = split(facts).select("campaign_id", "_entity", "_field", F.col("value").alias("_old"))
+    touched = new.select("group_id", "campaign_id", "_entity").distinct()
+    both = new.select("group_id", "campaign_id", "_entity", "_field", "_new", F.lit(None).cast("string").alias("_old")).unionByName(
+        touched.join(old, ["campaign_id", "_entity"]).select("group_id", "campaign_id", "_entity", "_field", F.lit(None).cast("string").alias("_new"), "_old"))
+    pick = lambda f: F.coalesce(F.max(F.when(F.col("_field") == f, F.col("_new"))), F.max(F.when(F.col("_field") == f, F.col("_old"))))
+    bounds = both.groupBy("group_id", "campaign_id", "_entity").agg(*[pick(f).alias(f"_{f}") for f in C.INTERVAL_FIELDS])
+    at = lambda f: F.try_to_timestamp(F.col(f"_{f}"))
+    bad = (F.when(at("end_date") < at("start_date"), "end date precedes start date")
+           .when((at("end_at") < at("start_at")) | (at("end_at") < at("at")), "end precedes start"))
+    return bounds.withColumn("_turned", bad).where("_turned is not null").join(new, ["group_id", "campaign_id", "_entity"]).select(
+        "group_id", "campaign_id", "field_path", "_turned")
+
+
+def _one_per_field(judged: DataFrame) -> DataFrame:
+    """Settle fields that several groups of the run change, so that each keeps one value."""
+    key = ["campaign_id", "field_path"]
+    judged = materialize(judged)
+    live = judged.where("group_ok and outcome = 'applied'")
+    moments = live.groupBy(*key, "cited_at").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    newest = moments.groupBy(*key).agg(F.max(F.struct("cited_at", "_lo", "_hi")).alias("_n"))
+    tied = newest.where("_n._lo <> _n._hi").select(*key, F.col("_n.cited_at").alias("_tied_at"))
+    live_row = F.col("group_ok") & (F.col("outcome") == "applied")
+    rows = judged.join(tied, key, "left").withColumn("_tie", F.coalesce(live_row & (F.col("cited_at") == F.col("_tied_at")), F.lit(False)))
+    rows = rows.withColumn("problem", F.when(F.col("_tie"), C.SAME_TIME_CONFLICT).otherwise(F.col("problem"))).withColumn(
+        "outcome", F.when(F.col("_tie"), "rejected").otherwise(F.col("outcome"))).drop("_tie", "_tied_at", "group_ok")
+    rows = _with_groups(rows)
+    winner = rows.where(live_row).groupBy(*key).agg(F.max(F.struct("cited_at", "group_id", "value")).alias("_w"))
+    rows = rows.join(winner, key, "left")
+    beaten = live_row & (F.col("group_id") != F.col("_w.group_id"))
+    return rows.withColumn("outcome", F.when(beaten & (F.col("value") == F.col("_w.value")), "same").when(beaten, "older").otherwise(F.col("outcome"))).drop("_w")
+
+
 def apply_updates(facts: DataFrame, judged: DataFrame) -> DataFrame:
     """Stored facts after the accepted groups; an unchanged value keeps its old provenance."""
     new = judged.where("group_ok and outcome = 'applied'").select(

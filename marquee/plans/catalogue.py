@@ -396,21 +396,27 @@ def open_reviews(t: Tables) -> DataFrame:
 # --- facts --------------------------------------------------------------------------------------
 
 _FACT = """u AS (SELECT event_id, 'g-' || (event_id // 5) AS group_id, 'camp-' || user_id AS campaign_id, 'activities.' || event_type || '.' || CASE WHEN event_id % 41 = 0 THEN 'ghost' ELSE 'rules' END AS field_path,
-      CASE WHEN event_id % 43 <> 0 THEN floor(value)::BIGINT::VARCHAR END AS value, 'post-' || event_id AS obs_id, CASE WHEN event_id % 47 = 0 THEN 'absent' ELSE 'value ' || floor(value)::BIGINT END AS quote, ts AS cited_at FROM events WHERE event_id % 3 = 0),
+      CASE WHEN event_id % 43 <> 0 THEN floor(value)::BIGINT::VARCHAR END AS value, 'post-' || event_id AS obs_id, CASE WHEN event_id % 47 = 0 THEN 'absent' ELSE 'value ' || floor(value)::BIGINT END AS quote, ts AS cited_at FROM events WHERE event_id % 3 <> 1),
     st AS (SELECT 'camp-' || user_id AS campaign_id, 'activities.' || event_type || '.rules' AS field_path, arg_max(floor(value)::BIGINT::VARCHAR, ts) AS old_value, max(ts) AS proven FROM events WHERE event_id % 3 = 1 GROUP BY ALL),
     ju AS (SELECT u.*, old_value, CASE WHEN count(*) OVER (PARTITION BY group_id, campaign_id, field_path) > 1 THEN 'duplicate field operation' WHEN quote = 'absent' THEN 'fact must cite supplied original text'
         WHEN value IS NULL THEN 'null is not a deletion instruction' WHEN field_path LIKE '%.ghost' THEN 'field is not editable'
         WHEN old_value IS NOT NULL AND value <> old_value AND cited_at = proven THEN 'same-time conflicting evidence requires review' END AS problem,
         proven FROM u LEFT JOIN st USING (campaign_id, field_path)),
-    judged AS (SELECT *, CASE WHEN problem IS NOT NULL THEN 'rejected' WHEN value = old_value THEN 'same' WHEN old_value IS NOT NULL AND cited_at < proven THEN 'older' ELSE 'applied' END AS outcome,
-        bool_and(problem IS NULL) OVER (PARTITION BY group_id) AS group_ok FROM ju)"""
+    j1 AS (SELECT * EXCLUDE (problem), problem AS p1, CASE WHEN problem IS NOT NULL THEN 'rejected' WHEN value = old_value THEN 'same' WHEN old_value IS NOT NULL AND cited_at < proven THEN 'older' ELSE 'applied' END AS o1,
+        bool_and(problem IS NULL) OVER (PARTITION BY group_id) AS g1 FROM ju),
+    j2 AS (SELECT *, coalesce(g1 AND o1 = 'applied' AND cited_at = max(cited_at) FILTER (WHERE g1 AND o1 = 'applied') OVER (PARTITION BY campaign_id, field_path), false) AS at_top FROM j1),
+    j3 AS (SELECT *, coalesce(at_top AND min(value) FILTER (WHERE at_top) OVER (PARTITION BY campaign_id, field_path) <> max(value) FILTER (WHERE at_top) OVER (PARTITION BY campaign_id, field_path), false) AS tie FROM j2),
+    j4 AS (SELECT *, g1 AND NOT bool_or(tie) OVER (PARTITION BY group_id) AS group_ok FROM j3),
+    j5 AS (SELECT *, max({'c': cited_at, 'g': group_id, 'v': value}) FILTER (WHERE group_ok AND o1 = 'applied') OVER (PARTITION BY campaign_id, field_path) AS w FROM j4),
+    judged AS (SELECT *, CASE WHEN tie THEN 'same-time conflicting evidence requires review' ELSE p1 END AS problem,
+        CASE WHEN tie THEN 'rejected' WHEN group_ok AND o1 = 'applied' AND group_id <> w.g THEN CASE WHEN value = w.v THEN 'same' ELSE 'older' END ELSE o1 END AS outcome FROM j5)"""
 
 
 def _judged(t: Tables) -> tuple[DataFrame, DataFrame]:
     e = t.raw("events")
     n, text = F.col("event_id"), F.floor("value").cast("bigint").cast("string")
     camp = F.concat(F.lit("camp-"), F.col("user_id").cast("string"))
-    updates = e.where("event_id % 3 = 0").select(
+    updates = e.where("event_id % 3 <> 1").select(
         F.concat(F.lit("g-"), F.floor(n / 5).cast("string")).alias("group_id"), camp.alias("campaign_id"),
         F.concat(F.lit("activities."), "event_type", F.when(n % 41 == 0, ".ghost").otherwise(".rules")).alias("field_path"), F.when(n % 43 != 0, text).alias("value"),
         F.concat(F.lit("post-"), n.cast("string")).alias("obs_id"), F.when(n % 47 == 0, "absent").otherwise(F.concat(F.lit("value "), text)).alias("quote"))

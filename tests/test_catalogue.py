@@ -86,6 +86,17 @@ def test_one_bad_update_rejects_its_group(spark):
                         "j": {"invalid fact target"}, "k": {"null is not a deletion instruction"}, "l": {"fact must cite supplied original text"}, "m": {"duplicate field operation"}}
 
 
+def test_groups_of_a_run_settle_on_one_value(spark):
+    q = "限购两件"
+    got = judged(spark, [
+        ("a", "c", "title", "t3", "p3", q), ("b", "c", "title", "t6", "p6", q), ("d", "c", "title", "t2", "p2", q), ("e", "c", "activities.a1.rules", "r", "p4", q), ("f", "c", "activities.a1.rules", "s", "p4", q),
+        ("f", "c", "partner", "x", "p4", q), ("g", "c", "activities.a1.rules", "u", "p2", q), ("h", "c", "activities.a1.end_date", "2026-01-01", "p6", q), ("i", "c", "activities.a1.actions.x1.end_at", "2026-01-03T00:00:00+08:00", "p6", q)],
+        [("c", "activities.a1.start_date", "2026-02-01", 1), ("c", "activities.a1.actions.x1.at", "2026-01-02T00:00:00+08:00", 1)])
+    short = {(k[0], k[1].rsplit(".", 1)[-1]): (v[0], v[2]) for k, v in got.items()}
+    assert short == {("a", "title"): ("older", True), ("b", "title"): ("applied", True), ("d", "title"): ("older", True), ("e", "rules"): ("rejected", False), ("f", "rules"): ("rejected", False),
+                     ("f", "partner"): ("applied", False), ("g", "rules"): ("applied", True), ("h", "end_date"): ("rejected", False), ("i", "end_at"): ("applied", True)}
+
+
 def test_latest_facts_mark_ties(spark):
     rows = spark.createDataFrame([("c", "f", "a", 1), ("c", "f", "b", 2), ("c", "g", "a", 3), ("c", "g", "b", 3)], "campaign_id STRING, field_path STRING, value STRING, published_at INT")
     got = {r["field_path"]: (r["value"], r["tied"]) for r in latest_facts(rows).collect()}

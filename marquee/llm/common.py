@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
@@ -74,6 +75,18 @@ def slices(batch: pa.RecordBatch, text: str, most: int = CHUNK_CHARS) -> Iterato
         yield batch.slice(start)
 
 
+def held(kind: str, key: object, make: Callable[[], object]) -> object:
+    """One object of a kind for all tasks of a worker process, made anew when ``key`` changes.
+
+    It is kept on ``sys`` because functions that are sent by value get globals of their own in every task. Only what may be lost or
+    made twice belongs here: vocabularies and what was computed from them.
+    """
+    store = sys.__dict__.setdefault("_marquee_held", {})
+    if kind not in store or store[kind][0] != key:
+        store[kind] = (key, make())
+    return store[kind][1]
+
+
 def crc_mod(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

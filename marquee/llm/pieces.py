@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import Remembered, arrow_map
+from marquee.llm.common import Remembered, arrow_map, held
 
 SPACE = "▁"
 #: No pair: above every rank.
@@ -252,13 +252,11 @@ def encode_decode(docs: DataFrame, model: str, ends: bool = True) -> DataFrame:
     read once, on the driver; tasks get its pieces. Words are merged once for all their occurrences in a run of rows.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))
-    held: list[Codec] = []
 
     def work(c: dict[str, list]) -> dict[str, object]:
-        if not held:
-            held.append(Codec(vocabulary.value))
-        ids = held[0].encode(c["text"], ends)
+        codec = held("piece codec", (model, len(vocabulary.value.pieces)), lambda: Codec(vocabulary.value))
+        ids = codec.encode(c["text"], ends)
         return {"doc_id": pa.array(c["doc_id"], pa.int64()), "ids": pa.array([i.tobytes() for i in ids], pa.binary()),
-                "decoded": pa.array([held[0].decode(i) for i in ids], pa.string())}
+                "decoded": pa.array([codec.decode(i) for i in ids], pa.string())}
 
     return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id bigint, ids binary, decoded string", work)

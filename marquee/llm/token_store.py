@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marquee.llm.common import Remembered, slices, stage
+from marquee.llm.common import Remembered, held, slices, stage
 
 MAGIC = b"DAC1"
 #: Bits of a chunk, and bits of a bitmap for each entry of its rank directory.
@@ -25,6 +25,8 @@ CHUNK, RANKED = 8, 512
 BARE = "\n"
 #: Units that are encoded as one text.
 SIDE_BY_SIDE = 5_000
+#: Units that a worker remembers.
+UNITS_HELD = 700_000
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 1 << 18
 
@@ -124,7 +126,7 @@ class TextEncoder:
             self.lengths[i] = len(piece)
         for t in plan.get("added_tokens", []):
             self.lengths[t["id"]] = len(t["content"].encode())
-        self.units = Remembered(self._encode)
+        self.units = Remembered(self._encode, UNITS_HELD)
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct units. Those with a space before them are encoded side by side as one text, and told apart by the tokens' bytes."""
@@ -169,12 +171,13 @@ def write(docs: DataFrame, model: str, end: int) -> DataFrame:
     """
     spark = docs.sparkSession
     with open(model, encoding="utf-8") as f:
-        held = spark.sparkContext.broadcast(f.read())
+        model_text = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = TextEncoder(held.value), TaskContext.get().partitionId(), 0
+        encode = held("text encoder", hash(model_text.value), lambda: TextEncoder(model_text.value))
+        part, seq = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         size = 0

@@ -277,9 +277,12 @@ def _folder(t: Tables) -> str:
 
 
 def _event_stream(t: Tables) -> DataFrame:
-    path = f"{t.folder}/events.parque[t]"  # a pattern fits a single file and a folder of files
-    rows = streams.landing(t.spark, path, t.raw("events").schema)
-    return rows.withColumn("published_at", F.col("ts").cast("timestamp"))
+    """The events as they land: one file or more for each week, in order of time, and one file to a batch."""
+    path, e = f"{_folder(t)}/landing", t.raw("events")
+    week = F.date_trunc("week", F.col("ts"))
+    for r in e.select(week.alias("w")).distinct().orderBy("w").collect():
+        e.where(week == F.lit(r["w"])).coalesce(1).write.mode("append").parquet(path)
+    return streams.landing(t.spark, path, e.schema, maxFilesPerTrigger="1").withColumn("published_at", F.col("ts").cast("timestamp"))
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
@@ -292,7 +295,7 @@ def stream_dedup(t: Tables) -> DataFrame:
     return streams.drained(t.spark, folder, once.schema).select(F.col("obs_id").alias("user_id"), F.col("content_hash").alias("event_type"))
 
 
-@query("stream_daily", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+@query("stream_daily", "SELECT strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_daily(t: Tables) -> DataFrame:
     folder = _folder(t)
     tally = streams.daily_tally(_event_stream(t), "published_at", ["event_type"])
@@ -300,6 +303,16 @@ def stream_daily(t: Tables) -> DataFrame:
     return streams.latest_per_key(streams.drained(t.spark, folder, tally.schema), ["day", "event_type"]).select("day", "event_type", "n")
 
 
+@query("account_bursts", """
+    WITH o AS (SELECT *, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM o)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last, count(*)::BIGINT AS n FROM b GROUP BY user_id, no""")
+def account_bursts(t: Tables) -> DataFrame:
+    """Sessions of an account, six hours apart."""
+    rows = streams.bursts(t.raw("events").withColumn("at", F.col("ts").cast("timestamp")), "at", ["user_id"], "6 hours")
+    return rows.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"), "n")
+
+
 @query("stream_latest", """
     WITH o AS (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS prev FROM events)
     SELECT 'u-' || user_id AS obs_id, event_type AS content_hash, CASE WHEN prev IS NULL THEN 'new' ELSE 'edited' END AS change, count(*)::BIGINT AS n FROM o WHERE prev IS NULL OR prev <> event_type GROUP BY ALL""")

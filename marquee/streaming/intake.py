@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from marquee.constants import DEFAULT_ZONE
+from marquee.functions.times import local_time
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LATENESS = "2 days"
@@ -20,20 +22,30 @@ def landing(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "pa
     return spark.readStream.schema(schema).format(fmt).options(**options).load(path)
 
 
-def once_per_version(posts: DataFrame, time: str = "published_at", keys: tuple[str, ...] = ("obs_id", "content_hash")) -> DataFrame:
-    """Repeats of a version are dropped, an edited version passes. Works on batch frames as well."""
-    if not posts.isStreaming:
-        return posts.dropDuplicates(list(keys))
-    return posts.withWatermark(time, LATENESS).dropDuplicatesWithinWatermark(list(keys))
+def once_per_version(posts: DataFrame, keys: tuple[str, ...] = ("obs_id", "content_hash")) -> DataFrame:
+    """Repeats of a version are dropped whatever their age, an edited version passes. Works on batch frames as well.
 
+    In a stream the versions seen are kept as keyed state on disk, one small row each, without expiry: a version that comes back
+    after years is still a repeat, as in the stored table. The result does not depend on how rows fall into batches.
+    """
+    return posts.dropDuplicates(list(keys))
 
-def daily_tally(posts: DataFrame, time: str, by: list[str]) -> DataFrame:
-    """Posts per source and UTC day; late posts count for two days."""
-    rows = posts.withWatermark(time, LATENESS) if posts.isStreaming else posts
-    return rows.groupBy(F.window(time, "1 day").alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(
+
+def daily_tally(posts: DataFrame, time: str, by: list[str], zone: str = DEFAULT_ZONE) -> DataFrame:
+    """Posts per source and local day; a post counts unless it is more than two days older than the newest of earlier batches."""
+    rows = posts.withColumn("_local", local_time(time, zone))
+    rows = rows.withWatermark("_local", LATENESS) if posts.isStreaming else rows
+    return rows.groupBy(F.window("_local", "1 day").alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(
         F.date_format("w.start", "yyyy-MM-dd").alias("day"), *by, "n")
 
 
+def bursts(posts: DataFrame, time: str, by: list[str], gap: str) -> DataFrame:
+    """Sessions of an account: runs of posts no further apart than ``gap``: (by, start, last, n). Works on streams and batch frames."""
+    rows = posts.withWatermark(time, LATENESS) if posts.isStreaming else posts
+    return rows.groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.max(time).alias("last"), F.count(F.lit(1)).alias("n")).select(
+        *by, F.col("w.start").alias("start"), "last", "n")
+
+
 VERSION = "obs_id STRING, content_hash STRING, first_seen_at TIMESTAMP, updated_at TIMESTAMP, change STRING"
 
 

@@ -84,6 +84,17 @@ def test_stream_repeats_and_edits(spark, tmp_path):
     assert sorted((r["obs_id"], r["content_hash"]) for r in streams.drained(spark, out, schema).collect()) == [("a", "1"), ("a", "2")]
 
 
+def test_late_posts_and_local_days(spark, tmp_path):
+    land, out = str(tmp_path / "land"), str(tmp_path / "out")
+    schema = "account STRING, at TIMESTAMP"
+    for batch in ([("a", "2026-01-01 15:59:00"), ("a", "2026-01-01 16:01:00")], [("a", "2026-01-02 16:30:00"), ("a", "2026-01-09 00:00:00")], [("a", "2026-01-01 01:00:00"), ("a", "2026-01-08 00:00:00")]):
+        spark.createDataFrame(batch, "account STRING, s STRING").selectExpr("account", "timestamp(s) AS at").coalesce(1).write.mode("append").parquet(land)
+        streams.drain(streams.daily_tally(streams.landing(spark, land, spark.createDataFrame([], schema).schema, maxFilesPerTrigger="1"), "at", ["account"]), out, "update")
+    got = {r["day"]: r["n"] for r in streams.latest_per_key(streams.drained(spark, out, "day STRING, account STRING, n BIGINT"), ["day", "account"]).collect()}
+    # the first day of the third file lies more than two days behind the second file and is left out
+    assert got == {"2026-01-01": 1, "2026-01-02": 1, "2026-01-03": 1, "2026-01-09": 1, "2026-01-08": 1}
+
+
 def test_stream_versions_keep_state(spark, tmp_path):
     land, out = str(tmp_path / "land"), str(tmp_path / "out")
     schema = "obs_id STRING, content_hash STRING, seen_at TIMESTAMP"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,8 +12,11 @@ from pyspark.sql import types as T
 
 from marquee import constants as C
 from marquee.operators.ranking import positions
+from marquee.session import materialize
 
 CHUNK = 20_000
+#: Chunks whose tables are composed into one: a task chains one table for every 20 million rows of an owner.
+RUN = 1_000
 
 
 def _next_starts(sizes: np.ndarray, max_size: int, max_entries: int) -> np.ndarray:
@@ -30,8 +33,9 @@ def greedy_batches(df: DataFrame, owner: list[str], order: list[str], size: str,
 
     Rows are numbered per owner and cut into chunks. A batch that begins before a chunk can reach
     into it by fewer than ``max_entries`` rows, so a chunk is described by a small table: for each
-    entry row, the exit row in the following chunk and the batches begun. Chaining these tables
-    fixes every chunk's entry row and first batch number; then all chunks number their rows at once.
+    entry row, the exit row in the following chunk and the batches begun. Tables of RUN chunks are
+    composed into one of the same kind; chaining those, and then the chunks of every run, fixes every
+    chunk's entry row and first batch number; then all chunks number their rows at once.
     """
     if max_entries > chunk:
         raise ValueError("a chunk must hold at least one full batch")
@@ -62,18 +66,32 @@ def greedy_batches(df: DataFrame, owner: list[str], order: list[str], size: str,
                           T.StructField("begun", T.ArrayType(T.LongType()))])
     described = seen.groupBy(*owner, "_chunk").applyInPandas(describe, table)
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    described = materialize(described.withColumn("_run", F.floor(F.col("_chunk") / RUN).cast("bigint")))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, total = np.arange(max_entries), np.zeros(max_entries, dtype=np.int64)
         pdf = pdf.sort_values("_chunk")
-        entry, base, entries, bases = 0, 0, [], []
         for exits, begun in zip(pdf["exits"], pdf["begun"]):
-            entries.append(entry)
-            bases.append(base)
-            entry, base = int(exits[entry]), base + int(begun[entry])
-        return pdf[owner + ["_chunk"]].assign(_entry=entries, _base=bases)
-
-    placed = described.groupBy(*owner).applyInPandas(chain, T.StructType([
-        *key_fields, T.StructField("_chunk", T.LongType()), T.StructField("_entry", T.LongType()),
-        T.StructField("_base", T.LongType())]))
+            total, at = total + np.asarray(begun)[at], np.asarray(exits)[at]
+        return pdf[owner + ["_run"]].head(1).assign(exits=[at.tolist()], begun=[total.tolist()])
+
+    def chain(unit: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(unit)
+            entry, base = (int(pdf[c].iloc[0]) if c in pdf else 0 for c in ("_entry", "_base"))
+            entries, bases = [], []
+            for exits, begun in zip(pdf["exits"], pdf["begun"]):
+                entries.append(entry)
+                bases.append(base)
+                entry, base = int(exits[entry]), base + int(begun[entry])
+            return pdf[owner + [unit]].assign(_entry=entries, _base=bases)
+
+        return walk
+
+    place = lambda unit: T.StructType([*key_fields, T.StructField(unit, T.LongType()), T.StructField("_entry", T.LongType()), T.StructField("_base", T.LongType())])
+    runs = described.groupBy(*owner, "_run").applyInPandas(compose, T.StructType([*key_fields, T.StructField("_run", T.LongType()), *table.fields[-2:]]))
+    begun_runs = runs.groupBy(*owner).applyInPandas(chain("_run"), place("_run"))
+    placed = described.join(begun_runs, [*owner, "_run"]).groupBy(*owner, "_run").applyInPandas(chain("_chunk"), place("_chunk"))
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos").reset_index(drop=True)

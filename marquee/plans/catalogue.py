@@ -274,11 +274,13 @@ def _sources(t: Tables, rule: str) -> DataFrame:
 
 
 @query("source_union", "WITH " + _SRC + """
-    SELECT campaign_id, source_id, CASE WHEN new.campaign_id IS NOT NULL THEN 'new' ELSE 'old' END AS summary, old.campaign_id IS NULL AS added FROM old FULL JOIN new USING (campaign_id, source_id)""")
+    SELECT campaign_id, source_id, CASE WHEN new.campaign_id IS NOT NULL THEN 'new' ELSE 'old' END AS summary, old.campaign_id IS NULL AS added,
+      concat_ws(' ', CASE WHEN old.campaign_id IS NOT NULL THEN 'u1 u2' END, CASE WHEN new.campaign_id IS NOT NULL AND old.campaign_id IS NULL THEN 'u2' END, CASE WHEN new.campaign_id IS NOT NULL THEN 'u3' END) AS media
+    FROM old FULL JOIN new USING (campaign_id, source_id)""")
 def source_union(t: Tables) -> DataFrame:
-    old = _sources(t, "o_orderkey % 2 = 0").withColumn("content_hash", F.lit("h")).withColumn("summary", F.lit("old"))
-    new = _sources(t, "o_orderkey % 3 = 0").withColumn("content_hash", F.lit("h2")).withColumn("summary", F.lit("new"))
-    return merging.union_sources(old, new).select("campaign_id", "source_id", "summary", "added")
+    old = _sources(t, "o_orderkey % 2 = 0").withColumn("content_hash", F.lit("h")).withColumn("summary", F.lit("old")).withColumn("media_urls", F.array(F.lit("u1"), F.lit("u2")))
+    new = _sources(t, "o_orderkey % 3 = 0").withColumn("content_hash", F.lit("h2")).withColumn("summary", F.lit("new")).withColumn("media_urls", F.array(F.lit("u3"), F.lit("u2")))
+    return merging.union_sources(old, new).select("campaign_id", "source_id", "summary", "added", F.array_join("media_urls", " ").alias("media"))
 
 
 @query("source_changes", "WITH " + _SRC + """, gained AS (SELECT campaign_id, """ + set_sql("source_id", 64) + """ AS s FROM (SELECT * FROM new EXCEPT SELECT * FROM old) GROUP BY 1)

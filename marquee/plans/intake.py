@@ -143,16 +143,16 @@ def _requests(t: Tables) -> DataFrame:
     k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
     spelled = F.when(k % 4 == 0, F.concat(F.lit("nation_"), n)).when(k % 4 == 1, F.concat(F.lit("LAND "), n)).when(k % 4 == 2, F.concat(F.lit("IP-"), n)).otherwise(
         F.concat(F.lit("Nowhere "), n))
-    return t.raw("customer").where("c_nationkey < 20").select(k.alias("position"), spelled.alias("requested"))
+    return t.raw("customer").select(k.alias("position"), spelled.alias("requested"))
 
 
 @query("registry_resolve", """
-    SELECT 'ip-' || c_nationkey AS slug, 'NATION_' || c_nationkey AS name, min(c_custkey) AS position FROM customer WHERE c_nationkey < 20 AND c_custkey % 4 <> 3 GROUP BY c_nationkey""")
+    SELECT 'ip-' || c_nationkey AS slug, 'NATION_' || c_nationkey AS name, min(c_custkey) AS position FROM customer WHERE c_custkey % 4 <> 3 GROUP BY c_nationkey""")
 def registry_resolve(t: Tables) -> DataFrame:
     return registry.resolve(_requests(t), _registry(t)).select("slug", "name", "position")
 
 
-@query("registry_unsupported", "SELECT DISTINCT 'Nowhere ' || c_nationkey AS requested FROM customer WHERE c_nationkey < 20 AND c_custkey % 4 = 3")
+@query("registry_unsupported", "SELECT DISTINCT 'Nowhere ' || c_nationkey AS requested FROM customer WHERE c_custkey % 4 = 3")
 def registry_unsupported(t: Tables) -> DataFrame:
     return registry.unsupported(_requests(t), _registry(t))
 
@@ -174,14 +174,14 @@ def extra_accounts(t: Tables) -> DataFrame:
 def page_material(t: Tables) -> DataFrame:
     """Visible text, pictures and links of every page."""
     m = F.col("m")
-    return tables.spread(t.raw("pages"), "page_id").select("page_id", pages.page_material("html").alias("m")).select(
+    return t.raw("pages").select("page_id", pages.page_material("html").alias("m")).select(
         "page_id", m["text"].alias("text"), F.array_join(m["images"], " ").alias("images"), F.array_join(m["links"], " ").alias("links"))
 
 
 @query("page_paragraphs")
 def page_paragraphs(t: Tables) -> DataFrame:
     """The same pages read in paragraphs-only mode."""
-    return tables.spread(t.raw("pages"), "page_id").select("page_id", pages.page_material("html", paragraphs_only=True)["text"].alias("text"))
+    return t.raw("pages").select("page_id", pages.page_material("html", paragraphs_only=True)["text"].alias("text"))
 
 
 def _landed(df: DataFrame, payload) -> DataFrame:
@@ -304,15 +304,14 @@ _ASSETS = """f AS (SELECT page_id, url AS source_url, CASE page_id % 4 WHEN 0 TH
 
 
 @query("media_catalogue", "WITH " + _ASSETS + """
-    SELECT source_url, max('assets/media/' || sha256(html) || CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' ELSE '.webp' END) AS asset_path, max(strlen(html))::BIGINT AS size_bytes
-    FROM f WHERE content_type <> 'text/html' AND page_id % 5 <> 0 GROUP BY source_url HAVING count(*) = 1""")
+    , r AS (SELECT source_url, strlen(html)::BIGINT AS size_bytes, 'assets/media/' || sha256(html) || CASE page_id % 4 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' ELSE '.webp' END AS asset_path,
+      page_id % 2 = 0 AND strlen(html) % 2 = 0 AS stored FROM f WHERE content_type <> 'text/html')
+    SELECT source_url, asset_path, size_bytes FROM r QUALIFY row_number() OVER (PARTITION BY source_url ORDER BY stored DESC, asset_path) = 1""")
 def media_catalogue(t: Tables) -> DataFrame:
     """Pages as downloads: stored rows are reused, new ones of allowed types added, unwanted ones dropped."""
     p = F.col("page_id")
     kind = F.when(p % 4 == 0, "image/PNG; charset=x").when(p % 4 == 1, "image/jpeg").when(p % 4 == 2, "text/html").otherwise("image/webp")
     fetched = t.raw("pages").select("page_id", F.col("url").alias("source_url"), kind.alias("content_type"), F.encode("html", "UTF-8").alias("content"))
-    usable = fetched.where((p % 4 != 2) & (p % 5 != 0)).groupBy("source_url").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    fetched = fetched.join(usable.select("source_url"), "source_url", "left_semi").where((p % 4 == 2) | (p % 5 != 0))
     index = media.assets_of(fetched.where("page_id % 2 = 0"))
     files = index.where(F.col("size_bytes") % 2 == 0).join(fetched.select("source_url", "content"), "source_url").select(
         F.concat(F.lit("file:/x/"), "asset_path").alias("path"), "content", F.length("content").alias("length"))

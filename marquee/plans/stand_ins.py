@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.functions.times import instant
-from marquee.sources.tables import scan, spread
+from marquee.sources.tables import scan
 
 TERMS = ["license", "apache", "mit"]
 ACTION_TERMS = ["copyright", "software"]
@@ -40,7 +40,7 @@ class Tables:
     def posts(self) -> DataFrame:
         d = F.col("doc_id")
         at = F.timestamp_seconds(F.lit(POST_EPOCH) + F.pmod(d * 37, F.lit(43200)) * 60)
-        return spread(self.raw("documents"), "doc_id").select(
+        return self.raw("documents").select(
             "doc_id", F.concat(F.lit("doc-"), d.cast("string")).alias("obs_id"), F.concat(F.lit("doc-"), d.cast("string")).alias("source_id"),
             F.lit("website").alias("kind"), F.concat(F.lit("https://posts.example.org/"), d.cast("string")).alias("url"),
             F.col("source").alias("account_name"), F.col("source").alias("account_id"), F.col("lang").alias("ip_slug"),

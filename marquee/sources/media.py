@@ -31,11 +31,13 @@ def reusable(index: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def catalogue(wanted: DataFrame, kept: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Rows of wanted addresses: stored ones first, then new downloads. Unwanted rows drop out."""
+    """Rows of wanted addresses: stored ones first, then new downloads; of several the least path. Unwanted rows drop out."""
     urls = wanted.select("source_url").distinct()
     old = kept.join(urls, "source_url", "left_semi")
     new = assets_of(fetched.join(urls, "source_url", "left_semi").join(old.select("source_url"), "source_url", "left_anti"))
-    return old.unionByName(new).dropDuplicates(["source_url"])
+    rest = [c for c in old.columns if c not in ("source_url", "asset_path")]
+    least = old.unionByName(new).groupBy("source_url").agg(F.min(F.struct("asset_path", *rest)).alias("_m"))
+    return least.select("source_url", "_m.*").select(old.columns)
 
 
 def unreferenced(files: DataFrame, assets: DataFrame) -> DataFrame:

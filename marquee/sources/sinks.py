@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.ids import is_safe_id
+from marquee.session import materialize
 
 
 class SecretFound(ValueError):
@@ -32,14 +33,16 @@ def as_documents(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("json"))
 
 
-def write_view(df: DataFrame, path: str, keys: list[str], secrets: list[str] = (), files_per_key: int = 1) -> None:
-    """One folder per document key. Rows of a large document are spread over several files."""
+def write_view(df: DataFrame, path: str, keys: list[str], secrets: list[str] = ()) -> None:
+    """One folder per document key. Rows are dealt by ranges of key and content, so a large document is written by many tasks.
+
+    The view is made once: what was scanned for secrets is what is published.
+    """
+    df = materialize(df)
     if not secret_rows(df, list(secrets)).isEmpty():
         raise SecretFound("sensitive value detected in a published view")
-    out = as_documents(df, keys)
-    salt = F.pmod(F.xxhash64("json"), F.lit(files_per_key))
-    writer = out.repartition(*[F.col(k) for k in keys], salt).write.mode("overwrite")
-    writer.partitionBy(*keys).text(path)
+    out = as_documents(df, keys).repartitionByRange(*[F.col(k) for k in keys], F.xxhash64("json"))
+    out.write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def unsafe_rows(df: DataFrame, id_column: str) -> DataFrame:

@@ -29,12 +29,6 @@ def scan(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return reader.format(fmt).load(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a small scan to all cores; a scan that already has as many splits is left alone."""
-    width = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(width, key) if df.rdd.getNumPartitions() < width else df
-
-
 def bucket(df: DataFrame, column: str, day: date | str) -> DataFrame:
     """One day's rows; on a table partitioned by ``column`` only that folder is opened."""
     return df.where(F.col(column) == F.lit(str(day)).cast("date"))
@@ -64,10 +58,10 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: Column | Non
     return stored.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
 
 
-def write_buckets(df: DataFrame, path: str, column: str, files_per_bucket: int = 1) -> None:
-    """Replace only the buckets present in ``df``. A hot day is spread over several files."""
-    salt = F.pmod(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")]), F.lit(files_per_bucket))
-    (df.repartition(F.col(column), salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+def write_buckets(df: DataFrame, path: str, column: str) -> None:
+    """Replace only the buckets present in ``df``. Rows are dealt by ranges of bucket and content, so a hot day is written by many tasks."""
+    mark = F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("map")])
+    (df.repartitionByRange(F.col(column), mark).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(column).parquet(path))
 
 

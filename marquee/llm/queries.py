@@ -41,14 +41,14 @@ def op4_decontaminate(table) -> DataFrame:
 
 ORACLES["op4_decontaminate"] = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM benchmark),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
 s AS (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS p FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, w[p:p + 9] AS win FROM s),
 lens AS (SELECT DISTINCT len(win) AS n FROM win),
-at AS (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, lens WHERE len(w) >= n),
-met AS (SELECT r, p, n, item_id FROM (SELECT r, p, n, w[p:p + n - 1] AS win FROM at) a JOIN win USING (win)),
+pos AS (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, lens WHERE len(w) >= n),
+met AS (SELECT r, p, n, item_id FROM (SELECT r, p, n, w[p:p + n - 1] AS win FROM pos) a JOIN win USING (win)),
 hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(generate_series(p, p + n - 1)) AS q FROM met) GROUP BY r),
 its AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT r, item_id FROM met) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,

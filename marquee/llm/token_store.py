@@ -21,12 +21,15 @@ from marquee.llm.common import Remembered, held, slices, stage
 MAGIC = b"DAC1"
 #: Bits of a chunk, and bits of a bitmap for each entry of its rank directory.
 CHUNK, RANKED = 8, 512
-#: Marks the unit that begins a text. No other unit begins with it: all others begin with a visible character, their space left out.
-BARE = "\n"
+#: Where the pre-tokenizer always starts anew: at a space before a visible character (but a full stop or comma), and at a full stop,
+#: comma or line end after a letter or digit. The space is left out of its unit; only units without one begin with the other three.
+CUT = r" (?=[!-+\-/-~\w])|(?=[.,\n])(?<=[^\W_])"
+#: Marks the unit that begins a text. No other unit begins with it.
+BARE = "\0"
 #: Units that are encoded as one text.
 SIDE_BY_SIDE = 5_000
 #: Units that a worker remembers.
-UNITS_HELD = 700_000
+UNITS_HELD = 1_200_000
 #: A shard ends with the document that brings it to so many ids.
 SHARD_IDS = 1 << 18
 
@@ -115,7 +118,7 @@ class TextEncoder:
         self.model = Tokenizer.from_str(model)
         plan = json.loads(model)
         pre = plan.get("pre_tokenizer") or {}
-        self.cut = re.compile(r" (?=[!-~\w])") if (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        self.cut = re.compile(CUT) if (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                                                    and not plan.get("normalizer") and not plan.get("truncation")) else None
         # a special token with a space inside, or one that takes spaces from around it, would not survive the cut
         if any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in plan.get("added_tokens", [])):
@@ -131,8 +134,8 @@ class TextEncoder:
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct units. Those with a space before them are encoded side by side as one text, and told apart by the tokens' bytes."""
         out, sizes = [], np.zeros(len(units), np.int64)
-        alone = [i for i, u in enumerate(units) if u[0] == BARE]
-        for i, got in zip(alone, self.model.encode_batch_fast([units[i][1:] for i in alone], add_special_tokens=False), strict=True):
+        alone = [i for i, u in enumerate(units) if u[0] in ".,\n\0"]
+        for i, got in zip(alone, self.model.encode_batch_fast([units[i].removeprefix(BARE) for i in alone], add_special_tokens=False), strict=True):
             out.append((np.array([i]), np.array(got.ids, np.int64)))
             sizes[i] = len(got.ids)
         spaced = np.setdiff1d(np.arange(len(units)), alone)

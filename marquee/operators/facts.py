@@ -181,11 +181,15 @@ def claim_provenance(claims: DataFrame, members: DataFrame) -> DataFrame:
     """Newest member post that contains the quote of a claim; claims no member supports come back with nulls.
 
     claims: group_id, claim_id, quote; members: group_id, obs_id, source_id, content_hash, published_at, text.
-    Copies of one text are checked once, with the newest copy standing for them.
+    Copies of one text, told by their content hash, are checked once, with the newest copy standing for them.
     """
-    texts = members.groupBy("group_id", "text").agg(F.max(F.struct("published_at", "obs_id", "source_id", "content_hash")).alias("m"))
-    hits = claims.join(texts, "group_id").where(quote_matches("quote", "text"))
-    best = hits.groupBy("claim_id").agg(F.max("m").alias("m")).select("claim_id", "m.*")
+    newest = members.groupBy("group_id", "content_hash").agg(F.max(F.struct("published_at", "obs_id", "source_id", "content_hash")).alias("m"))
+    texts = members.select("group_id", "obs_id", "text").join(newest.select("group_id", F.col("m.obs_id").alias("obs_id"), "m"), ["group_id", "obs_id"])
+    # the same quote of a group is looked up once for all claims that carry it
+    quotes = claims.select("group_id", "quote").distinct()
+    hits = quotes.join(texts.select("group_id", "text", "m"), "group_id").where(quote_matches("quote", "text"))
+    found = hits.groupBy("group_id", "quote").agg(F.max("m").alias("m"))
+    best = claims.join(found, ["group_id", "quote"]).select("claim_id", "m.*")
     return claims.join(best, "claim_id", "left")
 
 

@@ -304,7 +304,7 @@ def revisions(t: Tables) -> DataFrame:
 
 @query("status_rollup", sql("campaigns", "activities", body="""r AS (SELECT campaign_id, CASE WHEN NOT bool_or(status NOT IN ('ended','cancelled')) THEN 'ended' WHEN bool_or(status = 'ongoing') THEN 'ongoing'
       WHEN bool_or(status = 'upcoming') THEN 'upcoming' ELSE 'details_pending' END AS rolled FROM (
-        SELECT campaign_id, CASE WHEN end_at < TIMESTAMP '1998-06-01' THEN 'ended' WHEN start_at <= TIMESTAMP '1998-06-01' THEN 'ongoing' WHEN start_at IS NOT NULL THEN 'upcoming' ELSE 'details_pending' END AS status FROM activities) GROUP BY 1)
+        SELECT campaign_id, CASE WHEN end_at < TIMESTAMP '1998-06-01' THEN 'ended' WHEN start_at <= TIMESTAMP '1998-06-01' THEN 'ongoing' WHEN start_at IS NOT NULL THEN 'upcoming' ELSE 'details_pending' END AS status FROM activities WHERE NOT excluded) GROUP BY 1)
     SELECT campaign_id, CASE WHEN status = 'cancelled' THEN status ELSE coalesce(rolled, 'details_pending') END AS status FROM campaigns LEFT JOIN r USING (campaign_id)"""))
 def status_rollup(t: Tables) -> DataFrame:
     acts = t.activities().withColumn("status", assembly.activity_status(F.col("start_at"), F.col("end_at"), t.now))
@@ -491,13 +491,13 @@ def invalid_intervals(t: Tables) -> DataFrame:
 
 
 def _claims(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Members are posts grouped by content, so groups are copies; each third post's opening is a claim of its group, some altered."""
+    """Members are posts grouped by content, so groups are copies; every post is a claim of its group, some altered, and quotes a passage from its middle."""
     members = t.posts().select(F.col("content_hash").alias("group_id"), "obs_id", "source_id", "content_hash", "published_at", "text", "doc_id")
-    quote = F.when(F.col("doc_id") % 30 == 0, F.concat(F.lit("nowhere "), "obs_id")).otherwise(F.substring("text", 1, 80))
-    return members.where("doc_id % 3 = 0").select("group_id", F.col("obs_id").alias("claim_id"), quote.alias("quote")), members.drop("doc_id")
+    quote = F.when(F.col("doc_id") % 30 == 0, F.concat(F.lit("nowhere "), "obs_id")).otherwise(F.expr("substring(text, 1 + cast(length(text) * (doc_id % 7) / 8 as int), 80)"))
+    return members.select("group_id", F.col("obs_id").alias("claim_id"), quote.alias("quote")), members.drop("doc_id")
 
 
-_CLAIMS = """c AS (SELECT content_hash, obs_id AS claim_id, CASE WHEN doc_id % 30 = 0 THEN 'nowhere ' || obs_id ELSE text[1:80] END AS quote FROM posts WHERE doc_id % 3 = 0),
+_CLAIMS = """c AS (SELECT content_hash, obs_id AS claim_id, CASE WHEN doc_id % 30 = 0 THEN 'nowhere ' || obs_id ELSE substr(text, 1 + (length(text) * (doc_id % 7)) // 8, 80) END AS quote FROM posts),
     h AS (SELECT claim_id, arg_max(p.obs_id, (p.published_at, p.obs_id)) AS obs_id FROM c JOIN posts p USING (content_hash) WHERE contains(regexp_replace(p.text, '\\s+', '', 'g'), regexp_replace(quote, '\\s+', '', 'g')) GROUP BY 1)"""
 
 

@@ -362,6 +362,17 @@ def replay_split(t: Tables) -> DataFrame:
     return rows.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.min("published_at"), "yyyy-MM-dd HH:mm:ss").alias("first"))
 
 
+@query("held_out_texts", r"""
+    WITH p AS (SELECT 'doc-' || doc_id AS obs_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM documents),
+    h AS (SELECT item_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS w FROM benchmark),
+    hr AS (SELECT DISTINCT item_id, w[i:i + 7] AS run FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 7, 1))) AS i FROM h WHERE len(w) > 0)),
+    pr AS (SELECT DISTINCT obs_id, w[i:i + n - 1] AS run FROM (SELECT obs_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM p, (SELECT DISTINCT len(run) AS n FROM hr) WHERE len(w) >= n))
+    SELECT DISTINCT obs_id, item_id FROM pr JOIN hr USING (run)""")
+def held_out_texts(t: Tables) -> DataFrame:
+    """Posts that repeat a passage of an evaluation item."""
+    return review.held_out_texts(t.posts().select("obs_id", "text"), t.raw("benchmark"))
+
+
 @query("held_out_posts", "SELECT 'doc-' || doc_id AS obs_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def held_out_posts(t: Tables) -> DataFrame:
     """Labelled posts of good quality are examples; they may not be evaluated."""

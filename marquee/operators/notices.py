@@ -126,6 +126,33 @@ def described(delta: DataFrame, entities: DataFrame) -> DataFrame:
                            moved, F.concat(F.col("r.old_value"), F.lit(" → "), value)).otherwise(value).alias("display"))
 
 
+def notice_texts(lines: DataFrame) -> DataFrame:
+    """The lines of :func:`described` as a reader sees them: (campaign_id, title, label, line), the title's own line with an empty label.
+
+    A title of which nothing is said is left out when one of its items is listed, else it is marked as pending. An item's title
+    begins with its activity's, so every title is split at its separators and beginnings meet titles by equality.
+    """
+    titles = lines.groupBy("campaign_id", "title").agg(F.count("display").alias("_said"))
+    parts = F.split("title", C.ITEM_SEPARATOR)
+    beginnings = titles.withColumn("_p", parts).select("campaign_id", F.explode(F.when(F.size("_p") > 1, F.transform(
+        F.sequence(F.lit(1), F.size("_p") - 1), lambda n: F.array_join(F.slice("_p", 1, n), C.ITEM_SEPARATOR)))).alias("title")).distinct()
+    heads = titles.join(beginnings.withColumn("_parent", F.lit(True)), ["campaign_id", "title"], "left").where("_said > 0 or _parent is null")
+    head = F.when(F.col("_said") > 0, F.col("title")).otherwise(F.concat("title", F.lit(C.ENTITY_PENDING)))
+    said = lines.where("display is not null").select("campaign_id", "title", "label", F.concat("label", F.lit("："), "display").alias("line"))
+    return heads.select("campaign_id", "title", F.lit("").alias("label"), head.alias("line")).unionByName(said)
+
+
+def deliver(jobs: DataFrame, snapshot: DataFrame, texts: DataFrame, covered: DataFrame, sent_at: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What is kept of delivered notice jobs, as rows: receipts, their facts, the lines of their text, and the notices they cover.
+
+    jobs: job_id, campaign_id, kind; snapshot: FACT columns of the campaigns as they were told; texts: of :func:`notice_texts`;
+    covered: campaign_id, candidate_id. The facts are the baseline of the next run, by way of :func:`last_delivered`.
+    """
+    own = jobs.select("job_id", "campaign_id", "kind").withColumn("sent_at", sent_at)
+    key = own.select("job_id", "campaign_id")
+    return (own, snapshot.select(*FACT).join(own.drop("kind"), "campaign_id"), texts.join(key, "campaign_id"), covered.select("campaign_id", "candidate_id").distinct().join(key, "campaign_id"))
+
+
 def campaign_jobs(campaign_ids: DataFrame, snapshot: DataFrame, baseline: DataFrame, lines: DataFrame, sent: DataFrame,
                   now: Column, zone: str = C.DEFAULT_ZONE) -> DataFrame:
     """One notice job per managed campaign whose delta has something to say, unless already sent.

@@ -365,15 +365,50 @@ def notice_lines(t: Tables) -> DataFrame:
     return notices.described(_delta(t, snapshot, _baseline(t, snapshot)), _titles(t)).select("campaign_id", "entity_id", "title", "label", "display")
 
 
-@query("notice_jobs", sql(*_NOTICE, body=_LINES + """, b AS (SELECT DISTINCT campaign_id FROM told), s AS (SELECT DISTINCT campaign_id FROM once)
-    SELECT c.campaign_id, CASE WHEN b.campaign_id IS NULL THEN 'announcement' ELSE 'update' END AS kind, CASE WHEN b.campaign_id IS NOT NULL THEN '活动更新' WHEN s.campaign_id IS NOT NULL THEN '新联动' ELSE '新联动：详情待公布' END AS summary
-    FROM campaigns c LEFT JOIN b USING (campaign_id) LEFT JOIN s USING (campaign_id) WHERE b.campaign_id IS NULL OR s.campaign_id IS NOT NULL"""))
+_STATE = """, fx AS (SELECT campaign_id, '{"key":"' || entity_id || ':' || label || '","value":"' || value || '"}' AS fact FROM ext), st AS (SELECT campaign_id, """ + set_sql("fact", 64) + """ AS state FROM fx GROUP BY 1)"""
+
+
+@query("notice_jobs", sql(*_NOTICE, body=_LINES + _STATE + """, b AS (SELECT DISTINCT campaign_id FROM told), s AS (SELECT DISTINCT campaign_id FROM once)
+    SELECT 'notice-' || sha256('["' || c.campaign_id || '","' || CASE WHEN b.campaign_id IS NULL THEN '' ELSE 'rc-' || c.campaign_id END || '","' || state || '"]')[1:24] AS job_id, c.campaign_id, CASE WHEN b.campaign_id IS NULL THEN 'announcement' ELSE 'update' END AS kind, CASE WHEN b.campaign_id IS NOT NULL THEN '活动更新' WHEN s.campaign_id IS NOT NULL THEN '新联动' ELSE '新联动：详情待公布' END AS summary
+    FROM campaigns c JOIN st USING (campaign_id) LEFT JOIN b USING (campaign_id) LEFT JOIN s USING (campaign_id) WHERE b.campaign_id IS NULL OR s.campaign_id IS NOT NULL"""))
 def notice_jobs(t: Tables) -> DataFrame:
     snapshot = materialize(_extended(t))
     base = materialize(_baseline(t, snapshot))
     lines = notices.described(_delta(t, snapshot, base), _titles(t))
     sent = t.campaigns().select(F.col("campaign_id").alias("job_id"))
-    return notices.campaign_jobs(t.campaigns().select("campaign_id"), snapshot, base, lines, sent, t.now).select("campaign_id", "kind", "summary")
+    return notices.campaign_jobs(t.campaigns().select("campaign_id"), snapshot, base, lines, sent, t.now).select("job_id", "campaign_id", "kind", "summary")
+
+
+@query("notice_texts", sql(*_NOTICE, body=_LINES + """,
+    ln AS (SELECT campaign_id, entity_title AS title, label, CASE WHEN label IN ('活动','事项') THEN NULL WHEN old_value IS NOT NULL AND label NOT IN ('状态','已取消','已结束') THEN old_value || ' → ' || w ELSE w END AS display FROM wordy),
+    tt AS (SELECT campaign_id, title, count(display) AS said FROM ln GROUP BY ALL)
+    SELECT campaign_id, title, '' AS label, title || CASE WHEN said = 0 THEN '（详情待公布）' ELSE '' END AS line FROM tt
+    WHERE said > 0 OR NOT EXISTS (SELECT 1 FROM tt o WHERE o.campaign_id = tt.campaign_id AND starts_with(o.title, tt.title || ' / '))
+    UNION ALL SELECT campaign_id, title, label, label || '：' || display FROM ln WHERE display IS NOT NULL"""))
+def notice_texts(t: Tables) -> DataFrame:
+    """The text of every campaign's notice, line by line."""
+    snapshot = materialize(_extended(t))
+    return notices.notice_texts(materialize(notices.described(_delta(t, snapshot, _baseline(t, snapshot)), _titles(t)).select("campaign_id", "title", "label", "display")))
+
+
+@query("second_day_delta", sql(*_NOTICE, body=_LINES + _STATE + """, b AS (SELECT DISTINCT campaign_id FROM told), s AS (SELECT DISTINCT campaign_id FROM once),
+    j AS (SELECT campaign_id FROM campaigns JOIN st USING (campaign_id) WHERE campaign_id NOT IN (SELECT campaign_id FROM b) OR campaign_id IN (SELECT campaign_id FROM s)),
+    told2 AS (SELECT campaign_id, entity_id, label, max(value) AS value FROM ext WHERE campaign_id IN (SELECT campaign_id FROM j) GROUP BY ALL UNION ALL SELECT campaign_id, entity_id, label, value FROM told WHERE campaign_id NOT IN (SELECT campaign_id FROM j)),
+    later AS (SELECT campaign_id, entity_id, label, CASE WHEN label = '规则' AND custkey % 5 = 0 THEN value || ' 2' ELSE value END AS value FROM ext JOIN campaigns USING (campaign_id))
+    SELECT l.campaign_id, l.entity_id, l.label, l.value, o.value AS old_value FROM later l LEFT JOIN told2 o USING (campaign_id, entity_id, label) WHERE l.value IS DISTINCT FROM o.value"""))
+def second_day_delta(t: Tables) -> DataFrame:
+    """What is news on the day after the first day's notices were delivered: only what has changed since."""
+    snapshot = materialize(_extended(t))
+    base = materialize(_baseline(t, snapshot))
+    lines = materialize(notices.described(_delta(t, snapshot, base), _titles(t)))
+    c = t.campaigns().select("campaign_id", "custkey")
+    jobs = notices.campaign_jobs(c.select("campaign_id"), snapshot, base, lines, c.select(F.col("campaign_id").alias("job_id")), t.now)
+    _, told, _, _ = notices.deliver(jobs, snapshot, notices.notice_texts(lines), c.select("campaign_id", F.col("campaign_id").alias("candidate_id")), t.now)
+    told = materialize(told)
+    rest = base.join(told.select("campaign_id").distinct(), "campaign_id", "left_anti").select(*notices.KEY, "value")
+    changed = (F.col("label") == "规则") & (F.col("custkey") % 5 == 0)
+    later = snapshot.join(c, "campaign_id").withColumn("value", F.when(changed, F.concat("value", F.lit(" 2"))).otherwise(F.col("value"))).drop("custkey")
+    return notices.fact_delta(later, notices.last_delivered(told).unionByName(rest)).select(*notices.FACT, "old_value")
 
 
 @query("retired_jobs", sql("receipts", body="""SELECT job_id FROM receipts WHERE job_id[-1:] NOT IN ('0','1') AND (job_id[-2:-2] = '3' OR (job_id[-1:] = '4' AND campaign_id = 'camp-7'))"""))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import marquee
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Python workers receive the few Arrow functions by value, so executors need no installed copy.
 cloudpickle.register_pickle_by_value(marquee)
@@ -55,14 +57,27 @@ def state_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return tempfile.mkdtemp(prefix="marquee-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="marquee-checkpoint-", dir=os.environ.get("TMPDIR", "/tmp")))
+    return spark.sparkContext.getCheckpointDir()
 
 
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from the files."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(state_folder(spark))
-    return df.checkpoint(eager)
+def run_folder(spark: SparkSession) -> str:
+    """The run's own folder in the shared one; it is removed when the session's JVM ends."""
+    context = spark.sparkContext
+    path = f"{state_folder(spark).rstrip('/')}/marquee-{context.applicationId}"
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the run's folder and continue from the files.
+
+    This cuts the lineage: the loss of an executor repeats nothing that came before, and later reads take only the columns they need.
+    """
+    path = f"{run_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    known = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if t == "void" else F.col(f"`{c}`") for c, t in df.dtypes])
+    known.write.parquet(path)
+    return df.sparkSession.read.schema(known.schema).parquet(path)

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.session import state_folder
+from marquee.session import run_folder
 
 #: Characters of text handled at a time inside a task.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 2_000_000
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -23,7 +23,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage, so the loss of an executor never repeats what came before.
     """
-    path = f"{state_folder(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -76,15 +76,16 @@ def slices(batch: pa.RecordBatch, text: str, most: int = CHUNK_CHARS) -> Iterato
 
 
 def held(kind: str, key: object, make: Callable[[], object]) -> object:
-    """One object of a kind for all tasks of a worker process, made anew when ``key`` changes.
+    """One object for all tasks of a worker process, made anew when another kind or ``key`` is asked for, so that only one takes memory.
 
     It is kept on ``sys`` because functions that are sent by value get globals of their own in every task. Only what may be lost or
-    made twice belongs here: vocabularies and what was computed from them.
+    made twice belongs here: vocabularies, models and what was computed from them.
     """
     store = sys.__dict__.setdefault("_marquee_held", {})
-    if kind not in store or store[kind][0] != key:
-        store[kind] = (key, make())
-    return store[kind][1]
+    if (kind, key) not in store:
+        store.clear()
+        store[kind, key] = make()
+    return store[kind, key]
 
 
 def crc_mod(doc_id: Column | str, k: int) -> Column:
@@ -93,6 +94,12 @@ def crc_mod(doc_id: Column | str, k: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % k
 
 
+def blocks(units: Iterator[str], most: int = 300_000) -> Iterator[list[str]]:
+    """Lists of ``most`` units, for texts too long to hold all of theirs."""
+    while block := list(islice(units, most)):
+        yield block
+
+
 class Numbering(dict):
     """Numbers keys in the order in which they are first asked for."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import arrow_map, with_result
+from marquee.llm.common import arrow_map, held, with_result
 
 #: Name for a text without a letter.
 UNKNOWN = "und"
 #: Documents of each language that training reads (expected number; all of them where there are fewer).
 PER_LANGUAGE = 4000
+#: Languages that a model knows: the ones with most documents. A table of counts has a column for each.
+MOST_LANGUAGES = 64
 #: Cost of a change of language, in nats.
 SWITCH = 15.0
 #: Least share of a language's training words for a script to be one of its own.
@@ -96,12 +99,13 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
     texts lie, summed by Spark, and only the tables of bounded size reach the driver. Without any usable row no language is known.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [np.zeros((1 << b, 0)) for b in BITS], np.zeros((len(NAMES), 0), bool))
     number = F.create_map(*[F.lit(x) for k, name in enumerate(langs) for x in (name, k)])
     share = F.create_map(*[F.lit(x) for name in langs for x in (name, int(min(1.0, per_language / sizes[name]) * (1 << 30)))])
+    rows = rows.where(F.col("lang").isin(langs))
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")]).select("text", number[F.col("lang")].alias("lang"))
 
     def work(c: dict[str, list]) -> dict[str, object]:
@@ -232,11 +236,11 @@ def identify(docs: DataFrame, model: Model, name: str = "language", keep: list[s
     ``lang`` has the most letters in the best path, ``score`` is its share of them. Texts that are null, empty or without a letter
     are ``und`` with score 0 and no span. Every row gets its result; equal texts get equal ones. Only ``text`` is read.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name_of_model = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     span = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
 
     def make() -> Callable[[list[str | None]], pa.Array]:
-        label = Labeller(held.value)
+        label = held("labeller", name_of_model, lambda: Labeller(sent.value))
 
         def work(texts: list[str | None]) -> pa.Array:
             found = label(texts)

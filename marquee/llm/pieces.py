@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import Remembered, arrow_map, held
+from marquee.llm.common import CHUNK_CHARS, Remembered, arrow_map, blocks, held
 
 SPACE = "▁"
 #: No pair: above every rank.
@@ -239,9 +239,13 @@ class Codec:
 
     def encode(self, texts: list[str | None], ends: bool = True) -> list[np.ndarray]:
         """The ids of every text, with begin and end ids if asked for. Null is as empty: no piece."""
-        units = [self.unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(texts) == 1 and len(texts[0] or "") > CHUNK_CHARS:
+            parts = blocks(m.group() for m in self.unit.finditer(SPACE + texts[0].replace(" ", SPACE)))
+            found = [np.concatenate([self.ids([part])[0] for part in parts])]
+        else:
+            found = self.ids([self.unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts])
         before, after = ([self.v.bos], [self.v.eos]) if ends else ([], [])
-        return [np.concatenate([before, ids, after]).astype("<u4") for ids in self.ids(units)]
+        return [np.concatenate([before, ids, after]).astype("<u4") for ids in found]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control pieces are silent, the first space is the dummy one, a byte that makes no character is U+FFFD."""

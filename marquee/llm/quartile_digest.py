@@ -97,13 +97,13 @@ def _judge(ids: list[int | None], texts: list[str], following: list[str]) -> lis
 def compare_edited(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next): one row for every row of ``docs``.
 
-    The next document is the next in ascending doc_id order, equal ids by their text, null ids first; after the last comes the
+    The next document is the next in ascending doc_id order, equal ids by a hash of their text, null ids first; after the last comes the
     first, and a single document follows itself. Null texts count as empty. Texts are shuffled once, into ranges of doc_id that are
     sorted; a task goes through its range and knows the next text of every row but the last. The first and last row of every range
     are put aside with their texts, and the few of them are joined in a second, small step.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
+    dealt = rows.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie", "text").select("doc_id", "text")
     names = [n for n, _ in RESULT]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,7 +135,8 @@ def deduplicate(docs: DataFrame, width: int = 3) -> DataFrame:
     known = docs.where("doc_id is not null")
     found = near_duplicates(known, width)
     kept = stage(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")), "kept")
-    once, often = kept.where("_n = 1").select("doc_id"), kept.where("_n > 1").select("doc_id")
+    # nearly every document is kept, so its ids outgrow a broadcast; dealing both sides by id costs the same at every size
+    once, often = kept.where("_n = 1").select("doc_id").hint("merge"), kept.where("_n > 1").select("doc_id")
     return (known.join(once, "doc_id", "left_semi").select(docs.columns)
             .unionByName(known.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
             .unionByName(docs.where("doc_id is null")))

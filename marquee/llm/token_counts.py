@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marquee.llm.common import Numbering, held, with_result
+from marquee.llm.common import CHUNK_CHARS, Numbering, blocks, held, with_result
 from marquee.llm.pieces import SPACE, Lookup, Vocabulary, load
 
 #: What an unknown character costs more than the rarest piece.
@@ -149,6 +149,9 @@ def counts(docs: DataFrame, model: str, name: str = "counts", keep: list[str] |
         unit = re.compile("(?s).+" if whole else f"{SPACE}+[^{SPACE}]*")
 
         def work(texts: list[str | None]) -> pa.Array:
+            if len(texts) == 1 and len(texts[0] or "") > CHUNK_CHARS:  # a very long text is counted block by block
+                parts = [(len(part), int(trie.totals([part])[0])) for part in blocks(m.group() for m in unit.finditer(SPACE + texts[0].replace(" ", SPACE)))]
+                return pa.StructArray.from_arrays([pa.array([sum(c)], pa.int64()) for c in zip(*parts, strict=True)], names=["pre_tokens", "tokens"])
             units = [unit.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
             return pa.StructArray.from_arrays([pa.array([len(u) for u in units], pa.int64()), pa.array(trie.totals(units), pa.int64())], names=["pre_tokens", "tokens"])
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marquee.llm.common import Remembered, held, slices, stage
+from marquee.llm.common import CHUNK_CHARS, Remembered, blocks, held, slices, stage
 
 MAGIC = b"DAC1"
 #: Bits of a chunk, and bits of a bitmap for each entry of its rank directory.
@@ -154,9 +154,21 @@ class TextEncoder:
             flat[np.repeat(begin[some] - np.cumsum(n) + n, n) + np.arange(len(ids))] = ids
         return flat, sizes
 
+    def _cut_slowly(self, text: str) -> Iterator[str]:
+        """The units of a very long text, one by one."""
+        start, mark = 0, BARE
+        for m in self.cut.finditer(text):
+            if m.start() > start or not mark:
+                yield mark + text[start:m.start()]
+            start, mark = m.end(), ""
+        if start < len(text):
+            yield mark + text[start:]
+
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         if self.cut is None:
             return [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        if len(texts) == 1 and len(texts[0] or "") > CHUNK_CHARS:
+            return [np.concatenate([self.units([part])[0] for part in blocks(self._cut_slowly(texts[0]))])]
         units = []
         for t in texts:
             parts = self.cut.split(t or "")

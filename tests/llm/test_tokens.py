@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from marquee.llm import pieces, queries, token_counts, token_store
+from marquee.llm import common, pieces, queries, token_counts, token_store
 
 FOLDER = "/root/testdata/sf0.001"
 MODEL, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -118,3 +118,12 @@ def test_odd_rows(odd, none):
     assert [tuple(r) for r in token_counts.counts(odd, MODEL, "c_", ["doc_id"]).where("doc_id = 1").select("c_.*").collect()] == [(0, 0)]
     for made in (pieces.encode_decode(none, MODEL), token_counts.counts(none, MODEL, "c_"), token_store.index(token_store.write(none, BYTES, 2))):
         assert made.count() == 0
+
+
+def test_very_long_texts_are_done_in_blocks(monkeypatch):
+    text = "".join(random.Random(8).choice(["the ", "of", " a", "\n", ". ", ",b", "é ", "  ", "x\ny"]) for _ in range(30_000))
+    want = ([1, *LIBRARY.encode(text), 2], TOKENIZER.encode(text, add_special_tokens=False).ids)
+    for module in (pieces, token_store):
+        monkeypatch.setattr(module, "CHUNK_CHARS", 1000)
+        monkeypatch.setattr(module, "blocks", lambda units, most=700: common.blocks(units, most))
+    assert CODEC.encode([text])[0].tolist() == want[0] and STORE([text])[0].tolist() == want[1]

@@ -78,6 +78,12 @@ def batch_signatures(members: DataFrame, by: str = "batch_id") -> DataFrame:
     return ids.set_digest(members, [by], pair, size=64, name="signature")
 
 
+def left_open(pending: DataFrame, results: DataFrame) -> DataFrame:
+    """Pending rows that stay after a pass: an irrelevant result or a stored one settles its row. results: pending_id, relevant, stored."""
+    settled = results.where("not relevant or stored").select("pending_id")
+    return pending.join(settled, "pending_id", "left_anti")
+
+
 def open_groups(routes: DataFrame, signatures: DataFrame, completed: DataFrame) -> DataFrame:
     """Routes (batch_id, route_no) of batches whose signature has not finished that route yet."""
     return routes.join(signatures, "batch_id").join(completed.select("signature", "route_no"), ["signature", "route_no"], "left_anti")
@@ -116,7 +122,22 @@ def _bounded(value: Column, top: int) -> Column:
 
 
 def safe_diagnostics(rows: DataFrame) -> DataFrame:
-    """Diagnostics with known words and bounded numbers only; anything else becomes other or null."""
+    """Diagnostics with known words and bounded numbers only; anything else becomes other or null.
+
+    Optional columns: code, exception_type, usage (a struct of whole numbers) and validation_errors (an array of type and field, of
+    which the first few are kept).
+    """
+    codes = [*C.PROBLEM_CODES, *[p.replace(" ", "_") for p in C.PROBLEM_TEXTS]]
+    if "code" in rows.columns:
+        rows = rows.withColumn("code", _known(F.col("code"), codes))
+    if "exception_type" in rows.columns:
+        rows = rows.withColumn("exception_type", F.when(F.col("exception_type").isNotNull(), _known(F.col("exception_type"), C.EXCEPTION_TYPES)))
+    if "usage" in rows.columns:
+        count = lambda c: F.when((c >= 0) & (c <= C.USAGE_MOST), c.cast("bigint"))
+        rows = rows.withColumn("usage", F.when(F.col("usage").isNotNull(), F.struct(*[count(F.col("usage")[n]).alias(n) for n in C.USAGE_COUNTS])))
+    if "validation_errors" in rows.columns:
+        rows = rows.withColumn("validation_errors", F.transform(first_issues(F.col("validation_errors")), lambda e: F.struct(
+            _known(e["type"], C.VALIDATION_TYPES).alias("type"), _known(e["field"], C.DIAGNOSTIC_FIELDS).alias("field"))))
     return (rows.withColumn("operation", _known(F.col("operation"), C.DIAGNOSTIC_OPERATIONS))
             .withColumn("stage", _known(F.col("stage"), C.DIAGNOSTIC_STAGES))
             .withColumn("category", F.when(F.col("category").isNotNull(), _known(F.col("category"), C.DIAGNOSTIC_CATEGORIES)))

@@ -193,6 +193,15 @@ def duplicate_group_order(t: Tables) -> DataFrame:
     return duplicates.ordered_members(duplicates.exact_groups(t.posts())).select("obs_id", "primary_id", "member_no")
 
 
+@query("group_media", sql("posts", body="""m AS (SELECT ip_slug AS primary_id, account_id AS source_id, obs_id, published_at, unnest(['m' || (doc_id % 5), 'm' || (doc_id % 3)]) AS medium, unnest([0, 1]) AS i FROM posts)
+    SELECT primary_id, source_id, medium, arg_min(obs_id, (published_at, obs_id, i)) AS first_seen_in FROM m GROUP BY ALL"""))
+def group_media(t: Tables) -> DataFrame:
+    """Media of every source of a group, once each, with the post that shows them first."""
+    url = lambda k: F.concat(F.lit("m"), (F.col("doc_id") % k).cast("string"))
+    members = t.posts().select(F.col("ip_slug").alias("primary_id"), F.col("account_id").alias("source_id"), "obs_id", "published_at", F.array(url(5), url(3)).alias("media_urls"))
+    return duplicates.source_media(members, "media_urls", "medium").select("primary_id", "source_id", "medium", F.col("first_place.obs_id").alias("first_seen_in"))
+
+
 @query("group_sources", sql("posts", recursive=True, body=_GROUPS + """
     SELECT primary_id, obs_id AS source_id, obs_id, CASE WHEN doc_id % 4 = 0 THEN 'summary of ' || obs_id END AS summary FROM grouped"""))
 def group_sources(t: Tables) -> DataFrame:

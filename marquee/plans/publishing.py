@@ -195,6 +195,14 @@ def work_items(t: Tables) -> DataFrame:
     return pending.work_items(wanted, p).select("ip_slug", "obs_id", "content_hash")
 
 
+@query("left_open", sql("posts", body="SELECT obs_id AS pending_id FROM posts WHERE doc_id % 4 = 1 OR doc_id % 6 = 0 AND doc_id % 4 <> 0"))
+def left_open(t: Tables) -> DataFrame:
+    """Queued posts after a pass: every fourth is irrelevant, the others are stored unless their turn failed or never came."""
+    d = F.col("doc_id")
+    p = t.posts().select("doc_id", F.col("obs_id").alias("pending_id"))
+    return pending.left_open(p.select("pending_id"), p.where("doc_id % 4 <> 1").select("pending_id", (d % 4 != 0).alias("relevant"), (d % 6 != 0).alias("stored")))
+
+
 @query("work_ids", sql("posts", body=f"SELECT ip_slug || '/' || account_id AS primary_id, 'pending-ai-' || {set_sql('obs_id', 20)} AS pending_id FROM posts GROUP BY 1"))
 def work_ids(t: Tables) -> DataFrame:
     return pending.pending_ids(t.posts().select(F.concat_ws("/", "ip_slug", "account_id").alias("primary_id"), "obs_id"))
@@ -256,13 +264,21 @@ def associations(t: Tables) -> DataFrame:
 
 @query("safe_diagnostics", """
     SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'extract' ELSE 'other' END AS operation, CASE WHEN event_id % 2 = 0 THEN 'request' ELSE 'other' END AS stage, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'quota' ELSE 'other' END AS category,
-      CASE WHEN value BETWEEN 0 AND 599 THEN round(value, 4) END AS http_status, CASE WHEN event_id % 1500 <= 1000 THEN (event_id % 1500)::DOUBLE END AS attempt FROM events""")
+      CASE WHEN value BETWEEN 0 AND 599 THEN round(value, 4) END AS http_status, CASE WHEN event_id % 1500 <= 1000 THEN (event_id % 1500)::DOUBLE END AS attempt,
+      CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'field_is_not_editable' ELSE 'other' END AS code, CASE event_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'KeyError' ELSE 'other' END AS exception_type,
+      CASE WHEN event_id % 7 <> 0 THEN user_id END AS total_tokens, CASE WHEN event_id % 2 = 0 THEN 'missing/partner missing/other' ELSE 'other/other' END AS issues FROM events""")
 def safe_diagnostics(t: Tables) -> DataFrame:
     n = F.col("event_id")
     rows = t.raw("events").select("event_id", F.when(n % 3 == 0, "extract").otherwise(F.col("props")).alias("operation"), F.when(n % 2 == 0, "request").otherwise(F.col("event_type")).alias("stage"),
                                   F.when(n % 4 == 1, "quota").when(n % 4 > 1, F.col("event_type")).alias("category"), F.lit("stop").alias("finish_reason"), (n % 1500).alias("attempt"),
-                                  F.lit(1.0).alias("elapsed_seconds"), F.col("value").alias("http_status"))
-    return pending.safe_diagnostics(rows).select("event_id", "operation", "stage", "category", F.round("http_status", 4).alias("http_status"), "attempt")
+                                  F.lit(1.0).alias("elapsed_seconds"), F.col("value").alias("http_status"),
+                                  F.when(n % 3 == 0, "ok").when(n % 3 == 1, "field_is_not_editable").otherwise(F.col("props")).alias("code"),
+                                  F.when(n % 5 == 1, "KeyError").when(n % 5 > 1, F.col("event_type")).alias("exception_type"),
+                                  F.struct(F.lit(1).cast("bigint").alias("prompt_tokens"), F.lit(-1).cast("bigint").alias("completion_tokens"), F.when(n % 7 == 0, F.lit(2 * 10**9)).otherwise(F.col("user_id")).alias("total_tokens")).alias("usage"),
+                                  F.when(n % 2 == 0, F.array(*[F.struct(F.lit("missing").alias("type"), F.lit(f).alias("field")) for f in ("partner", "secret")])).otherwise(
+                                      F.array(F.struct(F.col("event_type").alias("type"), F.col("props").alias("field")))).alias("validation_errors"))
+    return pending.safe_diagnostics(rows).select("event_id", "operation", "stage", "category", F.round("http_status", 4).alias("http_status"), "attempt", "code", "exception_type",
+                                                 F.col("usage.total_tokens").alias("total_tokens"), F.array_join(F.transform("validation_errors", lambda e: F.concat_ws("/", e["type"], e["field"])), " ").alias("issues"))
 
 
 @query("diagnostics_tail", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 8")

@@ -30,12 +30,11 @@ def collect_due(jobs: DataFrame, receipts: DataFrame, points: DataFrame, activit
     heads = campaigns.where("redirected_to is null").select(
         F.col("campaign_id").alias("_c"), "ip_slug", "ip_name", F.col("title").alias("campaign_title"), F.col("status").alias("_cs"))
     live = points.select("activity_id", "action_id", F.col("at").alias("_point_at"), F.col("start_date").alias("_point_day"))
-    rows = (due.join(sent, "job_id", "left").join(owner, "activity_id", "left")
-            .withColumn("_c", F.coalesce("_a.campaign_id", "campaign_id")).join(heads, "_c", "left")
-            .join(live, ["activity_id", "action_id"], "left"))
+    rows = due.join(owner, "activity_id", "left").withColumn("_c", F.coalesce("_a.campaign_id", "campaign_id")).join(heads, "_c", "left")
     if watched is not None:
-        # names are a short list from the settings
+        # names are a short list from the settings; what nobody watches leaves before the larger joins
         rows = rows.where(F.col("ip_slug").isNull() | F.col("ip_slug").isin(watched))
+    rows = rows.join(sent, "job_id", "left").join(live, ["activity_id", "action_id"], "left")
     was_sent = F.col("_today").isNotNull()
     retold = was_sent & F.lit(include_delivered) & F.coalesce("_today", F.lit(False))
     closed = F.coalesce(F.col("_cs").isin(C.CLOSED), F.lit(False)) | F.coalesce(F.col("_a.status").isin(C.CLOSED), F.lit(False))

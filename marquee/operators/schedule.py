@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee import constants as C
@@ -41,8 +42,10 @@ def schedule_points(activities: DataFrame, actions: DataFrame, zone: str = C.DEF
                   "at": moment("start_at", "start_date"), "start_date": F.col("start_date")},
                  {"action_id": suffixed("activity_id", "--end"), "kind": F.lit("event_end"), "title": suffixed("title", C.END_SUFFIX),
                   "at": moment("end_at", "end_date"), "start_date": F.col("end_date")})
-    taken = points.select("activity_id", "at", "is_deadline")
-    return points.unionByName(extra.join(taken, ["activity_id", "at", "is_deadline"], "left_anti").select(*POINT))
+    # actions are read once: an activity's own point stays where no action has one of the same role at that instant
+    both_sides = points.withColumn("_own", F.lit(False)).unionByName(extra.withColumn("_own", F.lit(True)))
+    alone = F.min("_own").over(W.partitionBy("activity_id", "at", "is_deadline"))
+    return both_sides.withColumn("_alone", alone).where("not _own or _alone").select(*POINT)
 
 
 def wording(kind: Column, title: Column) -> Column:

@@ -86,6 +86,17 @@ def test_one_bad_update_rejects_its_group(spark):
                         "j": {"invalid fact target"}, "k": {"null is not a deletion instruction"}, "l": {"fact must cite supplied original text"}, "m": {"duplicate field operation"}}
 
 
+def test_nested_targets_must_name_their_activity(spark):
+    q, at = "限购两件", F.timestamp_seconds(F.lit(86400))
+    u = spark.createDataFrame([("g", "c", "activities.a1.actions.x1.title", "t", "p", q), ("h", "c", "activities.a2.actions.x1.title", "t", "p", q), ("i", "c", "activities.a2.rules", "t", "p", q)],
+                              "group_id STRING, campaign_id STRING, field_path STRING, value STRING, obs_id STRING, quote STRING")
+    p = spark.createDataFrame([("p", "s", "h", "每人限购两件")], "obs_id STRING, source_id STRING, content_hash STRING, text STRING").withColumn("published_at", at)
+    f = spark.createDataFrame([("c", "none", "x")], "campaign_id STRING, field_path STRING, value STRING").withColumn("published_at", at)
+    e = spark.createDataFrame([("c", "a1", None), ("c", "a2", None), ("c", "x1", "a1")], "campaign_id STRING, entity_id STRING, parent_id STRING")
+    got = {r["group_id"]: r["problem"] for r in judge_updates(u, f, p, e).collect()}
+    assert got == {"g": None, "h": "fact target must identify one existing entity", "i": None}
+
+
 def test_groups_of_a_run_settle_on_one_value(spark):
     q = "限购两件"
     got = judged(spark, [

@@ -399,11 +399,13 @@ def open_reviews(t: Tables) -> DataFrame:
 
 _FACT = """u AS (SELECT event_id, 'g-' || (event_id // 5) AS group_id, 'camp-' || user_id AS campaign_id, 'activities.' || event_type || '.' || CASE WHEN event_id % 41 = 0 THEN 'ghost' ELSE 'rules' END AS field_path,
       CASE WHEN event_id % 43 <> 0 THEN floor(value)::BIGINT::VARCHAR END AS value, 'post-' || event_id AS obs_id, CASE WHEN event_id % 47 = 0 THEN 'absent' ELSE 'value ' || floor(value)::BIGINT END AS quote, ts AS cited_at FROM events WHERE event_id % 3 <> 1),
-    st AS (SELECT 'camp-' || user_id AS campaign_id, 'activities.' || event_type || '.rules' AS field_path, arg_max(floor(value)::BIGINT::VARCHAR, ts) AS old_value, max(ts) AS proven FROM events WHERE event_id % 3 = 1 GROUP BY ALL),
+    st AS (SELECT 'camp-' || user_id AS campaign_id, 'activities.' || event_type || '.rules' AS field_path, arg_max(floor(value)::BIGINT::VARCHAR, ts) AS old_value, CASE WHEN user_id % 13 <> 0 THEN max(ts) END AS proven FROM events WHERE event_id % 3 = 1 GROUP BY user_id, event_type),
+    nw AS (SELECT 'camp-' || user_id AS campaign_id, max(ts) AS newest FROM events GROUP BY 1),
     ju AS (SELECT u.*, old_value, CASE WHEN count(*) OVER (PARTITION BY group_id, campaign_id, field_path) > 1 THEN 'duplicate field operation' WHEN quote = 'absent' THEN 'fact must cite supplied original text'
         WHEN value IS NULL THEN 'null is not a deletion instruction' WHEN field_path LIKE '%.ghost' THEN 'field is not editable'
+        WHEN old_value IS NOT NULL AND proven IS NULL AND cited_at < newest THEN 'older conflicting fact without provenance'
         WHEN old_value IS NOT NULL AND value <> old_value AND cited_at = proven THEN 'same-time conflicting evidence requires review' END AS problem,
-        proven FROM u LEFT JOIN st USING (campaign_id, field_path)),
+        proven FROM u LEFT JOIN st USING (campaign_id, field_path) LEFT JOIN nw USING (campaign_id)),
     j1 AS (SELECT * EXCLUDE (problem), problem AS p1, CASE WHEN problem IS NOT NULL THEN 'rejected' WHEN value = old_value THEN 'same' WHEN old_value IS NOT NULL AND cited_at < proven THEN 'older' ELSE 'applied' END AS o1,
         bool_and(problem IS NULL) OVER (PARTITION BY group_id) AS g1 FROM ju),
     j2 AS (SELECT *, coalesce(g1 AND o1 = 'applied' AND cited_at = max(cited_at) FILTER (WHERE g1 AND o1 = 'applied') OVER (PARTITION BY campaign_id, field_path), false) AS at_top FROM j1),
@@ -425,9 +427,11 @@ def _judged(t: Tables) -> tuple[DataFrame, DataFrame]:
     posts = e.select(F.concat(F.lit("post-"), n.cast("string")).alias("obs_id"), F.concat(F.lit("post-"), n.cast("string")).alias("source_id"), F.lit("h").alias("content_hash"),
                      F.col("ts").cast("timestamp").alias("published_at"), F.concat(F.lit("the value "), text, F.lit(" holds")).alias("text"))
     stored = e.where("event_id % 3 = 1").groupBy(camp.alias("campaign_id"), F.concat(F.lit("activities."), "event_type", F.lit(".rules")).alias("field_path")).agg(
-        F.max_by(text, F.col("ts")).alias("value"), F.max(F.col("ts").cast("timestamp")).alias("published_at"))
+        F.max_by(text, F.col("ts")).alias("value"), F.max(F.col("ts").cast("timestamp")).alias("at"), F.first("user_id").alias("user_id")).select(
+            "campaign_id", "field_path", "value", F.when(F.col("user_id") % 13 != 0, F.col("at")).alias("published_at"))
     entities = e.select(camp.alias("campaign_id"), F.col("event_type").alias("entity_id")).distinct()
-    return facts.judge_updates(updates, stored, posts, entities), stored
+    sources = e.select(camp.alias("campaign_id"), F.col("ts").cast("timestamp").alias("published_at"))
+    return facts.judge_updates(updates, stored, posts, entities, sources), stored
 
 
 @query("fact_updates", "WITH " + _FACT + " SELECT obs_id, field_path, outcome, problem, group_ok FROM judged")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from marquee.functions.times import instant
 from marquee.plans.stand_ins import Tables
-from marquee.sources import feeds, pages, registry, sinks, tables
+from marquee.operators import due
+from marquee.sources import extraction, feeds, pages, registry, sinks, tables
 from marquee.sources.pages import read_page
 from marquee.streaming import intake as streams
 
@@ -110,3 +111,26 @@ def test_scans_read_only_what_they_need(spark):
     t = Tables(spark, "/root/testdata/sf0.001")
     text = plan(t.actions().where("l_suppkey = 3").select("action_id"))
     assert "EqualTo(l_suppkey,3)" in text and "l_extendedprice" not in text
+
+
+def test_batches_run_a_job_each(spark, tmp_path):
+    land, out, seen = str(tmp_path / "land"), str(tmp_path / "out"), []
+    for k in range(3):
+        spark.createDataFrame([(k,)], "n INT").coalesce(1).write.mode("append").parquet(land)
+    streams.each_batch(streams.landing(spark, land, spark.createDataFrame([], "n INT").schema, maxFilesPerTrigger="1"), out, lambda batch, number: seen.append((number, batch.count())))
+    assert seen == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_digest_text_keeps_the_order_of_its_lines(spark, tmp_path):
+    rows = [("2026-01-02 00:00:00", "b", "j2", 0, "0", "third"), ("2026-01-01 00:00:00", "b", "j1", 1, "0", "second"), ("2026-01-01 00:00:00", "b", "j1", 0, "0", "first"), ("2026-01-02 00:00:00", "c", "j3", 0, "0", "last")]
+    due.write_digest(spark.createDataFrame(rows, "card_at STRING, ip_name STRING, card_job STRING, section INT, line_key STRING, line STRING"), str(tmp_path / "d"))
+    text = [line for part in sorted((tmp_path / "d").glob("part-*")) for line in part.read_text().splitlines()]
+    assert text == ["first", "second", "third", "last"]
+
+
+def test_answers_and_due_buckets(spark):
+    answers = spark.createDataFrame([('```json\n{"relevant": true, "partner": "P"}\n```',), ("no json",)], "answer STRING")
+    got = [r["extraction"] for r in extraction.parse_answers(answers).collect()]
+    assert got[0]["relevant"] is True and got[0]["partner"] == "P" and (got[1] is None or got[1]["relevant"] is None)
+    days = spark.sql("SELECT explode(sequence(date'2026-01-01', date'2026-01-05')) AS d")
+    assert tables.due_until(days, "d", "2026-01-03").count() == 3

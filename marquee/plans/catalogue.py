@@ -343,6 +343,17 @@ def activity_consolidation(t: Tables) -> DataFrame:
     return _consolidated(t)[0]
 
 
+@query("redirected_paths", sql("campaigns", body=_CONS + """, r AS (SELECT campaign_id, activity_id, new_id FROM k WHERE new_id <> activity_id)
+    SELECT 'f-' || o_orderkey AS fact_id, CASE WHEN o_orderkey % 4 = 0 THEN 'title' ELSE 'activities.' || coalesce(new_id, 'act-' || (o_orderkey % 20)) || CASE WHEN o_orderkey % 4 = 1 THEN '.rules' ELSE '.actions.x.at' END END AS field_path
+    FROM orders LEFT JOIN r ON r.campaign_id = 'camp-' || o_custkey AND r.activity_id = 'act-' || (o_orderkey % 20)"""))
+def redirected_paths(t: Tables) -> DataFrame:
+    """Facts of re-keyed activities follow them."""
+    k = F.col("o_orderkey")
+    path = F.when(k % 4 == 0, "title").otherwise(F.concat(F.lit("activities.act-"), (k % 20).cast("string"), F.when(k % 4 == 1, ".rules").otherwise(".actions.x.at")))
+    rows = t.raw("orders").select(F.concat(F.lit("f-"), k.cast("string")).alias("fact_id"), F.concat(F.lit("camp-"), F.col("o_custkey").cast("string")).alias("campaign_id"), path.alias("field_path"))
+    return consolidation.redirected_paths(rows, _consolidated(t)[1]).select("fact_id", "field_path")
+
+
 @query("activity_redirects", sql("campaigns", body=_CONS + """, r AS (SELECT campaign_id, activity_id, new_id FROM k WHERE new_id <> activity_id)
     SELECT 'j-' || o_orderkey AS job_id, coalesce(new_id, 'act-' || (o_orderkey % 20)) AS activity_id, CASE o_orderkey % 3 WHEN 0 THEN coalesce(new_id, 'act-' || (o_orderkey % 20)) || '--end' ELSE 'own' END AS action_id
     FROM orders LEFT JOIN r ON r.campaign_id = 'camp-' || o_custkey AND r.activity_id = 'act-' || (o_orderkey % 20)"""))

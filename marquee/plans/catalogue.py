@@ -114,6 +114,31 @@ def new_campaign_ids(t: Tables) -> DataFrame:
     return assembly.new_campaign_id(members.select("campaign_id").distinct(), members, F.concat(F.lit("phrase "), "campaign_id"))
 
 
+_ENDS = """e AS (SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y/%-m/%-d %-H:%M') || '（UTC+8）前登录' AS said, date_trunc('minute', ts) AS at_ FROM events),
+    done AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN TIMESTAMP '2030-01-01' WHEN event_id % 7 <> 0 AND event_id % 3 <> 0 THEN at_ END AS end_at, event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 3 <> 0 AS fresh FROM e)"""
+
+
+def _deadlines(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Every event as an action whose rules name a deadline: every fifth has an end, every seventh is quoted wrongly, every third has other rules."""
+    n = F.col("event_id")
+    said = F.concat(F.date_format(F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Asia/Shanghai"), "yyyy/M/d H:mm"), F.lit("（UTC+8）前登录"))
+    rows = t.raw("events").select("event_id", F.concat(F.lit("p-"), n.cast("string")).alias("obs_id"), said.alias("said"))
+    actions = rows.select("event_id", "obs_id", F.lit(0).alias("activity_no"), (n % 4).cast("int").alias("child_no"), F.when(n % 3 == 0, "see there").otherwise(F.concat(F.lit("rules: "), "said")).alias("rules"),
+                          F.when(n % 5 == 0, instant("2030-01-01 00:00:00")).alias("end_at"), F.lit(None).cast("date").alias("end_date"))
+    claims = rows.select("obs_id", F.concat(F.lit("activities[0].actions["), (n % 4).cast("string"), F.lit("].rules")).alias("field_path"), F.when(n % 7 == 0, F.concat("said", F.lit(" 或不"))).otherwise(F.col("said")).alias("quote"))
+    return assembly.complete_deadlines(actions, claims, rows.select("obs_id", F.concat(F.lit("text "), "said").alias("text")))
+
+
+@query("completed_deadlines", "WITH " + _ENDS + " SELECT event_id, strftime(end_at, '%Y-%m-%d %H:%M:%S') AS end_at FROM done")
+def completed_deadlines(t: Tables) -> DataFrame:
+    return _deadlines(t)[0].select("event_id", F.date_format("end_at", "yyyy-MM-dd HH:mm:ss").alias("end_at"))
+
+
+@query("deadline_claims", "WITH " + _ENDS + " SELECT 'p-' || event_id AS obs_id, 'activities[0].actions[' || (event_id % 4) || '].' || unnest(CASE WHEN fresh THEN ['rules', 'end_at'] ELSE ['rules'] END) AS field_path FROM done")
+def deadline_claims(t: Tables) -> DataFrame:
+    return _deadlines(t)[1].select("obs_id", "field_path")
+
+
 # --- matching -----------------------------------------------------------------------------------
 
 _MATCH = """drafts AS (SELECT 'draft-' || o_orderkey AS draft_id, 'ip-' || (c_nationkey + CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END) AS ip_slug,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import ids
 from marquee.functions.evidence import quote_matches
+from marquee.operators.assembly import with_status
 
 
 def select_activities(requested: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -76,6 +77,19 @@ def exclude(activities: DataFrame, judged: DataFrame) -> DataFrame:
         "excluded", F.coalesce("_x", "excluded")).drop("_x")
 
 
+def scope_reviews(judged: DataFrame) -> DataFrame:
+    """What is kept of every proven exclusion: (campaign_id, activity_id, obs_id, quote, reason)."""
+    return judged.where("problem is null").select("campaign_id", "activity_id", "obs_id", "quote", "reason").distinct()
+
+
+def status_after_exclusions(campaigns: DataFrame, activities: DataFrame, judged: DataFrame) -> DataFrame:
+    """Campaigns that lost an activity get the status of the remaining ones; a cancelled campaign and all others keep theirs."""
+    touched = judged.where("problem is null").select("campaign_id").distinct()
+    left = exclude(activities.join(touched, "campaign_id", "left_semi"), judged)
+    rolled = with_status(campaigns.join(touched, "campaign_id", "left_semi"), left)
+    return campaigns.join(touched, "campaign_id", "left_anti").unionByName(rolled.select(campaigns.columns))
+
+
 def normalise_resolutions(resolutions: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Resolutions (group_id, existing_id, decision, title, partner) made consistent with the store.
 

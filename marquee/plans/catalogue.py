@@ -591,11 +591,30 @@ def new_children(t: Tables) -> DataFrame:
 @query("excluded_activities", sql("posts", "activities", body="""
     SELECT activity_id, excluded OR (orderkey IN (SELECT doc_id FROM posts WHERE doc_id % 7 <> 0)) AS excluded FROM activities"""))
 def excluded_activities(t: Tables) -> DataFrame:
+    return additions.exclude(t.activities(), _judged_exclusions(t)).select("activity_id", "excluded")
+
+
+def _judged_exclusions(t: Tables) -> DataFrame:
+    """Every post asks for the activity of its number to be left out, and quotes a passage from its middle, every seventh one wrongly."""
     posts = t.posts()
-    quote = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("nowhere "), "obs_id")).otherwise(F.substring("text", 1, 60))
+    quote = F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("nowhere "), "obs_id")).otherwise(F.expr("substring(text, 1 + cast(length(text) / 2 as int), 60)"))
     asked = posts.join(t.activities().select("campaign_id", "activity_id", "orderkey"), F.col("orderkey") == F.col("doc_id")).select(
         "campaign_id", "activity_id", "obs_id", quote.alias("quote"), F.lit("unrelated").alias("reason"))
-    return additions.exclude(t.activities(), additions.judge_exclusions(asked, t.activities(), posts)).select("activity_id", "excluded")
+    return additions.judge_exclusions(asked, t.activities(), posts)
+
+
+@query("scope_reviews", sql("posts", "activities", body="SELECT campaign_id, activity_id, obs_id, substr(text, 1 + length(text) // 2, 60) AS quote FROM activities JOIN posts ON orderkey = doc_id WHERE doc_id % 7 <> 0"))
+def scope_reviews(t: Tables) -> DataFrame:
+    return additions.scope_reviews(_judged_exclusions(t)).select("campaign_id", "activity_id", "obs_id", "quote")
+
+
+@query("status_after_exclusions", sql("campaigns", "posts", "activities", body="""
+    gone AS (SELECT campaign_id, activity_id FROM activities JOIN posts ON orderkey = doc_id WHERE doc_id % 7 <> 0),
+    r AS (SELECT campaign_id, CASE WHEN NOT bool_or(status NOT IN ('ended','cancelled')) THEN 'ended' WHEN bool_or(status = 'ongoing') THEN 'ongoing'
+      WHEN bool_or(status = 'upcoming') THEN 'upcoming' ELSE 'details_pending' END AS rolled FROM activities WHERE NOT excluded AND activity_id NOT IN (SELECT activity_id FROM gone) GROUP BY 1)
+    SELECT campaign_id, CASE WHEN status = 'cancelled' OR campaign_id NOT IN (SELECT campaign_id FROM gone) THEN status ELSE coalesce(rolled, 'details_pending') END AS status FROM campaigns LEFT JOIN r USING (campaign_id)"""))
+def status_after_exclusions(t: Tables) -> DataFrame:
+    return additions.status_after_exclusions(t.campaigns(), t.activities(), _judged_exclusions(t)).select("campaign_id", "status")
 
 
 @query("resolutions", sql("campaigns", body="""r AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 <> 0 THEN 'camp-' || o_custkey END AS e, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE 'update' END AS d FROM orders)

@@ -106,10 +106,16 @@ def wanted_media(sources: DataFrame, visible: DataFrame) -> DataFrame:
     return sources.join(visible.select("campaign_id"), "campaign_id", "left_semi").select(F.explode("media_urls").alias("source_url")).distinct()
 
 
-def campaign_detail(campaigns: DataFrame, activities: DataFrame, places: DataFrame) -> DataFrame:
-    """Detail rows: campaign, activity, its place class."""
+def campaign_detail(campaigns: DataFrame, activities: DataFrame, places: DataFrame, media: DataFrame | None = None) -> DataFrame:
+    """Detail rows of a campaign: one for each activity with its place class, and with ``media`` (of :func:`campaign_media`) one for each picture.
+
+    A campaign without activities has a row of its own. Long form keeps a campaign with many pictures out of one row.
+    """
     heads = campaigns.select("campaign_id", "ip_name", "partner", F.col("title").alias("campaign_title"), F.col("status").alias("campaign_status"))
-    return heads.join(activities.drop("ip_name"), "campaign_id", "left").join(places, "activity_id", "left")
+    rows = heads.join(activities.drop("ip_name"), "campaign_id", "left").join(places, "activity_id", "left")
+    if media is None:
+        return rows
+    return rows.unionByName(heads.join(media.select("campaign_id", "source_url", "asset_path", "source_media_hash"), "campaign_id"), allowMissingColumns=True)
 
 
 def today_items(items: DataFrame, visible: DataFrame, shown: DataFrame) -> DataFrame:

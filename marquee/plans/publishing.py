@@ -106,6 +106,17 @@ def campaign_media(t: Tables) -> DataFrame:
     return views.campaign_media(_media_sources(t), assets).select("campaign_id", "source_url", big("media_no").alias("media_no"), "source_media_hash", "asset_path")
 
 
+@query("detail_media", sql("campaigns", "activities", body=_SHOWN + "," + _MEDIA + """
+    SELECT campaign_id, activity_id, NULL AS source_url FROM vc LEFT JOIN va USING (campaign_id) UNION ALL SELECT campaign_id, NULL, source_url FROM vc JOIN mm USING (campaign_id)"""))
+def detail_media(t: Tables) -> DataFrame:
+    """Details of the visible campaigns with their pictures."""
+    a = t.activities()
+    assets = _media_sources(t).select(F.explode("media_urls").alias("source_url")).distinct().withColumn("asset_path", F.lit("assets/media/x"))
+    rows = views.campaign_detail(views.visible_campaigns(t.campaigns(), a, t.now), views.visible_activities(a, t.now), views.reachability(t.venues(), a, "CITY_7", ["CITY_3", "CITY_4"]),
+                                 views.campaign_media(_media_sources(t), assets))
+    return rows.select("campaign_id", "activity_id", "source_url")
+
+
 @query("wanted_media", sql("campaigns", "activities", body=_SHOWN + "," + _MEDIA + " SELECT DISTINCT source_url FROM mm WHERE campaign_id IN (SELECT campaign_id FROM vc)"))
 def wanted_media(t: Tables) -> DataFrame:
     return views.wanted_media(_media_sources(t), views.visible_campaigns(t.campaigns(), t.activities(), t.now))

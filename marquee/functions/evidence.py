@@ -9,13 +9,15 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from marquee.constants import LOOSE_QUOTE_CHARS, NEGATION_PREFIXES, QUOTE_MARKS
+from marquee.functions.text import col, squeeze
 
 _SAME_MARK = {ord(c): plain for plain, marks in QUOTE_MARKS.items() for c in marks}
 
@@ -91,5 +93,17 @@ def aligned(quote: str | None, text: str | None) -> bool:
 
 
 @F.pandas_udf(BooleanType())
-def quote_matches(quote: pd.Series, text: pd.Series) -> pd.Series:
+def _aligned(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([aligned(q, t) for q, t in zip(quote, text)], dtype="boolean")
+
+
+def quote_matches(quote: Column | str, text: Column | str) -> Column:
+    """:func:`aligned` as a column. A quote that stands in the text as it is, never behind a negation, is found natively; only other texts go to Python.
+
+    Texts with marks or letters that normal forms join to their neighbours are not decided natively.
+    """
+    q, t = col(quote), col(text)
+    short, long = squeeze(q), squeeze(t)
+    negated = reduce(lambda a, b: a | b, [F.contains(long, F.concat(F.lit(c), short)) for c in NEGATION_PREFIXES])
+    plain = F.coalesce(short.rlike(r"[\p{L}\p{N}]") & F.contains(long, short) & ~negated & ~long.rlike(r"[\p{M}\u1100-\u11FF]"), F.lit(False))
+    return F.when(plain, F.lit(True)).otherwise(_aligned(F.when(~plain, q), F.when(~plain, t)))

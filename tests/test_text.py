@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import times
-from marquee.functions.evidence import aligned
+from marquee.functions.evidence import aligned, quote_matches
 from marquee.functions.ids import set_digest
 from marquee.functions.text import already_shown, bigrams, fold, jaccard, strip_code_fence, strip_markup
 from marquee.functions.urls import canonical_url
@@ -53,8 +53,9 @@ def test_markup_and_fences(spark):
     ("", "text", False),
     ("全国门店同步上线限定套餐", "全国门店（一）、（二）、（三）同步上线限定套餐", False),
 ])
-def test_quotes(quote, text, expected):
+def test_quotes(spark, quote, text, expected):
     assert aligned(quote, text) is expected
+    assert spark.createDataFrame([(quote, text)], "q STRING, t STRING").select(quote_matches("q", "t")).first()[0] is expected
 
 
 @pytest.mark.parametrize("line, count", [

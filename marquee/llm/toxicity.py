@@ -15,11 +15,15 @@ from marquee.llm.common import arrow_map, stage, with_result
 
 #: Labelled documents of each class that training reads (expected number; all where there are fewer).
 PER_CLASS = 8000
-#: Hash buckets of terms; terms that become features, and documents one must occur in.
-BUCKETS, FEATURES, LEAST_DOCS = 1 << 20, 4096, 4
-#: Least z-score of a term's count in toxic documents.
-LEAST_Z = 4.0
+#: Hash buckets of terms, and labelled documents a term must occur in to be a feature, whatever their labels.
+BUCKETS, LEAST_DOCS = 1 << 20, 4
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 12, 128, 0.1, 1e-4
+#: Standard deviation of factors at the beginning: small, as a text has hundreds of features and their pairs add up.
+SPREAD = 0.01
+#: z-score, of either sign, from which on a term says something alone: such terms are learned first. All others follow.
+ALONE_Z = 4.0
+#: Where sums of squared gradients begin when all features are learned; epochs without a gain on the tested documents that end it, and epochs at most.
+HELD, PATIENCE, MOST_EPOCHS = 1e-4, 4, 24
 WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that are terms besides the whole word, and the longest word that is told from its beginning.
 STEMS, LONGEST = (4, 5, 6), 20
@@ -94,21 +98,27 @@ class Machine:
     factor: np.ndarray
 
     def _parts(self, row: np.ndarray, feature: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        sums, squares = np.zeros((n, FACTORS)), np.zeros(n)
-        np.add.at(sums, row, self.factor[feature])
-        np.add.at(squares, row, (self.factor[feature] ** 2).sum(axis=1))
+        """Scores before the sigmoid and sums of factors; ``row`` is sorted."""
+        factor, sums = self.factor[feature], np.zeros((n, FACTORS))
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][:len(row)])
+        if len(starts):
+            sums[row[starts]] = np.add.reduceat(factor, starts)
+        squares = np.bincount(row, np.einsum("ij,ij->i", factor, factor), minlength=n)
         linear = np.bincount(row, self.weight[feature], minlength=n)
         return self.bias + linear + 0.5 * ((sums**2).sum(axis=1) - squares), sums
 
     def scores(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._parts(row, feature, n)[0], -30, 30)))
 
-    def train(self, row: np.ndarray, feature: np.ndarray, label: np.ndarray, seed: int = 5) -> None:
-        """Logistic loss by Adagrad over small batches; pairs learn by the factors of their members."""
+    def train(self, row: np.ndarray, feature: np.ndarray, label: np.ndarray, seed: int = 5, epochs: int = EPOCHS, held: float = 1e-6, over: Callable[[], bool] | None = None) -> None:
+        """Logistic loss by Adagrad over small batches; pairs learn by the factors of their members.
+
+        ``held`` is where the sums of squared gradients begin: the larger, the smaller the first steps. ``over`` is asked after each epoch.
+        """
         rng, n = np.random.default_rng(seed), len(label)
         ends = np.searchsorted(row, np.arange(n + 1))
-        gw, gv, gb = np.full(len(self.weight), 1e-6), np.full(self.factor.shape, 1e-6), 1e-6
-        for _ in range(EPOCHS):
+        gw, gv, gb = np.full(len(self.weight), held), np.full(self.factor.shape, held), held
+        for _ in range(epochs):
             order = rng.permutation(n)
             for k in range(0, n, BATCH):
                 some = order[k:k + BATCH]
@@ -117,11 +127,17 @@ class Machine:
                 f, r = feature[at], np.repeat(np.arange(len(some)), sizes)
                 z, sums = self._parts(r, f, len(some))
                 miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[some]
-                used, inverse = np.unique(f, return_inverse=True)
-                dw = np.bincount(inverse, miss[r], minlength=len(used)) / len(some) + DECAY * self.weight[used]
-                dv = np.zeros((len(used), FACTORS))
-                np.add.at(dv, inverse, miss[r][:, None] * (sums[r] - self.factor[f]))
-                dv = dv / len(some) + DECAY * self.factor[used]
+                by = np.argsort(f, kind="stable")
+                f, r = f[by], r[by]
+                starts = np.flatnonzero(np.r_[True, f[1:] != f[:-1]][:len(f)])
+                used = f[starts]
+                if len(used):
+                    total = np.add.reduceat(miss[r], starts)
+                    dw = total / len(some) + DECAY * self.weight[used]
+                    dv = np.add.reduceat((miss[:, None] * sums)[r], starts) - total[:, None] * self.factor[used]
+                    dv = dv / len(some) + DECAY * self.factor[used]
+                else:
+                    dw, dv = np.zeros(0), np.zeros((0, FACTORS))
                 db = miss.mean()
                 gw[used] += dw**2
                 gv[used] += dv**2
@@ -129,13 +145,59 @@ class Machine:
                 self.weight[used] -= RATE * dw / np.sqrt(gw[used])
                 self.factor[used] -= 0.3 * RATE * dv / np.sqrt(gv[used])
                 self.bias -= RATE * db / np.sqrt(gb)
+            if over and over():
+                break
+
+    def learn(self, row: np.ndarray, feature: np.ndarray, label: np.ndarray, seed: int = 5) -> None:
+        """Training of many features on few documents: those that say something alone first, then all of them from there.
+
+        A fifth of the documents tells how many epochs over all features lower the loss of documents not learned from; then all are learned.
+        """
+        n, size = len(label), len(self.weight)
+        rng = np.random.default_rng(seed)
+        tested = rng.random(n) < 0.2
+        begin = self.bias, self.weight.copy(), self.factor.copy()
+
+        def part(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            mine = docs[row]
+            return (np.cumsum(docs) - 1)[row[mine]], feature[mine], label[docs]
+
+        def run(docs: np.ndarray, epochs: int, over: Callable[[], bool] | None = None) -> None:
+            self.bias, self.weight, self.factor = begin[0], begin[1].copy(), begin[2].copy()
+            r, f, y = part(docs)
+            both, prior = np.bincount(f, minlength=size), y.mean() if len(y) else 0.0
+            z = (np.bincount(f, y[r], minlength=size) - both * prior) / np.sqrt(both * prior * (1 - prior) + 1e-9)
+            alone = np.flatnonzero(np.abs(z) >= ALONE_Z)
+            place = np.full(size, -1)
+            place[alone] = np.arange(len(alone))
+            told = place[f] >= 0
+            small = Machine(alone, self.bias, self.weight[alone], self.factor[alone])
+            small.train(r[told], place[f[told]], y, seed)
+            self.bias, self.weight[alone], self.factor[alone] = small.bias, small.weight, small.factor
+            if over is None or not over():
+                self.train(r, f, y, seed, epochs, HELD, over)
+
+        losses: list[float] = []
+        r, f, y = part(tested)
+
+        def over() -> bool:
+            p = np.clip(self.scores(r, f, len(y)), 1e-6, 1 - 1e-6)
+            losses.append(float(-np.where(y > 0, np.log(p), np.log(1 - p)).mean()))
+            return len(losses) > PATIENCE and min(losses[-PATIENCE:]) >= min(losses[:-PATIENCE])
+
+        if not len(y) or tested.all():
+            run(np.ones(n, bool), EPOCHS)
+            return
+        run(~tested, MOST_EPOCHS, over)
+        run(np.ones(n, bool), int(np.argmin(losses)))
 
 
 def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Machine:
     """Learn from ``docs`` (doc_id, text) and ``marks`` (doc_id, label), one row for a doc_id, label 0 or 1; null labels and texts are not used.
 
     Of each class about ``per_class`` marks are taken by a hash of the id; being of bounded number, they are broadcast to the texts.
-    Terms are counted by Spark, the most telling ones become features, and only the feature lists of the sample reach the driver.
+    Every term of LEAST_DOCS documents or more is a feature, whatever the labels, so that terms that say nothing alone can be learned in
+    pairs. Terms are counted by Spark, and only the feature lists of the sample reach the driver.
     The bias is moved to the share of label 1 in all marks. Without marks of both classes the score is the known share for every text.
     """
     rows = marks.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
@@ -150,24 +212,16 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Machin
     picked = stage(docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label"), "labelled")
 
     def count(c: dict[str, list]) -> dict[str, object]:
-        features, out = Features(), []
-        for label in (0, 1):
-            _, bucket = features([t for t, y in zip(c["text"], c["label"], strict=True) if y == label])
-            at, times = np.unique(bucket, return_counts=True)
-            out.append(np.stack([at, times * (1 - label), times * label]))
-        bucket, clean, toxic = np.concatenate(out, axis=1)
-        return {"bucket": pa.array(bucket), "clean": pa.array(clean), "toxic": pa.array(toxic)}
+        _, bucket = Features()(c["text"])
+        at, times = np.unique(bucket, return_counts=True)
+        return {"bucket": pa.array(at), "n": pa.array(times)}
 
     sampled = {r["label"]: r["count"] for r in picked.groupBy("label").count().collect()}
-    total = sum(sampled.values())
-    prior = sampled.get(1, 0) / max(total, 1)
-    counts = arrow_map(picked, "bucket bigint, clean bigint, toxic bigint", count).groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    both = F.col("clean") + F.col("toxic")
-    z = (F.col("toxic") - both * prior) / F.sqrt(both * prior * (1 - both / (total + 1)) + 1e-9)
-    top = counts.where(both >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
-    if not top:
+    prior = sampled.get(1, 0) / max(sum(sampled.values()), 1)
+    counts = arrow_map(picked.select("text"), "bucket bigint, n bigint", count).groupBy("bucket").agg(F.sum("n").alias("n"))
+    chosen = np.sort(counts.where(F.col("n") >= LEAST_DOCS).select("bucket").toArrow().column("bucket").to_numpy())
+    if not len(chosen):
         return machine
-    chosen = np.array(sorted(r["bucket"] for r in top))
 
     def listed(c: dict[str, list]) -> dict[str, object]:
         row, feature = Features(chosen)(c["text"])
@@ -175,15 +229,16 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Machin
         return {"label": pa.array(c["label"], pa.int32()), "features": pa.array([feature[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)], pa.list_(pa.int32()))}
 
     got = arrow_map(picked, "label int, features array<int>", listed).groupBy("label", "features").count().orderBy("label", "features").limit(4 * per_class).toArrow()
-    lists, times = got.column("features").to_pylist(), np.minimum(got.column("count").to_numpy(), per_class)
+    lists, times = got.column("features").combine_chunks(), np.minimum(got.column("count").to_numpy(), per_class)
     order = np.repeat(np.arange(len(lists)), times)
     label = got.column("label").to_numpy()[order]
-    lens = np.array([len(lists[i]) for i in order], np.int64)
+    sizes, flat = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
+    lens, begin = sizes[order], (np.cumsum(sizes) - sizes)[order]
     row = np.repeat(np.arange(len(order)), lens)
-    feature = np.array([x for i in order for x in lists[i]], np.int64)
+    feature = flat[np.arange(len(row)) + np.repeat(begin - np.cumsum(lens) + lens, lens)]
     rng = np.random.default_rng(3)
-    machine = Machine(chosen, 0.0, np.zeros(len(chosen)), rng.normal(0, 0.05, (len(chosen), FACTORS)))
-    machine.train(row, feature, label)
+    machine = Machine(chosen, 0.0, np.zeros(len(chosen)), rng.normal(0, SPREAD, (len(chosen), FACTORS)))
+    machine.learn(row, feature, label)
     machine.bias += float(np.log(share / (1 - share)) - np.log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
     return machine
 

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,26 +26,55 @@ ALONE_Z = 4.0
 #: Where sums of squared gradients begin when all features are learned; epochs without a gain on the tested documents that end it, and epochs at most.
 HELD, PATIENCE, MOST_EPOCHS = 1e-4, 4, 24
 WORD = re.compile(r"\w+")
-#: Lengths of word beginnings that are terms besides the whole word, and the longest word that is told from its beginning.
+#: Lengths of word beginnings that are terms besides the whole word, and the longest word of a script with spaces that has no others.
 STEMS, LONGEST = (4, 5, 6), 20
+#: Lengths of the runs that are terms, at every position, of words in scripts without spaces; longer words of other scripts have runs of STEMS.
+RUNS = (1, 2, 3, 4)
+#: Thai to Myanmar, Khmer, kana, Han and their extensions.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
+STEP = np.uint64(1099511628211)
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+
+
+def _runs(word: str, lengths: tuple[int, ...]) -> np.ndarray:
+    """Buckets of the word's distinct runs of these lengths at all positions; a run has the bucket of an equal beginning."""
+    codes, out = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), []
+    for n in lengths:
+        if len(codes) >= n:
+            h = np.full(len(codes) - n + 1, 7, np.uint64)
+            for j in range(n):
+                h = h * STEP + codes[j:len(codes) - n + 1 + j]
+            out.append(np.unique(_bucket(h * np.uint64(5) + np.uint64(n))))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def _terms(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word): hashed terms of every lower-case word: the word and its beginnings."""
+    """(bucket, word): hashed terms of every lower-case word: the whole word and its beginnings; runs at all positions of long and unspaced ones."""
+    parts = []
+    for i, w in enumerate(words):
+        unspaced = UNSPACED.search(w) is not None
+        if unspaced or len(w) > LONGEST:
+            runs = np.unique(_runs(w, tuple({*RUNS, *STEMS}) if unspaced else STEMS))
+            parts.append((runs, np.full(len(runs), i)))
     width = min(LONGEST, max(map(len, words), default=1))
     grid = np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
-    lens = np.fromiter((min(len(w), width) for w in words), np.int64, len(words))
+    lens = np.fromiter(map(len, words), np.int64, len(words))
     running, hashes = np.full(len(words), 7, np.uint64), {}
     for j in range(width):
-        running = np.where(grid[:, j] > 0, running * np.uint64(1099511628211) + grid[:, j], running)
+        running = np.where(grid[:, j] > 0, running * STEP + grid[:, j], running)
         if j + 1 in STEMS:
             hashes[j + 1] = running
-    parts = [(running * np.uint64(3), np.arange(len(words)))]
+    long = np.flatnonzero(lens > LONGEST)
+    if len(long):
+        running[long] = [xxhash.xxh64_intdigest(words[i].encode("utf-8", "surrogatepass")) for i in long.tolist()]
+    parts.append((_bucket(running * np.uint64(3)), np.arange(len(words))))
     for n, h in hashes.items():
-        at = np.flatnonzero(lens >= n)
-        parts.append((h[at] * np.uint64(5) + np.uint64(n), at))
-    bucket = np.concatenate([(h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44) for h, _ in parts]).astype(np.int64)
-    return bucket, np.concatenate([w for _, w in parts])
+        at = np.flatnonzero((lens >= n) & (lens <= LONGEST))
+        parts.append((_bucket(h[at] * np.uint64(5) + np.uint64(n)), at))
+    return np.concatenate([b for b, _ in parts]), np.concatenate([w for _, w in parts])
 
 
 class Features:
@@ -64,7 +94,7 @@ class Features:
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text, feature): every feature of every text once, by text."""
         words = [set(WORD.findall(t.lower())) if t else set() for t in texts]
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or len(self.flat) > 20 * self.most:
             self.forget()
         fresh = list({w for doc in words for w in doc if w not in self.known})
         if fresh:
@@ -110,17 +140,19 @@ class Machine:
     def scores(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._parts(row, feature, n)[0], -30, 30)))
 
-    def train(self, row: np.ndarray, feature: np.ndarray, label: np.ndarray, seed: int = 5, epochs: int = EPOCHS, held: float = 1e-6, over: Callable[[], bool] | None = None) -> None:
+    def train(self, row: np.ndarray, feature: np.ndarray, label: np.ndarray, seed: int = 5, epochs: int = EPOCHS, held: float = 1e-6, over: Callable[[], bool] | None = None,
+              docs: np.ndarray | None = None) -> None:
         """Logistic loss by Adagrad over small batches; pairs learn by the factors of their members.
 
         ``held`` is where the sums of squared gradients begin: the larger, the smaller the first steps. ``over`` is asked after each epoch.
+        Only ``docs`` are learned from, if given.
         """
-        rng, n = np.random.default_rng(seed), len(label)
-        ends = np.searchsorted(row, np.arange(n + 1))
+        rng, ends = np.random.default_rng(seed), np.searchsorted(row, np.arange(len(label) + 1, dtype=row.dtype))
+        docs = np.arange(len(label)) if docs is None else docs
         gw, gv, gb = np.full(len(self.weight), held), np.full(self.factor.shape, held), held
         for _ in range(epochs):
-            order = rng.permutation(n)
-            for k in range(0, n, BATCH):
+            order = rng.permutation(docs)
+            for k in range(0, len(order), BATCH):
                 some = order[k:k + BATCH]
                 sizes = ends[some + 1] - ends[some]
                 at = np.repeat(ends[some] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
@@ -158,34 +190,36 @@ class Machine:
         tested = rng.random(n) < 0.2
         begin = self.bias, self.weight.copy(), self.factor.copy()
 
-        def part(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            mine = docs[row]
-            return (np.cumsum(docs) - 1)[row[mine]], feature[mine], label[docs]
-
         def run(docs: np.ndarray, epochs: int, over: Callable[[], bool] | None = None) -> None:
             self.bias, self.weight, self.factor = begin[0], begin[1].copy(), begin[2].copy()
-            r, f, y = part(docs)
-            both, prior = np.bincount(f, minlength=size), y.mean() if len(y) else 0.0
-            z = (np.bincount(f, y[r], minlength=size) - both * prior) / np.sqrt(both * prior * (1 - prior) + 1e-9)
+            y, mine = label[docs], docs[row]
+            both, prior = np.bincount(feature[mine], minlength=size), y.mean() if len(y) else 0.0
+            z = (np.bincount(feature[mine & (label == 1)[row]], minlength=size) - both * prior) / np.sqrt(both * prior * (1 - prior) + 1e-9)
             alone = np.flatnonzero(np.abs(z) >= ALONE_Z)
             place = np.full(size, -1)
             place[alone] = np.arange(len(alone))
-            told = place[f] >= 0
+            told = mine & (place >= 0)[feature]
             small = Machine(alone, self.bias, self.weight[alone], self.factor[alone])
-            small.train(r[told], place[f[told]], y, seed)
+            small.train((np.cumsum(docs) - 1)[row[told]], place[feature[told]], y, seed)
             self.bias, self.weight[alone], self.factor[alone] = small.bias, small.weight, small.factor
+            del mine, told
             if over is None or not over():
-                self.train(r, f, y, seed, epochs, HELD, over)
+                self.train(row, feature, label, seed, epochs, HELD, over, np.flatnonzero(docs))
 
         losses: list[float] = []
-        r, f, y = part(tested)
+        ends = np.searchsorted(row, np.arange(n + 1, dtype=row.dtype))
 
         def over() -> bool:
-            p = np.clip(self.scores(r, f, len(y)), 1e-6, 1 - 1e-6)
-            losses.append(float(-np.where(y > 0, np.log(p), np.log(1 - p)).mean()))
+            lost = []
+            for some in np.array_split(np.flatnonzero(tested), tested.sum() // BATCH + 1):
+                r = np.repeat(np.arange(len(some)), ends[some + 1] - ends[some])
+                p = self.scores(r, np.concatenate([feature[ends[i]:ends[i + 1]] for i in some.tolist()]), len(some)) if len(some) else np.zeros(0)
+                p = np.clip(p, 1e-6, 1 - 1e-6)
+                lost.append(-np.where(label[some] > 0, np.log(p), np.log(1 - p)).sum())
+            losses.append(float(sum(lost)))
             return len(losses) > PATIENCE and min(losses[-PATIENCE:]) >= min(losses[:-PATIENCE])
 
-        if not len(y) or tested.all():
+        if not tested.any() or tested.all():
             run(np.ones(n, bool), EPOCHS)
             return
         run(~tested, MOST_EPOCHS, over)
@@ -233,9 +267,10 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Machin
     order = np.repeat(np.arange(len(lists)), times)
     label = got.column("label").to_numpy()[order]
     sizes, flat = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy()
-    lens, begin = sizes[order], (np.cumsum(sizes) - sizes)[order]
-    row = np.repeat(np.arange(len(order)), lens)
-    feature = flat[np.arange(len(row)) + np.repeat(begin - np.cumsum(lens) + lens, lens)]
+    begin = np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(order), dtype=np.int32), sizes[order])  # ten million entries: no wider than they must be
+    feature = np.concatenate([flat[begin[i]:begin[i] + sizes[i]] for i in order.tolist()])
+    del got, lists, flat
     rng = np.random.default_rng(3)
     machine = Machine(chosen, 0.0, np.zeros(len(chosen)), rng.normal(0, SPREAD, (len(chosen), FACTORS)))
     machine.learn(row, feature, label)

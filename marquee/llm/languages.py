@@ -95,18 +95,19 @@ class Model:
 def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from the ``text`` and non-null ``lang`` of the ``usable`` rows.
 
-    Of every language about ``per_language`` documents are taken, by a hash of their text. Runs of characters are counted where the
+    Of every language about ``per_language`` different texts are taken, by a hash of them; copies count once. Runs of characters are counted where the
     texts lie, summed by Spark, and only the tables of bounded size reach the driver. Without any usable row no language is known.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    different = rows.select(F.xxhash64("text").alias("text"), "lang").distinct()
+    sizes = {r["lang"]: r["count"] for r in different.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [np.zeros((1 << b, 0)) for b in BITS], np.zeros((len(NAMES), 0), bool))
     number = F.create_map(*[F.lit(x) for k, name in enumerate(langs) for x in (name, k)])
     share = F.create_map(*[F.lit(x) for name in langs for x in (name, int(min(1.0, per_language / sizes[name]) * (1 << 30)))])
     rows = rows.where(F.col("lang").isin(langs))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")]).select("text", number[F.col("lang")].alias("lang"))
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")]).select("text", number[F.col("lang")].alias("lang")).distinct()
 
     def work(c: dict[str, list]) -> dict[str, object]:
         out: list[np.ndarray] = []

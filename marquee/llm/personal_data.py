@@ -250,10 +250,10 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Tagger | None:
     learned, which the patterns run together. None if the corpus has no span.
     """
     rows = docs.where(F.col("text").rlike("[0-9@]")).select("text")
-    n = rows.count()
+    n = rows.select(F.xxhash64("text")).distinct().count()  # copies count once, as their share is taken by the same hash
     if not n:
         return None
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, train_docs / n) * (1 << 30)))
+    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, train_docs / n) * (1 << 30))).distinct()
 
     def work(c: dict[str, list]) -> dict[str, object]:
         symbols, tags = [], []

@@ -137,7 +137,7 @@ class Trees:
 def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
     """Learn from (url, block): about ``train_rows`` distinct URLs by their hash. Without both labels the score is the known share, 0 without any."""
     rows = labelled.where("url is not null and block is not null").select("url", F.col("block").cast("int").alias("block"))
-    n = rows.count()
+    n = rows.select(F.xxhash64("url"), "block").distinct().count()  # copies count once, as their share is taken by the same hash
     part = int(min(1.0, train_rows / max(n, 1)) * (1 << 30))
     got = rows.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < part).distinct().orderBy("url", "block").limit(4 * train_rows).toArrow()
     urls, y = got.column("url").to_pylist(), np.array(got.column("block").to_pylist(), float)

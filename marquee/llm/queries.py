@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from marquee.llm import decontaminate, languages, personal_data, pieces, quartile_digest, simhash, token_counts, token_store, toxicity, url_filter
+from marquee.llm import alignment, decontaminate, languages, packing, periods, personal_data, pieces, quartile_digest, simhash, token_counts, token_store, toxicity, url_filter
 from marquee.llm.common import crc_mod
 from marquee.session import prepare
 
@@ -124,3 +124,48 @@ def op1_token_counts(table) -> DataFrame:
     """Pre-tokens and tokens of all documents under a unigram model."""
     found = token_counts.counts(table("documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
     return found.select("doc_id", F.col("counts.pre_tokens").alias("n_pre_tokens"), F.col("counts.tokens").alias("n_tokens"))
+
+
+@query
+def op11_best_fit_packing(table) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens, a row for each piece."""
+    return packing.pack(table("documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0, most=2048)
+
+
+@query
+def op12_tokenizer_alignment(table) -> DataFrame:
+    """Groups of tokens of two tokenizers in all documents, and how often the tokens that end them do so in the corpus."""
+    found = alignment.align(table("documents").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    listed = F.col("alignment.groups")
+    rows = found.select("doc_id", "alignment.n_a", "alignment.n_b", "alignment.n_groups",
+                        F.when(listed != "", F.sha2(listed.cast("binary"), 256)).otherwise("").alias("groups_sha256"), "alignment.links")
+    return alignment.link_counts(rows)
+
+
+#: Of ten documents by the crc32 of their id, one is read with a stretch of its words repeated from a place ``a`` on every ``p`` words.
+_H = "crc32(cast(coalesce(cast(doc_id AS string), '') AS binary))"
+_WORDS = r"filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> '')"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where crc32(doc_id) is a multiple of ten, word i >= a becomes word a + (i - a) % p. A null id counts as the empty text."""
+    rows = docs.select("doc_id", "text", F.expr(f"{_H} div 10").alias("g"), F.expr(f"if({_H} % 10 = 0, {_WORDS}, null)").alias("w"))
+    placed = rows.select("doc_id", "text", "g", "w", F.expr("if(size(w) > 0, g % size(w), null)").alias("a"))
+    sized = placed.select("doc_id", "text", "w", "a", F.expr("1 + (size(w) - a) div (3 + g % 8)").alias("p"))
+    planted = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, element_at(w, cast(a + (i - a) % p AS int) + 1))), ' ')")
+    return sized.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(table) -> DataFrame:
+    """Periodic runs of words of all documents, the run of greatest exponent, and digests of the runs and of the texts without repeats."""
+    found = periods.periodic_runs(with_planted_runs(table("documents")), keep=["doc_id"])
+    # runs come by start, then period, so the first one of the greatest exponent is kept; lengths and periods are compared crosswise
+    best = F.expr("""aggregate(periodic.runs, cast(null AS struct<start: bigint, length: bigint, period: bigint>),
+                     (a, r) -> if(a IS NULL OR r.length * a.period > a.length * r.period, r, a))""")
+    listed = F.expr("array_join(transform(periodic.runs, r -> concat_ws(',', r.start, r.length, r.period) || '\n'), '')")
+    rows = found.select("doc_id", F.size("periodic.runs").cast("bigint").alias("n_runs"), best.alias("best"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("periodic.collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+                       "runs_sha256", "collapsed_sha256")

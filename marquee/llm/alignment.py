@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import held, slices, stage, with_result
-from marquee.llm.pieces import SPACE, Codec, Vocabulary, load
+from marquee.llm.common import CHUNK_CHARS, Remembered, blocks, held, slices, stage, with_result
+from marquee.llm.pieces import SPACE
 from marquee.llm.token_store import TextEncoder
 
 #: Tokens of A in a lane. Lanes are aligned side by side.
@@ -20,7 +21,9 @@ LANE = 256
 #: Tokens of A that are tried for the start of a lane inside a document.
 TRIED = 32
 #: Units of each tokenizer that a worker remembers.
-UNITS_HELD = 400_000
+UNITS_HELD = 250_000
+#: Characters of text that are aligned at a time.
+ALIGNED_CHARS = 500_000
 #: Links and documents of a chunk that shares one table of pairs.
 CHUNK_LINKS, CHUNK_DOCS = 1 << 19, 4096
 
@@ -32,22 +35,49 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class PieceEncoder:
+    """The sentencepiece library over whole texts, called once for each distinct unit of spaces and what follows them."""
+
+    def __init__(self, model: bytes):
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
+        self.bytes, inner = [], False
+        for i in range(self.model.get_piece_size()):
+            piece = self.model.id_to_piece(i)
+            self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(SPACE, " ").encode())
+            inner |= not self.model.is_control(i) and SPACE in piece.lstrip(SPACE)
+        self.unit = re.compile("(?s).+" if inner else " +[^ ]*")  # no piece goes from another character to a space
+        self.units = Remembered(self._encode, UNITS_HELD)
+
+    def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units; the library adds the first space of each."""
+        found = self.model.encode([u[1:] for u in units], num_threads=1)
+        lens = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for ids in found for i in ids), np.int32, int(lens.sum())), lens
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        if len(texts) == 1 and len(texts[0] or "") > CHUNK_CHARS:
+            return [np.concatenate([self.units([part])[0] for part in blocks(m.group() for m in self.unit.finditer(f" {texts[0]}"))])]
+        return self.units([self.unit.findall(f" {t}") if t else [] for t in texts])
+
+
 class Sides:
     """The tokens of a byte-level tokenizer (A) and of a piece model (B), with the bytes of each."""
 
-    def __init__(self, a_model: str, vocabulary: Vocabulary):
+    def __init__(self, a_model: str, b_model: bytes):
         plan = json.loads(a_model)
         special = {t["content"] for t in plan.get("added_tokens", []) if t.get("special")}
         plan["added_tokens"] = [t for t in plan.get("added_tokens", []) if t["content"] not in special]  # then their strings are plain text
         plan["post_processor"] = None
         self.a = TextEncoder(json.dumps(plan, ensure_ascii=False))
-        self.b = Codec(vocabulary)
-        self.a.units.most = self.b.ids.most = UNITS_HELD
+        self.a.units.most = UNITS_HELD
+        self.b = PieceEncoder(b_model)
         byte = _byte_alphabet()
         names = {i: p for p, i in self.a.model.get_vocab(with_added_tokens=True).items()}
         self.a_bytes = [bytes(byte[c] for c in names[i]) if i in names and all(c in byte for c in names[i]) else names.get(i, "").encode()
                         for i in range(max(names) + 1)]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if k == "byte" else p.replace(SPACE, " ").encode() for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
+        self.b_bytes = self.b.bytes
         if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
             raise ValueError("ids have 16 bits at most")
         self.shown = [f"{i}{c}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for c in ",|;"]
@@ -56,7 +86,7 @@ class Sides:
     def __call__(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of every text in A and B; none if either does not spell the text with a space before it."""
         a = self.a([f" {t}" if t else "" for t in texts])
-        b = self.b.encode(texts, ends=False)
+        b = self.b(texts)
         none = np.zeros(0, np.int64)
         for k, t in enumerate(texts):
             whole = f" {t}".encode() if t else b""
@@ -148,11 +178,11 @@ def align(docs: DataFrame, a_model: str, b_model: str, name: str = "alignment",
     repeated rows, null ids and other columns pass by; one that is called ``name`` is an error. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    with open(a_model, encoding="utf-8") as f:
-        models = spark.sparkContext.broadcast((f.read(), vars(load(b_model))))
+    with open(a_model, encoding="utf-8") as f, open(b_model, "rb") as g:
+        models = spark.sparkContext.broadcast((f.read(), g.read()))
 
     def make():
-        sides = held("alignment", (hash(models.value[0]), len(models.value[1]["pieces"])), lambda: Sides(models.value[0], Vocabulary(**models.value[1])))
+        sides = held("alignment", hash(models.value), lambda: Sides(*models.value))
 
         def work(texts: list[str | None]) -> pa.Array:
             a, b = sides(texts)
@@ -172,7 +202,7 @@ def align(docs: DataFrame, a_model: str, b_model: str, name: str = "alignment",
 
         return work
 
-    return with_result(docs, name, "struct<n_a: bigint, n_b: bigint, n_groups: bigint, groups: string, links: binary>", make, keep, text)
+    return with_result(docs, name, "struct<n_a: bigint, n_b: bigint, n_groups: bigint, groups: string, links: binary>", make, keep, text, ALIGNED_CHARS)
 
 
 def link_counts(aligned: DataFrame, links: str = "links") -> DataFrame:

@@ -41,10 +41,10 @@ def arrow_map(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict
 
 
 def with_result(docs: DataFrame, name: str, kind: str, make: Callable[[], Callable[[list[str | None]], pa.Array]], keep: list[str] | None = None,
-                text: str = "text") -> DataFrame:
+                text: str = "text", most: int = CHUNK_CHARS) -> DataFrame:
     """Columns ``keep`` of ``docs`` (all of them by default) and ``name``, computed from the whole ``text`` of every row.
 
-    ``make`` runs once in a task and gives the function from texts to results. The other columns pass by untouched, whatever
+    ``make`` runs once in a task and gives the function from texts, ``most`` characters at a time, to results. The other columns pass by untouched, whatever
     their names; one that is called ``name`` itself is an error.
     """
     keep = docs.columns if keep is None else keep
@@ -55,7 +55,7 @@ def with_result(docs: DataFrame, name: str, kind: str, make: Callable[[], Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", most):
                 yield pa.RecordBatch.from_arrays([part.column("row"), work(part.column("text").to_pylist())], names=["row", "result"])
 
     done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, result {kind}")

@@ -11,13 +11,13 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from marquee.llm import alignment, pieces, queries
+from marquee.llm import alignment, queries
 
 FOLDER = "/root/testdata/sf0.001"
 BYTES, MODEL = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 A, B = Tokenizer.from_file(BYTES), sentencepiece.SentencePieceProcessor(model_file=MODEL)
 A.encode_special_tokens = True
-SIDES = alignment.Sides(open(BYTES, encoding="utf-8").read(), pieces.load(MODEL))
+SIDES = alignment.Sides(open(BYTES, encoding="utf-8").read(), open(MODEL, "rb").read())
 ALPHABET = alignment._byte_alphabet()
 
 

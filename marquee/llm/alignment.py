@@ -47,7 +47,7 @@ class PieceEncoder:
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace(SPACE, " ").encode())
             inner |= not self.model.is_control(i) and SPACE in piece.lstrip(SPACE)
-        self.unit = re.compile("(?s).+" if inner else " +[^ ]*")  # no piece goes from another character to a space
+        self.unit = re.compile(r"(?s).+" if inner else r" +[^ ]+(?: +\Z)?| +")  # no piece goes from another character to a space
         self.units = Remembered(self._encode, UNITS_HELD)
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:

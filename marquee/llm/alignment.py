@@ -25,7 +25,7 @@ UNITS_HELD = 250_000
 #: Characters of text that are aligned at a time.
 ALIGNED_CHARS = 500_000
 #: Links and documents of a chunk that shares one table of pairs.
-CHUNK_LINKS, CHUNK_DOCS = 1 << 19, 4096
+CHUNK_LINKS, CHUNK_DOCS = 1 << 18, 4096
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -222,6 +222,7 @@ def link_counts(aligned: DataFrame, links: str = "links") -> DataFrame:
     kind = rows.schema["row"].dataType.simpleString()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("links", 0, lambda: None)  # a worker that encoded before lets go of its vocabularies
         part, seq = TaskContext.get().partitionId(), 0
         waiting: list[pa.RecordBatch] = []
         n_links = n_rows = 0
@@ -259,6 +260,7 @@ def link_counts(aligned: DataFrame, links: str = "links") -> DataFrame:
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of pairs that are not the best of their B id come as negative numbers."""
+        held("links", 0, lambda: None)
         for batch in batches:
             for k in range(len(batch)):
                 table = batch.column("table")[k].values

@@ -5,12 +5,17 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee import constants as C
 from marquee.functions.evidence import quote_matches
+from marquee.operators.ranking import positions
 from marquee.session import materialize
 
+#: Groups of one run that a window reads in a row; later slices get what earlier ones hold from one row each.
+SLICE = 4096
+
 
 def _scope(parts: Column) -> Column:
     """Entity level named by a split path, null when the nesting is not allowed."""
@@ -36,11 +41,28 @@ def judge_updates(updates: DataFrame, facts: DataFrame, posts: DataFrame, entiti
       the activity that an action or venue belongs to, which a nested target must name
     campaign_sources (optional): campaign_id, published_at; guards values without provenance
 
-    ``group_ok`` is false on all rows of a group that holds one rejected row: groups apply as a whole. Every group is judged against
-    the stored facts; an end that would lie before its start rejects it. Of the groups of one run that change the same field the one
-    with the newest cited post is applied and the others are older, or same if they say the same; different values of the newest
-    moment reject their groups.
+    Groups are judged one after the other, by their newest cited post and then by id, each against the facts that the groups before it left.
+    ``group_ok`` is false on all rows of a group that holds one rejected row or turns an interval round: such a group changes nothing. Rows
+    of a rejected group have the outcome that they would have had alone.
+
+    What a row depends on is which earlier rows of its field, its entity's interval and its campaign's sources took effect. All rows are
+    judged at once from a first guess of that, and again from the result, until nothing changes. The earliest group is right at once and
+    every turn settles at least one more group along every chain of groups that touch each other, so the end is what judging them in
+    order gives; groups that touch nothing in common, and chains in which no group fails, need no turn of their own.
     """
+    rows = materialize(_sound_rows(updates, facts, posts, entities, campaign_sources))
+    sliced = (rows.agg(F.max("_slice")).first()[0] or 0) > 0
+    while True:
+        judged = materialize(_judge_turn(rows, sliced))
+        bad = judged.where("problem is not null").groupBy("group_id").agg(F.lit(False).alias("_ok"))
+        done = judged.join(bad, "group_id", "left").withColumn("group_ok", F.coalesce("_ok", F.lit(True))).withColumn("now", F.col("group_ok") & (F.col("outcome") == "applied"))
+        if done.where("live <> now").isEmpty():
+            return done.select(*updates.columns, "source_id", "content_hash", "cited_at", "old_value", "problem", "outcome", "group_ok")
+        rows = done.withColumn("live", F.col("now")).select(*rows.columns)
+
+
+def _sound_rows(updates: DataFrame, facts: DataFrame, posts: DataFrame, entities: DataFrame, campaign_sources: DataFrame | None) -> DataFrame:
+    """Updates with all that does not depend on other groups: ``fault``, what is stored, the place ``seq`` of the group, a first ``live``."""
     parts = F.split("field_path", r"\.")
     rows = updates.withColumn("_parts", parts).withColumn("_scope", _scope(F.col("_parts"))).withColumn(
         "_entity", F.when(F.size("_parts") > 1, F.element_at("_parts", -2))).withColumn("_field", F.element_at("_parts", -1))
@@ -50,86 +72,93 @@ def judge_updates(updates: DataFrame, facts: DataFrame, posts: DataFrame, entiti
     inside = F.coalesce("parent_id", F.lit("")) if nested else F.lit("")
     known = entities.select("campaign_id", F.col("entity_id").alias("_entity"), inside.alias("_parent")).distinct().withColumn("_known", F.lit(True))
     rows = rows.withColumn("_parent", F.when((F.size("_parts") == 5) & F.lit(nested), F.try_element_at("_parts", F.lit(2))).otherwise(""))
-    stored = facts.select("campaign_id", "field_path", F.col("value").alias("old_value"), F.col("published_at").alias("_proven_at"))
+    stored = facts.select("campaign_id", "field_path", F.col("value").alias("stored_value"), F.col("published_at").alias("proven_at"))
     rows = (rows.join(repeated, ["group_id", "campaign_id", "field_path"]).join(cited, "obs_id", "left")
             .join(known, ["campaign_id", "_entity", "_parent"], "left").join(stored, ["campaign_id", "field_path"], "left"))
     newest = F.lit(None).cast("timestamp")
     if campaign_sources is not None:
         rows = rows.join(campaign_sources.groupBy("campaign_id").agg(F.max("published_at").alias("_newest")), "campaign_id", "left")
         newest = F.col("_newest")
-    rows = rows.withColumn("_quoted", quote_matches("quote", "_text"))
-    same = F.coalesce(F.col("value") == F.col("old_value"), F.lit(False))
-    proven = F.col("old_value").isNotNull() & F.col("_proven_at").isNotNull()
     status_ok = (F.col("_field") != "status") | F.col("value").isin(C.EDITABLE_STATUS)
-    problem = (
-        F.when(F.col("_repeated"), "duplicate field operation")
-        .when(~F.coalesce("_quoted", F.lit(False)), "fact must cite supplied original text")
-        .when(F.col("value").isNull(), "null is not a deletion instruction")
-        .when(F.col("_scope").isNull(), "invalid fact target")
-        .when(F.col("_entity").isNotNull() & F.col("_known").isNull(), "fact target must identify one existing entity")
-        .when(~_editable(F.col("_scope"), F.col("_field")), "field is not editable")
-        .when(~status_ok, "only explicit official status is editable")
-        .when(F.col("old_value").isNotNull() & F.col("_proven_at").isNull() & (F.col("cited_at") < newest), "older conflicting fact without provenance")
-        .when(~same & proven & (F.col("cited_at") == F.col("_proven_at")), C.SAME_TIME_CONFLICT))
-    outcome = (F.when(F.col("problem").isNotNull(), "rejected").when(same, "same")
-               .when(proven & (F.col("cited_at") < F.col("_proven_at")), "older").otherwise("applied"))
-    judged = materialize(rows.withColumn("problem", problem).withColumn("outcome", outcome).select(
-        *updates.columns, "source_id", "content_hash", "cited_at", "old_value", "problem", "outcome"))
-    turned = _turned_intervals(judged, facts)
-    judged = judged.join(turned, ["group_id", "campaign_id", "field_path"], "left").withColumn(
-        "problem", F.coalesce("problem", "_turned")).withColumn("outcome", F.when(F.col("_turned").isNotNull(), "rejected").otherwise(F.col("outcome"))).drop("_turned")
-    return _one_per_field(_with_groups(judged))
-
-
-def _with_groups(judged: DataFrame) -> DataFrame:
-    ok = judged.groupBy("group_id").agg(F.bool_and(F.col("problem").isNull()).alias("group_ok"))
-    return judged.join(ok, "group_id")
-
-
-def _turned_intervals(judged: DataFrame, facts: DataFrame) -> DataFrame:
-    """Updates after which an end would lie before its start: (group_id, campaign_id, field_path, _turned).
-
-    Proposed and stored bounds of the entities that a group touches meet in one aggregation; what is proposed goes before what is stored.
+    faults = [("repeated", F.col("_repeated")), ("quote", ~F.coalesce(quote_matches("quote", "_text"), F.lit(False))), ("null", F.col("value").isNull()),
+              ("target", F.col("_scope").isNull()), ("entity", F.col("_entity").isNotNull() & F.col("_known").isNull()),
+              ("field", ~_editable(F.col("_scope"), F.col("_field"))), ("status", ~status_ok)]
+    fault = F.coalesce(*[F.when(test, C.FACT_PROBLEMS[name]) for name, test in faults])
+    owner = F.when(F.col("_field").isin(C.INTERVAL_FIELDS), F.regexp_extract("field_path", r"^(.*?)[^.]+$", 1))
+    # the bounds that are stored for the interval that a row touches
+    bounds = facts.withColumn("_field", F.element_at(F.split("field_path", r"\."), -1)).select("campaign_id", owner.alias("_owner"), "_field", "value")
+    bounds = bounds.where("_owner is not null").groupBy("campaign_id", "_owner").agg(
+        F.struct(*[F.max(F.when(F.col("_field") == f, F.col("value"))).alias(f) for f in C.INTERVAL_FIELDS]).alias("bounds"))
+    rows = rows.withColumn("_owner", owner).join(bounds, ["campaign_id", "_owner"], "left")
+    rows = materialize(rows.select(*updates.columns, "source_id", "content_hash", "cited_at", "stored_value", "proven_at", newest.alias("newest"),
+                                   fault.alias("fault"), "_field", "_owner", "bounds"))
+    groups = rows.groupBy("group_id").agg(F.max("cited_at").alias("_at"), F.bool_and(F.col("fault").isNull()).alias("sound"))
+    placed = positions(groups, [], ["_at", "group_id"], "seq").select("group_id", "sound", "seq")
+    first = F.col("sound") & ~F.coalesce((F.col("value") == F.col("stored_value")) | (F.col("cited_at") <= F.col("proven_at")), F.lit(False))
+    return rows.join(placed, "group_id").withColumn("_slice", F.floor(F.col("seq") / SLICE)).withColumn("live", first)
+
+
+def _before(rows: DataFrame, keys: list[str], found: dict[str, Column], sliced: bool) -> DataFrame:
+    """``rows`` with the greatest of each of ``found`` among the rows of earlier groups with the same ``keys``.
+
+    A key of any size is read slice by slice of SLICE groups; one row for each slice carries what the earlier slices hold.
     """
-    split = lambda df: df.withColumns({"_field": F.regexp_extract("field_path", r"([^.]+)$", 1), "_entity": F.regexp_extract("field_path", r"^(.*?)[^.]+$", 1)}).where(
-        F.col("_field").isin(C.INTERVAL_FIELDS))
-    new = split(judged.where("outcome = 'applied'")).select("group_id", "campaign_id", "_entity", "_field", "field_path", F.col("value").alias("_new"))
-    old = split(facts).select("campaign_id", "_entity", "_field", F.col("value").alias("_old"))
-    touched = new.select("group_id", "campaign_id", "_entity").distinct()
-    both = new.select("group_id", "campaign_id", "_entity", "_field", "_new", F.lit(None).cast("string").alias("_old")).unionByName(
-        touched.join(old, ["campaign_id", "_entity"]).select("group_id", "campaign_id", "_entity", "_field", F.lit(None).cast("string").alias("_new"), "_old"))
-    pick = lambda f: F.coalesce(F.max(F.when(F.col("_field") == f, F.col("_new"))), F.max(F.when(F.col("_field") == f, F.col("_old"))))
-    bounds = both.groupBy("group_id", "campaign_id", "_entity").agg(*[pick(f).alias(f"_{f}") for f in C.INTERVAL_FIELDS])
-    at = lambda f: F.try_to_timestamp(F.col(f"_{f}"))
-    bad = (F.when(at("end_date") < at("start_date"), "end date precedes start date")
-           .when((at("end_at") < at("start_at")) | (at("end_at") < at("at")), "end precedes start"))
-    return bounds.withColumn("_turned", bad).where("_turned is not null").join(new, ["group_id", "campaign_id", "_entity"]).select(
-        "group_id", "campaign_id", "field_path", "_turned")
-
-
-def _one_per_field(judged: DataFrame) -> DataFrame:
-    """Settle fields that several groups of the run change, so that each keeps one value."""
-    key = ["campaign_id", "field_path"]
-    judged = materialize(judged)
-    live = judged.where("group_ok and outcome = 'applied'")
-    moments = live.groupBy(*key, "cited_at").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    newest = moments.groupBy(*key).agg(F.max(F.struct("cited_at", "_lo", "_hi")).alias("_n"))
-    tied = newest.where("_n._lo <> _n._hi").select(*key, F.col("_n.cited_at").alias("_tied_at"))
-    live_row = F.col("group_ok") & (F.col("outcome") == "applied")
-    rows = judged.join(tied, key, "left").withColumn("_tie", F.coalesce(live_row & (F.col("cited_at") == F.col("_tied_at")), F.lit(False)))
-    rows = rows.withColumn("problem", F.when(F.col("_tie"), C.SAME_TIME_CONFLICT).otherwise(F.col("problem"))).withColumn(
-        "outcome", F.when(F.col("_tie"), "rejected").otherwise(F.col("outcome"))).drop("_tie", "_tied_at", "group_ok")
-    rows = _with_groups(rows)
-    winner = rows.where(live_row).groupBy(*key).agg(F.max(F.struct("cited_at", "group_id", "value")).alias("_w"))
-    rows = rows.join(winner, key, "left")
-    beaten = live_row & (F.col("group_id") != F.col("_w.group_id"))
-    return rows.withColumn("outcome", F.when(beaten & (F.col("value") == F.col("_w.value")), "same").when(beaten, "older").otherwise(F.col("outcome"))).drop("_w")
+    inside = W.partitionBy(*keys, "_slice").orderBy("seq").rangeBetween(W.unboundedPreceding, -1)
+    if not sliced:  # all groups are in the first slice
+        return rows.withColumns({n: F.max(c).over(inside) for n, c in found.items()})
+    ahead = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "_slice").agg(*[F.max(c).alias(f"_c_{n}") for n, c in found.items()])
+    carried = carried.select(*keys, "_slice", *[F.max(f"_c_{n}").over(ahead).alias(f"_c_{n}") for n in found]).where("_slice > 0")
+    seen = rows.withColumns({n: F.max(c).over(inside) for n, c in found.items()})
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_slice"]]
+    return seen.alias("s").join(carried.alias("c"), same, "left").select("s.*", *[f"c._c_{n}" for n in found]).withColumns({n: F.coalesce(n, f"_c_{n}") for n in found}).drop(*[f"_c_{n}" for n in found])
+
+
+def _judge_turn(rows: DataFrame, sliced: bool) -> DataFrame:
+    """All rows judged as if just the ``live`` rows of earlier groups had taken effect."""
+    live, kept = F.col("live"), rows.columns
+    # all keys below begin with the campaign and the slice, so one shuffle serves all windows
+    rows = _before(rows, ["campaign_id"], {"_source": F.when(live, F.col("cited_at"))}, sliced)
+    rows = _before(rows, ["campaign_id", "field_path"], {"_last": F.when(live, F.struct("seq", "value", "cited_at"))}, sliced)
+    changed = F.col("_last").isNotNull()
+    rows = rows.withColumn("old_value", F.when(changed, F.col("_last.value")).otherwise(F.col("stored_value"))).withColumn(
+        "_proven", F.when(changed, F.col("_last.cited_at")).otherwise(F.col("proven_at")))
+    same = F.coalesce(F.col("value") == F.col("old_value"), F.lit(False))
+    guarded = F.col("old_value").isNotNull() & F.col("_proven").isNull() & (F.col("cited_at") < F.greatest("newest", F.when(F.col("newest").isNotNull(), F.col("_source"))))
+    problem = F.coalesce("fault", F.when(guarded, C.FACT_PROBLEMS["unproven"]).when(
+        ~same & F.col("old_value").isNotNull() & (F.col("cited_at") == F.col("_proven")), C.SAME_TIME_CONFLICT))
+    outcome = (F.when(F.col("problem").isNotNull(), "rejected").when(same, "same")
+               .when(F.col("old_value").isNotNull() & (F.col("cited_at") < F.col("_proven")), "older").otherwise("applied"))
+    rows = rows.withColumn("problem", problem).withColumn("outcome", outcome)
+    # bounds after the group: its own, else the last that took effect before, else what is stored
+    of = lambda f: F.col("_field") == f
+    rows = _before(rows, ["campaign_id", "_owner"], {f"_b_{f}": F.when(live & of(f), F.struct("seq", "value")) for f in C.INTERVAL_FIELDS}, sliced)
+    peers = W.partitionBy("campaign_id", "_owner", "_slice", "seq")
+    after = {f"_b_{f}": F.coalesce(F.max(F.when(of(f) & (F.col("outcome") == "applied"), F.col("value"))).over(peers), F.col(f"_b_{f}.value"), F.col(f"bounds.{f}"))
+             for f in C.INTERVAL_FIELDS}
+    rows = rows.withColumns(after)
+    at = lambda f: F.try_to_timestamp(F.col(f"_b_{f}"))
+    turned = (F.when(at("end_date") < at("start_date"), C.FACT_PROBLEMS["dates"])
+              .when((at("end_at") < at("start_at")) | (at("end_at") < at("at")), C.FACT_PROBLEMS["times"]))
+    hit = F.coalesce(F.col("_owner").isNotNull() & (F.col("outcome") == "applied") & turned.isNotNull(), F.lit(False))
+    rows = rows.withColumn("problem", F.when(hit, turned).otherwise(F.col("problem"))).withColumn("outcome", F.when(hit, "rejected").otherwise(F.col("outcome")))
+    return rows.select(*kept, "old_value", "problem", "outcome")
+
+
+def cited_sources(campaign_sources: DataFrame, judged: DataFrame) -> DataFrame:
+    """(campaign_id, source_id, published_at): a campaign's sources with those of applied updates that it did not have."""
+    known = campaign_sources.select("campaign_id", "source_id", "published_at")
+    new = judged.where("group_ok and outcome = 'applied'").groupBy("campaign_id", "source_id").agg(F.max("cited_at").alias("published_at"))
+    return known.unionByName(new.join(known, ["campaign_id", "source_id"], "left_anti"))
 
 
 def apply_updates(facts: DataFrame, judged: DataFrame) -> DataFrame:
     """Stored facts after the accepted groups; an unchanged value keeps its old provenance."""
-    new = judged.where("group_ok and outcome = 'applied'").select(
+    fresh = judged.where("group_ok and outcome = 'applied'").select(
         "campaign_id", "field_path", "value", F.col("cited_at").alias("published_at"), "obs_id", "source_id", "content_hash", "quote")
+    # of several that took effect one after the other the newest stays: each was newer than the one before
+    last = F.max(F.struct("published_at", *[c for c in fresh.columns if c not in ("campaign_id", "field_path", "published_at")])).alias("l")
+    new = fresh.groupBy("campaign_id", "field_path").agg(last).select("campaign_id", "field_path", "l.*")
     return facts.join(new, ["campaign_id", "field_path"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 

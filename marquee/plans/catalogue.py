@@ -433,51 +433,82 @@ def open_reviews(t: Tables) -> DataFrame:
 
 # --- facts --------------------------------------------------------------------------------------
 
-_FACT = """u AS (SELECT event_id, 'g-' || (event_id // 5) AS group_id, 'camp-' || user_id AS campaign_id, 'activities.' || event_type || '.' || CASE WHEN event_id % 41 = 0 THEN 'ghost' ELSE 'rules' END AS field_path,
-      CASE WHEN event_id % 43 <> 0 THEN floor(value)::BIGINT::VARCHAR END AS value, 'post-' || event_id AS obs_id, CASE WHEN event_id % 47 = 0 THEN 'absent' ELSE 'value ' || floor(value)::BIGINT END AS quote, ts AS cited_at FROM events WHERE event_id % 3 <> 1),
-    st AS (SELECT 'camp-' || user_id AS campaign_id, 'activities.' || event_type || '.rules' AS field_path, arg_max(floor(value)::BIGINT::VARCHAR, ts) AS old_value, CASE WHEN user_id % 13 <> 0 THEN max(ts) END AS proven FROM events WHERE event_id % 3 = 1 GROUP BY user_id, event_type),
-    nw AS (SELECT 'camp-' || user_id AS campaign_id, max(ts) AS newest FROM events GROUP BY 1),
-    ju AS (SELECT u.*, old_value, CASE WHEN count(*) OVER (PARTITION BY group_id, campaign_id, field_path) > 1 THEN 'duplicate field operation' WHEN quote = 'absent' THEN 'fact must cite supplied original text'
-        WHEN value IS NULL THEN 'null is not a deletion instruction' WHEN field_path LIKE '%.ghost' THEN 'field is not editable'
-        WHEN old_value IS NOT NULL AND proven IS NULL AND cited_at < newest THEN 'older conflicting fact without provenance'
-        WHEN old_value IS NOT NULL AND value <> old_value AND cited_at = proven THEN 'same-time conflicting evidence requires review' END AS problem,
-        proven FROM u LEFT JOIN st USING (campaign_id, field_path) LEFT JOIN nw USING (campaign_id)),
-    j1 AS (SELECT * EXCLUDE (problem), problem AS p1, CASE WHEN problem IS NOT NULL THEN 'rejected' WHEN value = old_value THEN 'same' WHEN old_value IS NOT NULL AND cited_at < proven THEN 'older' ELSE 'applied' END AS o1,
-        bool_and(problem IS NULL) OVER (PARTITION BY group_id) AS g1 FROM ju),
-    j2 AS (SELECT *, coalesce(g1 AND o1 = 'applied' AND cited_at = max(cited_at) FILTER (WHERE g1 AND o1 = 'applied') OVER (PARTITION BY campaign_id, field_path), false) AS at_top FROM j1),
-    j3 AS (SELECT *, coalesce(at_top AND min(value) FILTER (WHERE at_top) OVER (PARTITION BY campaign_id, field_path) <> max(value) FILTER (WHERE at_top) OVER (PARTITION BY campaign_id, field_path), false) AS tie FROM j2),
-    j4 AS (SELECT *, g1 AND NOT bool_or(tie) OVER (PARTITION BY group_id) AS group_ok FROM j3),
-    j5 AS (SELECT *, max({'c': cited_at, 'g': group_id, 'v': value}) FILTER (WHERE group_ok AND o1 = 'applied') OVER (PARTITION BY campaign_id, field_path) AS w FROM j4),
-    judged AS (SELECT *, CASE WHEN tie THEN 'same-time conflicting evidence requires review' ELSE p1 END AS problem,
-        CASE WHEN tie THEN 'rejected' WHEN group_ok AND o1 = 'applied' AND group_id <> w.g THEN CASE WHEN value = w.v THEN 'same' ELSE 'older' END ELSE o1 END AS outcome FROM j5)"""
+# A group holds what a user's events of three days say; the field is given by the event's number, dates of one activity may turn round.
+_FACT = """RECURSIVE f AS (SELECT *, CASE WHEN event_id % 4 = 2 THEN 'start_date' WHEN event_id % 4 = 3 THEN 'end_date' ELSE 'rules' END AS field, floor(value)::BIGINT AS n, date_trunc('day', ts) AS day FROM events),
+    v AS (SELECT *, CASE field WHEN 'rules' THEN n::VARCHAR WHEN 'start_date' THEN (ts::DATE + (n % 7)::INTEGER)::VARCHAR ELSE (ts::DATE + (n % 11)::INTEGER)::VARCHAR END AS val, 'camp-' || user_id AS campaign_id FROM f),
+    u AS (SELECT 'g-' || user_id || '-' || (epoch(day)::BIGINT // 259200) AS group_id, campaign_id, 'activities.' || event_type || '.' || CASE WHEN event_id % 41 = 0 THEN 'ghost' ELSE field END AS field_path,
+      CASE WHEN event_id % 43 <> 0 THEN val END AS value, 'post-' || event_id AS obs_id, event_id % 47 <> 0 AS quoted, day AS cited_at FROM v WHERE event_id % 3 <> 1),
+    st AS (SELECT campaign_id, 'activities.' || event_type || '.' || field AS field_path, arg_max(val, ts) AS value, CASE WHEN user_id % 13 <> 0 THEN max(day) END AS since FROM v WHERE event_id % 3 = 1 GROUP BY user_id, campaign_id, event_type, field),
+    nw AS (SELECT campaign_id, max(day) AS newest FROM v WHERE event_id % 3 = 1 GROUP BY 1),
+    ju AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY group_id, field_path) > 1 THEN 'duplicate field operation' WHEN NOT quoted THEN 'fact must cite supplied original text'
+        WHEN value IS NULL THEN 'null is not a deletion instruction' WHEN field_path LIKE '%.ghost' THEN 'field is not editable' END AS fault FROM u),
+    gr AS (SELECT campaign_id, group_id, row_number() OVER (PARTITION BY campaign_id ORDER BY max(cited_at), group_id) AS k FROM ju GROUP BY campaign_id, group_id),
+    up AS (SELECT campaign_id, k, field_path, max(value) AS new, max(cited_at) AS cited, max(fault) AS fault FROM ju JOIN gr USING (campaign_id, group_id) GROUP BY ALL),
+    paths AS (SELECT DISTINCT campaign_id, field_path FROM up UNION SELECT campaign_id, field_path FROM st),
+    walk AS (SELECT campaign_id, field_path, 0::BIGINT AS k, value, since, newest, NULL::VARCHAR AS old_value, NULL::VARCHAR AS problem, NULL::VARCHAR AS outcome, true AS group_ok
+             FROM paths LEFT JOIN st USING (campaign_id, field_path) LEFT JOIN nw USING (campaign_id)
+      UNION ALL
+      SELECT campaign_id, field_path, k, CASE WHEN ok AND outcome = 'applied' THEN new ELSE value END, CASE WHEN ok AND outcome = 'applied' THEN cited ELSE since END,
+             greatest(newest, max(cited) FILTER (WHERE ok AND outcome = 'applied') OVER (PARTITION BY campaign_id)), value, problem, outcome, ok
+      FROM (SELECT *, bool_and(problem IS NULL) OVER (PARTITION BY campaign_id) AS ok
+        FROM (SELECT * EXCLUDE (p1, o1), CASE WHEN o1 = 'applied' AND turned THEN 'end date precedes start date' ELSE p1 END AS problem, CASE WHEN o1 = 'applied' AND turned THEN 'rejected' ELSE o1 END AS outcome
+          FROM (SELECT *, coalesce(max(CASE WHEN o1 = 'applied' THEN new ELSE value END) FILTER (WHERE field_path LIKE '%.end_date') OVER ent < max(CASE WHEN o1 = 'applied' THEN new ELSE value END) FILTER (WHERE field_path LIKE '%.start_date') OVER ent, false)
+                AND (field_path LIKE '%.end_date' OR field_path LIKE '%.start_date') AS turned
+            FROM (SELECT *, CASE WHEN cited IS NULL THEN NULL WHEN p1 IS NOT NULL THEN 'rejected' WHEN new = value THEN 'same' WHEN value IS NOT NULL AND cited < since THEN 'older' ELSE 'applied' END AS o1
+              FROM (SELECT w.campaign_id, w.field_path, w.k + 1 AS k, w.value, w.since, w.newest, up.new, up.cited, CASE WHEN up.fault IS NOT NULL THEN up.fault
+                      WHEN w.value IS NOT NULL AND w.since IS NULL AND up.cited < w.newest THEN 'older conflicting fact without provenance'
+                      WHEN w.value IS NOT NULL AND up.new <> w.value AND up.cited = w.since THEN 'same-time conflicting evidence requires review' END AS p1
+                    FROM walk w LEFT JOIN up ON up.campaign_id = w.campaign_id AND up.field_path = w.field_path AND up.k = w.k + 1 WHERE w.k < (SELECT max(k) FROM gr)))
+            WINDOW ent AS (PARTITION BY campaign_id, regexp_replace(field_path, '[^.]+$', '')))))),
+    judged AS (SELECT ju.obs_id, ju.field_path, ju.value, ju.campaign_id, ju.cited_at, w.old_value, w.problem, w.outcome, w.group_ok
+        FROM ju JOIN gr USING (campaign_id, group_id) JOIN walk w ON w.campaign_id = ju.campaign_id AND w.field_path = ju.field_path AND w.k = gr.k)"""
 
 
 def _judged(t: Tables) -> tuple[DataFrame, DataFrame]:
     e = t.raw("events")
-    n, text = F.col("event_id"), F.floor("value").cast("bigint").cast("string")
-    camp = F.concat(F.lit("camp-"), F.col("user_id").cast("string"))
+    n, number = F.col("event_id"), F.floor("value").cast("bigint")
+    field = F.when(n % 4 == 2, "start_date").when(n % 4 == 3, "end_date").otherwise("rules")
+    ahead = lambda k: F.date_add(F.to_date("ts"), F.pmod(number, F.lit(k)).cast("int")).cast("string")
+    e = e.select("*", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day"), F.concat(F.lit("camp-"), F.col("user_id").cast("string")).alias("campaign_id"), field.alias("field")).withColumn(
+        "val", F.when(F.col("field") == "rules", number.cast("string")).when(F.col("field") == "start_date", ahead(7)).otherwise(ahead(11)))
+    post = F.concat(F.lit("post-"), n.cast("string"))
+    path = F.concat(F.lit("activities."), "event_type", F.lit("."), "field")
+    group = F.concat(F.lit("g-"), F.col("user_id").cast("string"), F.lit("-"), F.floor(F.unix_seconds("day") / 259200).cast("string"))
     updates = e.where("event_id % 3 <> 1").select(
-        F.concat(F.lit("g-"), F.floor(n / 5).cast("string")).alias("group_id"), camp.alias("campaign_id"),
-        F.concat(F.lit("activities."), "event_type", F.when(n % 41 == 0, ".ghost").otherwise(".rules")).alias("field_path"), F.when(n % 43 != 0, text).alias("value"),
-        F.concat(F.lit("post-"), n.cast("string")).alias("obs_id"), F.when(n % 47 == 0, "absent").otherwise(F.concat(F.lit("value "), text)).alias("quote"))
-    posts = e.select(F.concat(F.lit("post-"), n.cast("string")).alias("obs_id"), F.concat(F.lit("post-"), n.cast("string")).alias("source_id"), F.lit("h").alias("content_hash"),
-                     F.col("ts").cast("timestamp").alias("published_at"), F.concat(F.lit("the value "), text, F.lit(" holds")).alias("text"))
-    stored = e.where("event_id % 3 = 1").groupBy(camp.alias("campaign_id"), F.concat(F.lit("activities."), "event_type", F.lit(".rules")).alias("field_path")).agg(
-        F.max_by(text, F.col("ts")).alias("value"), F.max(F.col("ts").cast("timestamp")).alias("at"), F.first("user_id").alias("user_id")).select(
+        group.alias("group_id"), "campaign_id", F.when(n % 41 == 0, F.concat(F.lit("activities."), "event_type", F.lit(".ghost"))).otherwise(path).alias("field_path"),
+        F.when(n % 43 != 0, F.col("val")).alias("value"), post.alias("obs_id"), F.when(n % 47 == 0, "absent").otherwise(F.concat(F.lit("value "), "val")).alias("quote"))
+    posts = e.select(post.alias("obs_id"), post.alias("source_id"), F.lit("h").alias("content_hash"), F.col("day").alias("published_at"), F.concat(F.lit("the value "), "val", F.lit(" holds")).alias("text"))
+    stored = e.where("event_id % 3 = 1").groupBy("campaign_id", path.alias("field_path")).agg(
+        F.max_by("val", F.col("ts")).alias("value"), F.max("day").alias("at"), F.first("user_id").alias("user_id")).select(
             "campaign_id", "field_path", "value", F.when(F.col("user_id") % 13 != 0, F.col("at")).alias("published_at"))
-    entities = e.select(camp.alias("campaign_id"), F.col("event_type").alias("entity_id")).distinct()
-    sources = e.select(camp.alias("campaign_id"), F.col("ts").cast("timestamp").alias("published_at"))
-    return facts.judge_updates(updates, stored, posts, entities, sources), stored
+    entities = e.select("campaign_id", F.col("event_type").alias("entity_id")).distinct()
+    return facts.judge_updates(updates, stored, posts, entities, _fact_sources(t)), stored
+
+
+def _fact_sources(t: Tables) -> DataFrame:
+    """The sources that the stored campaigns have."""
+    return t.raw("events").where("event_id % 3 = 1").select(
+        F.concat(F.lit("camp-"), F.col("user_id").cast("string")).alias("campaign_id"), F.concat(F.lit("post-"), F.col("event_id").cast("string")).alias("source_id"),
+        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("published_at"))
 
 
 @query("fact_updates", "WITH " + _FACT + " SELECT obs_id, field_path, outcome, problem, group_ok FROM judged")
 def fact_updates(t: Tables) -> DataFrame:
+    """Groups of updates judged one after the other."""
     return _judged(t)[0].select("obs_id", "field_path", "outcome", "problem", "group_ok")
 
 
+@query("sources_after_updates", "WITH " + _FACT + """
+    SELECT campaign_id, count(*)::BIGINT AS n, max(source_id) AS last FROM (SELECT campaign_id, 'post-' || event_id AS source_id FROM v WHERE event_id % 3 = 1
+      UNION SELECT campaign_id, obs_id FROM judged WHERE group_ok AND outcome = 'applied') GROUP BY 1""")
+def sources_after_updates(t: Tables) -> DataFrame:
+    """Sources of every campaign with those that its updates cite."""
+    found = facts.cited_sources(_fact_sources(t), _judged(t)[0])
+    return found.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n"), F.max("source_id").alias("last"))
+
+
 @query("facts_after_updates", "WITH " + _FACT + """
-    SELECT campaign_id, field_path, count(*)::BIGINT AS n, min(value) AS value FROM (SELECT campaign_id, field_path, value FROM judged WHERE group_ok AND outcome = 'applied'
-      UNION ALL SELECT campaign_id, field_path, old_value FROM st WHERE (campaign_id, field_path) NOT IN (SELECT (campaign_id, field_path) FROM judged WHERE group_ok AND outcome = 'applied')) GROUP BY ALL""")
+    SELECT campaign_id, field_path, 1::BIGINT AS n, value FROM walk WHERE k = (SELECT max(k) FROM gr) AND value IS NOT NULL""")
 def facts_after_updates(t: Tables) -> DataFrame:
     judged, stored = _judged(t)
     return facts.apply_updates(stored, judged).groupBy("campaign_id", "field_path").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("value"))

@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions.times import instant
+from marquee.operators import facts as facts_module
 from marquee.operators.consolidation import consolidate_activities, partner_targets
 from marquee.operators.facts import judge_updates, latest_facts
 from marquee.operators.merging import merge_scalars
@@ -104,8 +106,79 @@ def test_groups_of_a_run_settle_on_one_value(spark):
         ("f", "c", "partner", "x", "p4", q), ("g", "c", "activities.a1.rules", "u", "p2", q), ("h", "c", "activities.a1.end_date", "2026-01-01", "p6", q), ("i", "c", "activities.a1.actions.x1.end_at", "2026-01-03T00:00:00+08:00", "p6", q)],
         [("c", "activities.a1.start_date", "2026-02-01", 1), ("c", "activities.a1.actions.x1.at", "2026-01-02T00:00:00+08:00", 1)])
     short = {(k[0], k[1].rsplit(".", 1)[-1]): (v[0], v[2]) for k, v in got.items()}
-    assert short == {("a", "title"): ("older", True), ("b", "title"): ("applied", True), ("d", "title"): ("older", True), ("e", "rules"): ("rejected", False), ("f", "rules"): ("rejected", False),
-                     ("f", "partner"): ("applied", False), ("g", "rules"): ("applied", True), ("h", "end_date"): ("rejected", False), ("i", "end_at"): ("applied", True)}
+    assert short == {("d", "title"): ("applied", True), ("g", "rules"): ("applied", True), ("a", "title"): ("applied", True), ("e", "rules"): ("applied", True), ("f", "rules"): ("rejected", False),
+                     ("f", "partner"): ("applied", False), ("b", "title"): ("applied", True), ("h", "end_date"): ("rejected", False), ("i", "end_at"): ("applied", True)}
+
+
+def loop_over_groups(updates, stored, day_of, newest):
+    """The rule, group after group: {(group, path): (outcome, problem, group_ok)} and the facts that are left."""
+    facts, out = dict(stored), {}
+    groups = {}
+    for g, path, value, post in updates:
+        groups.setdefault(g, []).append((path, value, post))
+    for g in sorted(groups, key=lambda g: (max(day_of[p] for *_, p in groups[g]), g)):
+        trial, rows, cited = dict(facts), {}, []
+        for path, value, post in groups[g]:
+            old, at = facts.get(path, (None, None))
+            if old is not None and at is None and day_of[post] < newest:
+                rows[path] = ("rejected", "older conflicting fact without provenance")
+            elif value == old:
+                rows[path] = ("same", None)
+            elif old is not None and at is not None and day_of[post] == at:
+                rows[path] = ("rejected", "same-time conflicting evidence requires review")
+            elif old is not None and at is not None and day_of[post] < at:
+                rows[path] = ("older", None)
+            else:
+                rows[path], trial[path] = ("applied", None), (value, day_of[post])
+                cited.append(day_of[post])
+        for path, (outcome, _) in list(rows.items()):
+            entity, _, field = path.rpartition(".")
+            start, end = (trial.get(f"{entity}.{f}", (None,))[0] for f in ("start_date", "end_date"))
+            if outcome == "applied" and field in ("start_date", "end_date") and start and end and end < start:
+                rows[path] = ("rejected", "end date precedes start date")
+        ok = all(problem is None for _, problem in rows.values())
+        if ok:
+            facts, newest = trial, max([newest, *cited])
+        out |= {(g, path): (*row, ok) for path, row in rows.items()}
+    return out, facts
+
+
+@pytest.mark.parametrize("seed, slices", [(1, 4096), (2, 3), (3, 1)])
+def test_updates_equal_a_loop_over_groups(spark, monkeypatch, seed, slices):
+    monkeypatch.setattr(facts_module, "SLICE", slices)
+    rng, q = random.Random(seed), "限购两件"
+    day_of = {f"p{i}": rng.randrange(2, 12) for i in range(1, 13)}
+    paths = [f"activities.a{k}.{f}" for k in (1, 2) for f in ("start_date", "end_date", "rules")] + ["title"]
+    updates, stored = [], {}
+    for c in range(12):
+        for g in range(rng.randrange(2, 14)):
+            for path in rng.sample(paths, rng.randrange(1, 4)):
+                updates.append((f"c{c}", f"g{c}-{g:02d}", path, f"2024-05-{rng.randrange(1, 7):02d}", rng.choice(list(day_of))))
+        stored[f"c{c}"] = {p: (f"2024-05-{rng.randrange(1, 7):02d}" if not p.endswith("end_date") else "2024-05-06", rng.choice([None, 3, 4, 7])) for p in paths if rng.random() < 0.5}
+    want, left = {}, {}
+    for c, known in stored.items():
+        out, after = loop_over_groups([u[1:] for u in updates if u[0] == c], known, day_of, 5)
+        want |= out
+        left |= {(c, p): v[0] for p, v in after.items()}
+    day = lambda c: F.timestamp_seconds(F.col(c) * 86400)
+    u = spark.createDataFrame([(g, c, p, v, o, q) for c, g, p, v, o in updates], "group_id STRING, campaign_id STRING, field_path STRING, value STRING, obs_id STRING, quote STRING")
+    f = spark.createDataFrame([(c, p, v, d) for c, known in stored.items() for p, (v, d) in known.items()], "campaign_id STRING, field_path STRING, value STRING, day INT").select(
+        "campaign_id", "field_path", "value", day("day").alias("published_at"))
+    p = spark.createDataFrame(list(day_of.items()), "obs_id STRING, day INT").select("obs_id", F.col("obs_id").alias("source_id"), F.lit("h").alias("content_hash"), day("day").alias("published_at"), F.lit("新规则：限购两件").alias("text"))
+    e = spark.createDataFrame([(f"c{c}", a) for c in range(12) for a in ("a1", "a2")], "campaign_id STRING, entity_id STRING")
+    s = spark.createDataFrame([(f"c{c}", "first", 5) for c in range(12)], "campaign_id STRING, source_id STRING, day INT").select("campaign_id", "source_id", day("day").alias("published_at"))
+    done = judge_updates(u, f, p, e, s).cache()
+    assert {(r["group_id"], r["field_path"]): (r["outcome"], r["problem"], r["group_ok"]) for r in done.collect()} == want
+    assert {(r["campaign_id"], r["field_path"]): r["value"] for r in facts_module.apply_updates(f, done).collect()} == left
+    applied = {(r["campaign_id"], r["source_id"]) for r in done.collect() if r["group_ok"] and r["outcome"] == "applied"}
+    assert {(r["campaign_id"], r["source_id"]) for r in facts_module.cited_sources(s, done).collect()} == applied | {(f"c{c}", "first") for c in range(12)}
+    assert {v[1] for v in want.values()} >= {"end date precedes start date", "same-time conflicting evidence requires review", None}
+
+
+def test_two_groups_that_only_together_turn_an_interval(spark):
+    q = "限购两件"
+    got = judged(spark, [("g1", "c", "activities.a1.start_date", "2024-05-10", "p6", q), ("g2", "c", "activities.a1.end_date", "2024-05-01", "p7", q)], [("c", "none", "x", 1)])
+    assert {k[0]: v for k, v in got.items()} == {"g1": ("applied", None, True), "g2": ("rejected", "end date precedes start date", False)}
 
 
 def test_latest_facts_mark_ties(spark):

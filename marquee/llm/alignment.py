@@ -25,7 +25,7 @@ UNITS_HELD = 250_000
 #: Characters of text that are aligned at a time.
 ALIGNED_CHARS = 500_000
 #: Links and documents of a chunk that shares one table of pairs.
-CHUNK_LINKS, CHUNK_DOCS = 1 << 18, 4096
+CHUNK_LINKS, CHUNK_DOCS = 1 << 20, 4096
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -255,23 +255,21 @@ def link_counts(aligned: DataFrame, links: str = "links") -> DataFrame:
     counts = stage(listed.groupBy("pair").agg(F.sum("n").alias("n")), "pairs").withColumn("b", F.shiftright("pair", 16))
     best = counts.groupBy("b").agg(F.max("n").alias("most"))
     scored = stage(counts.join(best, "b").select("pair", F.when(F.col("n") == F.col("most"), F.col("n")).otherwise(-F.col("n")).alias("count")), "scored")
-    tables = listed.select("chunk", "k", "pair").join(scored, "pair").groupBy("chunk").agg(F.collect_list(F.struct("k", "count")).alias("table"))
-    joined = chunks.select("chunk", "rows", "sizes", "index").join(tables, "chunk", "left").select("rows", "sizes", "index", "table")
+    table = listed.select("chunk", "k", "pair").join(scored, "pair").select("chunk", "k", "count")
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look_up(chunk: pa.Table, table: pa.Table) -> pa.Table:
         """Counts of pairs that are not the best of their B id come as negative numbers."""
-        held("links", 0, lambda: None)
-        for batch in batches:
-            for k in range(len(batch)):
-                table = batch.column("table")[k].values
-                count = np.zeros(0 if table is None else len(table), np.int64)
-                if table is not None:
-                    count[table.field("k").to_numpy()] = table.field("count").to_numpy()
-                sizes = batch.column("sizes")[k].values.to_numpy().astype(np.int64)
-                got = count[np.frombuffer(batch.column("index")[k].as_py(), "<u4")]
-                upto = np.cumsum(sizes)
-                total, good = (np.r_[0, np.cumsum(x)] for x in (np.abs(got), (got > 0).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("rows")[k].values, pa.array(sizes), pa.array(good[upto] - good[upto - sizes]), pa.array(total[upto] - total[upto - sizes])],
-                                                 names=["row", "n_links", "n_best", "count_sum"])
-
-    return joined.mapInArrow(look_up, f"row {kind}, n_links bigint, n_best bigint, count_sum bigint").select("row.*", "n_links", "n_best", "count_sum")
+        count = np.zeros(len(table), np.int64)
+        count[table.column("k").to_numpy()] = table.column("count").to_numpy()
+        done = []
+        for one in chunk.to_batches(max_chunksize=1):
+            sizes = one.column("sizes")[0].values.to_numpy().astype(np.int64)
+            got = count[np.frombuffer(one.column("index")[0].as_py(), "<u4")]
+            upto = np.cumsum(sizes)
+            good = np.r_[0, np.cumsum(got > 0)]
+            total = np.r_[0, np.cumsum(np.abs(got, out=got))]
+            done.append(pa.table({"row": one.column("rows")[0].values, "n_links": sizes, "n_best": good[upto] - good[upto - sizes], "count_sum": total[upto] - total[upto - sizes]}))
+        return pa.concat_tables(done)
+
+    joined = chunks.select(F.col("chunk").alias("of"), "rows", "sizes", "index").groupBy("of").cogroup(table.groupBy("chunk"))
+    return joined.applyInArrow(look_up, f"row {kind}, n_links bigint, n_best bigint, count_sum bigint").select("row.*", "n_links", "n_best", "count_sum")

@@ -76,13 +76,29 @@ def last_receipts(receipts: DataFrame, by: str = "campaign_id") -> DataFrame:
     return last.select(by, F.col("_l.job_id").alias("receipt_id"), F.col("_l.sent_at").alias("sent_at"))
 
 
-def baselines(delivered: DataFrame, stored: DataFrame, covered: DataFrame) -> DataFrame:
+def baseline_heads(delivered: DataFrame, stored: DataFrame, covered: DataFrame) -> DataFrame:
+    """(campaign_id, receipt_id, rank): the receipt that a campaign's readers have last seen, whether or not it kept any facts.
+
+    Delivered receipts of the campaign itself go first, then its stored baseline, then receipts of the notices it covers. ``delivered`` and
+    ``covered`` are (campaign_id, job_id, sent_at), ``stored`` is (campaign_id, receipt_id).
+    """
+    last = lambda df, n: last_receipts(df).select("campaign_id", "receipt_id", F.lit(n).alias("rank"))
+    rows = last(delivered, 1).unionByName(stored.select("campaign_id", "receipt_id", F.lit(2).alias("rank"))).unionByName(last(covered, 3))
+    first = F.min(F.struct("rank", "receipt_id")).alias("_f")
+    return rows.groupBy("campaign_id").agg(first).select("campaign_id", F.col("_f.receipt_id").alias("receipt_id"), F.col("_f.rank").alias("rank"))
+
+
+def baselines(delivered: DataFrame, stored: DataFrame, covered: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """The facts a reader has, per campaign: delivered ones, else the stored baseline, else those of covered notices.
 
-    All three are FACT rows with ``receipt_id``; a campaign takes all of its rows from one of them.
+    All three are FACT rows with ``receipt_id``; a campaign takes all of its rows from one of them. With ``heads`` of
+    :func:`baseline_heads` that one is known for every campaign and each table is read once, by a semi-join with a campaign-level table.
     """
-    mark = lambda df, n: df.select(*FACT, "receipt_id", F.lit(n).alias("_rank"))
-    rows = reduce(DataFrame.unionByName, [mark(delivered, 1), mark(stored, 2), mark(covered, 3)])
+    tables = [delivered, stored, covered]
+    if heads is not None:
+        return reduce(DataFrame.unionByName, [df.select(*FACT, "receipt_id").join(heads.where(F.col("rank") == n).select("campaign_id"), "campaign_id", "left_semi")
+                                              for n, df in enumerate(tables, 1)])
+    rows = reduce(DataFrame.unionByName, [df.select(*FACT, "receipt_id", F.lit(n).alias("_rank")) for n, df in enumerate(tables, 1)])
     best = rows.groupBy("campaign_id").agg(F.min("_rank").alias("_rank"))
     return rows.join(best, ["campaign_id", "_rank"]).drop("_rank")
 
@@ -158,7 +174,8 @@ def campaign_jobs(campaign_ids: DataFrame, snapshot: DataFrame, baseline: DataFr
     """One notice job per managed campaign whose delta has something to say, unless already sent.
 
     The id covers campaign, baseline receipt and the whole snapshot, so the same state never makes
-    a second job. ``campaign_ids`` is the managed set; ``sent`` holds receipts' job ids.
+    a second job. ``campaign_ids`` is the managed set; ``baseline`` has the campaign's receipt_id, in its rows of facts or in
+    :func:`baseline_heads`, where a receipt without facts counts as well; ``sent`` holds receipts' job ids.
     """
     base = baseline.groupBy("campaign_id").agg(F.max("receipt_id").alias("receipt_id"))
     speaks = lines.select("campaign_id").distinct().withColumn("_said", F.lit(True))
@@ -304,6 +321,18 @@ def resolve_candidates(notices: DataFrame, links: DataFrame, jobs: DataFrame, re
     return rows.select("candidate_id", "campaign_id", step.alias("step"))
 
 
+def enriched_jobs(steps: DataFrame, jobs: DataFrame, campaigns: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Unsent announcements of notices to ``enrich``: the jobs with their campaign and its title, and a line for every fact.
+
+    (job_id, campaign_id, summary) and (job_id, entity_id, label, value, line); the lines in the order of entity and label are what the
+    summary goes on with. ``facts`` are FACT rows, ``campaigns`` has campaign_id and title.
+    """
+    told = steps.where("step = 'enrich'").select(F.col("candidate_id").alias("job_id"), "campaign_id").join(jobs.select("job_id"), "job_id", "left_semi")
+    heads = told.join(campaigns.select("campaign_id", "title"), "campaign_id").select("job_id", "campaign_id", F.concat(F.lit(C.STRUCTURED_SUMMARY), "title").alias("summary"))
+    lines = told.join(facts.select(*FACT), "campaign_id").select("job_id", "entity_id", "label", "value", F.concat("label", F.lit("："), "value").alias("line"))
+    return heads, lines
+
+
 def supplement_jobs(steps: DataFrame, last: DataFrame, delta: DataFrame, jobs: DataFrame, receipts: DataFrame, links: DataFrame,
                     now: Column, zone: str = C.DEFAULT_ZONE) -> DataFrame:
     """One update job per campaign with unseen facts; an unsent update of the related set keeps its id and day.

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.functions.times import instant
-from marquee.operators import pending, review, screening, views
+from marquee.operators import passes, pending, review, screening, views
+from marquee.operators.delivery import Ledger
 from marquee.plans.catalog import query, set_sql
-from marquee.plans.catalogue import extractions
+from marquee.plans.catalogue import _LINES, extractions
 from marquee.plans.material import big, day_text, stamp
 from marquee.plans.reminders import points
 from marquee.plans.stand_ins import ACTION_TERMS, TERMS, Tables
 from marquee.plans.views_sql import sql
-from marquee.session import state_folder
+from marquee.session import materialize, run_folder, state_folder
+from marquee.sources.snapshots import Snapshots
 from marquee.streaming import intake as streams
 
 # --- views --------------------------------------------------------------------------------------
@@ -414,12 +417,62 @@ def fingerprints(t: Tables) -> DataFrame:
     return review.fingerprint_mismatches(files.where("page_id % 9 <> 1"), pinned).select("file")
 
 
-@query("idempotence", sql("feed", body="SELECT post_id, 'first' AS side FROM feed WHERE post_id::BIGINT % 500 = 0 UNION ALL SELECT post_id || '-new', 'second' FROM feed WHERE post_id::BIGINT % 500 = 0"))
+_PASS = _LINES + """,
+    cp AS (SELECT DISTINCT campaign_id FROM drafted), kept AS (SELECT campaign_id, activity_id, fl, published_at, no, obs_id FROM drafted QUALIFY row_number() OVER (PARTITION BY activity_id ORDER BY obs_id, no) = 1),
+    xs AS (SELECT activity_id, 'action-' || sha256(replace(activity_id, '-', '') || chr(31) || 'saleopen' || chr(31) || fl)[1:16] AS action_id, published_at, no FROM drafted
+           QUALIFY row_number() OVER (PARTITION BY activity_id, fl ORDER BY obs_id, no) = 1),
+    pts AS (SELECT activity_id, action_id AS point FROM xs WHERE no % 2 = 0
+      UNION SELECT activity_id, activity_id || '--start' FROM kept k WHERE no % 5 = 0 AND NOT EXISTS (SELECT 1 FROM xs WHERE xs.activity_id = k.activity_id AND xs.no % 2 = 0 AND xs.published_at = k.published_at)
+      UNION SELECT activity_id, activity_id || '--end' FROM kept WHERE no % 5 = 0)"""
+
+
+@query("idempotence", sql("posts", body=_PASS + """
+    SELECT name, n, 0::BIGINT AS differences FROM (SELECT 'posts' AS name, count(*)::BIGINT AS n FROM posts UNION ALL SELECT 'campaigns', count(*) FROM cp UNION ALL SELECT 'activities', count(*) FROM kept
+      UNION ALL SELECT 'actions', count(*) FROM xs UNION ALL SELECT 'jobs', (SELECT count(*) FROM cp) + (SELECT count(*) FROM pts) UNION ALL SELECT 'receipts', count(*) + 1 FROM cp)"""))
 def idempotence(t: Tables) -> DataFrame:
-    """Two passes over one input, the second of which renames some rows."""
-    first = t.feed().select("post_id")
-    second = first.select(F.when(F.col("post_id").cast("bigint") % 500 == 0, F.concat("post_id", F.lit("-new"))).otherwise(F.col("post_id")).alias("post_id"))
-    return review.repeat_differences(first, second)
+    """The composed pass run twice over all posts: rows of every table, and by how many the second run differs."""
+    state, ledger = new_state(t)
+    posts = extractions(t).withColumn("updated_at", F.col("first_seen_at"))
+    now, day = instant("2000-01-01 00:00:00"), "2000-01-01"
+    first = passes.daily_pass(state, ledger, posts, day, now)
+    sent = materialize(ledger.receipts())
+    second = passes.daily_pass(state, ledger, posts, day, now)
+    pairs = [(name, state.read(name, first), state.read(name, second)) for name in passes.KEYS] + [("receipts", sent, ledger.receipts())]
+    count = lambda df, name, n, differences: df.agg(F.lit(name).alias("name"), n.cast("bigint").alias("n"), differences.cast("bigint").alias("differences"))
+    rows, zero = F.count(F.lit(1)), F.lit(0)
+    both = [count(a, name, rows, zero) for name, a, _ in pairs] + [count(review.repeat_differences(a, b), name, zero, rows) for name, a, b in pairs]
+    return reduce(DataFrame.unionByName, both).groupBy("name").agg(F.sum("n").alias("n"), F.sum("differences").alias("differences"))
+
+
+@query("pass_receipts", sql("posts", body=_PASS + """
+    SELECT job_id, n FROM (SELECT 'job-' || sha256('change:' || campaign_id || ':new_campaign')[1:20] AS job_id, 1::BIGINT AS n FROM cp UNION ALL SELECT 'daily-digest-2000-01-02', 1)"""))
+def pass_receipts(t: Tables) -> DataFrame:
+    """A delivery that breaks off after each of its writes and is repeated, with more due by then: one receipt for every job frozen first."""
+    state, ledger = new_state(t)
+    posts = extractions(t).withColumn("updated_at", F.col("first_seen_at"))
+    now, day = instant("2000-01-01 00:00:00"), "2000-01-02"
+    version = passes.daily_pass(state, ledger, posts, day, now, deliver=False)
+    jobs = state.read("jobs", version).where("kind = 'announcement'")
+    items = jobs.select("job_id", F.lit(None).cast("string").alias("candidate_id"), "semantic_key", "campaign_id", F.lit(True).alias("campaign_notice"))
+    facts = jobs.select("job_id", F.lit("campaign").alias("entity_id"), F.lit("状态").alias("label"), F.lit("active").alias("value"))
+    covers = jobs.select("job_id", F.concat(F.lit("cand-"), "campaign_id").alias("candidate_id"))
+    texts = covers.select("candidate_id", F.lit("text").alias("public_text"))
+    ledger.freeze(day, items, texts, facts, facts.limit(0).withColumnRenamed("job_id", "candidate_id"), covers)
+    for done in range(4):
+        for step in ledger.steps(day, now)[:done]:
+            step()
+        ledger.freeze(day, items.withColumn("job_id", F.concat("job_id", F.lit("-late"))), texts, facts, facts.limit(0).withColumnRenamed("job_id", "candidate_id"), covers)
+    ledger.settle(day, now)
+    ledger.settle(day, instant("2000-01-03 00:00:00"))
+    held = ledger.facts().select("job_id").join(ledger.read("receipt_covers").select("job_id"), "job_id").withColumn("_held", F.lit(True))
+    rows = ledger.receipts().join(held, "job_id", "left").where("_held or campaign_id is null")
+    return rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def new_state(t: Tables) -> tuple[Snapshots, Ledger]:
+    """An empty state and an empty ledger in the run's folder."""
+    folder = f"{run_folder(t.spark)}/state-{uuid.uuid4().hex}"
+    return Snapshots(t.spark, f"{folder}/tables"), Ledger(t.spark, f"{folder}/ledger")
 
 
 @query("new_jobs", sql("feed", body="SELECT post_id AS job_id FROM feed WHERE published_at >= TIMESTAMP '2024-01-25'"))

@@ -21,11 +21,11 @@ LANE = 256
 #: Tokens of A that are tried for the start of a lane inside a document.
 TRIED = 32
 #: Units of each tokenizer that a worker remembers.
-UNITS_HELD = 250_000
+UNITS_HELD = 120_000
 #: Characters of text that are aligned at a time.
-ALIGNED_CHARS = 500_000
+ALIGNED_CHARS = 250_000
 #: Links and documents of a chunk that shares one table of pairs.
-CHUNK_LINKS, CHUNK_DOCS = 1 << 20, 4096
+CHUNK_LINKS, CHUNK_DOCS = 1 << 19, 4096
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -235,7 +235,7 @@ def link_counts(aligned: DataFrame, links: str = "links") -> DataFrame:
             row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + seq], pa.int64()), pa.ListArray.from_arrays(np.array([0, len(row)], np.int32), row), pa.array([[len(x) for x in found]], pa.list_(pa.int32())),
-                 pa.array([pairs.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([index.astype("<u4").tobytes()], pa.binary())],
+                 pa.array([pairs.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([index.astype("<u2" if len(pairs) <= 1 << 16 else "<u4").tobytes()], pa.binary())],
                 names=["chunk", "rows", "sizes", "pairs", "counts", "index"])
 
         for batch in batches:
@@ -264,8 +264,9 @@ def link_counts(aligned: DataFrame, links: str = "links") -> DataFrame:
         done = []
         for one in chunk.to_batches(max_chunksize=1):
             sizes = one.column("sizes")[0].values.to_numpy().astype(np.int64)
-            got = count[np.frombuffer(one.column("index")[0].as_py(), "<u4")]
             upto = np.cumsum(sizes)
+            index = one.column("index")[0].as_py()
+            got = count[np.frombuffer(index, "<u2" if len(index) == 2 * upto[-1] else "<u4")]
             good = np.r_[0, np.cumsum(got > 0)]
             total = np.r_[0, np.cumsum(np.abs(got, out=got))]
             done.append(pa.table({"row": one.column("rows")[0].values, "n_links": sizes, "n_best": good[upto] - good[upto - sizes], "count_sum": total[upto] - total[upto - sizes]}))

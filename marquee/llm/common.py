@@ -9,7 +9,8 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.session import run_folder
@@ -28,6 +29,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Sent:
+    """An object of this package for all tasks. It goes by value, so that workers need no copy of the package; a task unpacks it once."""
+
+    def __init__(self, spark: SparkSession, thing: object):
+        self._packed, self._thing = spark.sparkContext.broadcast(cloudpickle.dumps(thing)), None
+
+    def __getstate__(self) -> dict[str, object]:
+        return {"_packed": self._packed, "_thing": None}
+
+    @property
+    def value(self) -> object:
+        if self._thing is None:
+            self._thing = cloudpickle.loads(self._packed.value)
+        return self._thing
+
+
 def arrow_map(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict[str, object]], text: str = "text") -> DataFrame:
     """Apply ``work`` to column lists of ``df``, at most CHUNK_CHARS of ``text`` (or one row) at a time."""
 

@@ -12,14 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import arrow_map, held, with_result
+from marquee.llm.common import Sent, arrow_map, held, with_result
 
 #: Name for a text without a letter.
 UNKNOWN = "und"
 #: Documents of each language that training reads (expected number; all of them where there are fewer).
 PER_LANGUAGE = 4000
-#: Languages that a model knows: the ones with most documents. A table of counts has a column for each.
-MOST_LANGUAGES = 64
 #: Cost of a change of language, in nats.
 SWITCH = 15.0
 #: Least share of a language's training words for a script to be one of its own.
@@ -96,11 +94,11 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
     """Learn from the ``text`` and non-null ``lang`` of the ``usable`` rows.
 
     Of every language about ``per_language`` different texts are taken, by a hash of them; copies count once. Runs of characters are counted where the
-    texts lie, summed by Spark, and only the tables of bounded size reach the driver. Without any usable row no language is known.
+    texts lie, summed by Spark, and only the tables reach the driver: 1.3 MB for every language, of which all are learned. Without any usable row no language is known.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     different = rows.select(F.xxhash64("text").alias("text"), "lang").distinct()
-    sizes = {r["lang"]: r["count"] for r in different.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in different.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], [np.zeros((1 << b, 0)) for b in BITS], np.zeros((len(NAMES), 0), bool))
@@ -237,7 +235,7 @@ def identify(docs: DataFrame, model: Model, name: str = "language", keep: list[s
     ``lang`` has the most letters in the best path, ``score`` is its share of them. Texts that are null, empty or without a letter
     are ``und`` with score 0 and no span. Every row gets its result; equal texts get equal ones. Only ``text`` is read.
     """
-    sent, name_of_model = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
+    sent, name_of_model = Sent(docs.sparkSession, model), uuid.uuid4().hex
     span = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
 
     def make() -> Callable[[list[str | None]], pa.Array]:

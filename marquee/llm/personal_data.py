@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import arrow_map, with_result
+from marquee.llm.common import Sent, arrow_map, with_result
 
 KINDS = ["email", "ip", "card", "phone"]
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -342,7 +342,7 @@ def detect(docs: DataFrame, tagger: Tagger | None, name: str = "personal", keep:
 
     Positions are code points. Null and empty texts have no span. Every row gets its result, other columns pass by.
     """
-    held = docs.sparkSession.sparkContext.broadcast(tagger)
+    held = Sent(docs.sparkSession, tagger)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
 
     def rows(spans: list[list[tuple[int, int, int]]]) -> pa.Array:
@@ -370,7 +370,7 @@ def listed(spans: str) -> str:
 
 def masked(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; ``n_chars`` follows. Spans that overlap become one."""
-    held = docs.sparkSession.sparkContext.broadcast(tagger)
+    held = Sent(docs.sparkSession, tagger)
 
     def cover(text: str, spans: list[tuple[int, int, int]]) -> Iterator[str]:
         at = 0

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import CHUNK_CHARS, Remembered, arrow_map, blocks, held
+from marquee.llm.common import CHUNK_CHARS, Remembered, Sent, arrow_map, blocks, held
 
 SPACE = "▁"
 #: No pair: above every rank.
@@ -264,7 +264,7 @@ def encode_decode(docs: DataFrame, model: str, ends: bool = True) -> DataFrame:
     Null and empty texts have no piece, only the begin and end ids. Repeated rows stay, other columns are ignored. The model file is
     read once, on the driver; tasks get its pieces. Words are merged once for all their occurrences in a run of rows.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))
+    vocabulary = Sent(docs.sparkSession, load(model))
 
     def work(c: dict[str, list]) -> dict[str, object]:
         codec = held("piece codec", (model, len(vocabulary.value.pieces)), lambda: Codec(vocabulary.value))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import arrow_map, stage, with_result
+from marquee.llm.common import Sent, arrow_map, stage, with_result
 
 #: Labelled documents of each class that training reads (expected number; all where there are fewer).
 PER_CLASS = 8000
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, marks: DataFrame, per_class: int = PER_CLASS) -> Machin
 
 def score(docs: DataFrame, machine: Machine, name: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``docs`` with ``name``, the score of the whole text (0 to 1). Null and empty texts have the score of no term."""
-    held = docs.sparkSession.sparkContext.broadcast(machine)
+    held = Sent(docs.sparkSession, machine)
 
     def make() -> Callable[[list[str | None]], pa.Array]:
         model = held.value

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import with_result
+from marquee.llm.common import Sent, with_result
 from marquee.llm.decontaminate import LOWER, UPPER
 
 #: Labelled URLs that training reads (expected number; all where there are fewer).
@@ -150,7 +150,7 @@ def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Trees:
 
 def score(pages: DataFrame, model: Trees, name: str = "block_score", keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` of ``pages`` with ``name``, the probability of a block by the row's ``url``. A null URL counts as empty."""
-    held = pages.sparkSession.sparkContext.broadcast(model)
+    held = Sent(pages.sparkSession, model)
 
     def make() -> Callable[[list[str | None]], pa.Array]:
         trees = held.value

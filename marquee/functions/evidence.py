@@ -11,10 +11,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import ArrayType, BooleanType, LongType
 
 from marquee.constants import LOOSE_QUOTE_CHARS, NEGATION_PREFIXES, QUOTE_MARKS
 from marquee.functions.text import col, squeeze
@@ -92,6 +93,32 @@ def aligned(quote: str | None, text: str | None) -> bool:
     return False
 
 
+#: Letters of an anchor, and neighbouring ones of which the least is taken.
+ANCHOR, NEIGHBOURS = 4, 5
+
+
+def anchors_of(text: str | None) -> list[int] | None:
+    """Numbers of the least of every NEIGHBOURS runs of ANCHOR letters; none where there are fewer letters than that takes.
+
+    A quote that :func:`aligned` finds has its letters in a row in the text, so every anchor of the quote is one of the text.
+    """
+    if not text:
+        return None
+    codes = np.frombuffer(_Layout.of(text).letters.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(codes) < ANCHOR + NEIGHBOURS - 1:
+        return None
+    run = np.zeros(len(codes) - ANCHOR + 1, np.uint64)
+    for k in range(ANCHOR):
+        run = (run + codes[k:len(codes) - ANCHOR + 1 + k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        run ^= run >> np.uint64(29)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(run, NEIGHBOURS).min(axis=1)).view(np.int64).tolist()
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def anchors(text: pd.Series) -> pd.Series:
+    return text.map(anchors_of)
+
+
 @F.pandas_udf(BooleanType())
 def _aligned(quote: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([aligned(q, t) for q, t in zip(quote, text)], dtype="boolean")

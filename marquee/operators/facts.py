@@ -9,12 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marquee import constants as C
-from marquee.functions.evidence import quote_matches
+from marquee.functions.evidence import anchors, quote_matches
 from marquee.operators.ranking import positions
 from marquee.session import materialize
 
 #: Groups of one run that a window reads in a row; later slices get what earlier ones hold from one row each.
 SLICE = 4096
+#: Texts of a quote's rarest anchor that are aligned before the others.
+NEWEST = 8
 
 
 def _scope(parts: Column) -> Column:
@@ -210,16 +212,29 @@ def claim_provenance(claims: DataFrame, members: DataFrame) -> DataFrame:
     """Newest member post that contains the quote of a claim; claims no member supports come back with nulls.
 
     claims: group_id, claim_id, quote; members: group_id, obs_id, source_id, content_hash, published_at, text.
-    Copies of one text, told by their content hash, are checked once, with the newest copy standing for them.
+    Copies of one text, told by their content hash, are checked once, with the newest copy standing for them, and so are claims of one
+    quote. A quote meets only the texts that hold the rarest of its anchors (:func:`marquee.functions.evidence.anchors_of`) within the
+    group; ids meet first, and texts are fetched for those pairs. The newest NEWEST of them are aligned, the others only if those fail.
+    Quotes too short for an anchor meet all texts of their group.
     """
     newest = members.groupBy("group_id", "content_hash").agg(F.max(F.struct("published_at", "obs_id", "source_id", "content_hash")).alias("m"))
-    texts = members.select("group_id", "obs_id", "text").join(newest.select("group_id", F.col("m.obs_id").alias("obs_id"), "m"), ["group_id", "obs_id"])
-    # the same quote of a group is looked up once for all claims that carry it
-    quotes = claims.select("group_id", "quote").distinct()
-    hits = quotes.join(texts.select("group_id", "text", "m"), "group_id").where(quote_matches("quote", "text"))
-    found = hits.groupBy("group_id", "quote").agg(F.max("m").alias("m"))
-    best = claims.join(found, ["group_id", "quote"]).select("claim_id", "m.*")
-    return claims.join(best, "claim_id", "left")
+    held = newest.select("group_id", F.col("m.obs_id").alias("obs_id"), "m")
+    texts = materialize(members.select("group_id", "obs_id", "text").join(held, ["group_id", "obs_id"]).select("group_id", "m", "text", anchors("text").alias("anchors")))
+    quotes = materialize(claims.select("group_id", "quote").distinct().withColumn("anchors", anchors("quote")))
+    placed = materialize(texts.select("group_id", "m", F.explode("anchors").alias("anchor")))
+    often = placed.groupBy("group_id", "anchor").agg(F.count(F.lit(1)).alias("n"))
+    asked = quotes.select("group_id", "quote", F.explode("anchors").alias("anchor"))
+    # an anchor that no text of the group has rules its quote out
+    rarest = asked.join(often, ["group_id", "anchor"], "left").groupBy("group_id", "quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("r")).where("r.n > 0")
+    pairs = rarest.select("group_id", "quote", F.col("r.anchor").alias("anchor")).join(placed, ["group_id", "anchor"]).select("group_id", "quote", "m")
+    pairs = materialize(pairs.withColumn("place", F.row_number().over(W.partitionBy("group_id", "quote").orderBy(F.desc("m"))) <= NEWEST))
+    said = texts.select("group_id", "m", "text")
+    best = lambda rows: rows.where(quote_matches("quote", "text")).groupBy("group_id", "quote").agg(F.max("m").alias("m"))
+    first = materialize(best(pairs.where("place").join(said, ["group_id", "m"])))
+    later = best(pairs.where("not place").join(first, ["group_id", "quote"], "left_anti").join(said, ["group_id", "m"]))
+    short = best(quotes.where("anchors is null").select("group_id", "quote").join(said, "group_id"))
+    found = claims.join(first.unionByName(later).unionByName(short), ["group_id", "quote"]).select("claim_id", "m.*")
+    return claims.join(found, "claim_id", "left")
 
 
 def verified_groups(proven: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marquee.functions.evidence import aligned
 from marquee.functions.times import instant
 from marquee.operators import facts as facts_module
 from marquee.operators.consolidation import consolidate_activities, partner_targets
@@ -196,3 +197,33 @@ def test_consolidation_rekeys_only_different_activities(spark):
     assert len(rows) == 3 and {r["campaign_id"] for r in rows} == {"c1"}
     only = redirects.collect()
     assert [(r["campaign_id"], r["old_id"]) for r in only] == [("c2", "b")] and only[0]["new_id"].startswith("activity-")
+
+
+@pytest.mark.parametrize("newest", [8, 1])
+def test_quotes_by_anchors_equal_all_pairs(spark, monkeypatch, newest):
+    """Quotes that are cut, edited, negated or short, in groups of which one holds most texts."""
+    monkeypatch.setattr(facts_module, "NEWEST", newest)
+    rng = random.Random(newest)
+    parts = ["限购两件，", "九月八日开售。", "Doors open at nine", "「每人」一份", " and more words here", "不", "全新周边_上架", "！", "价格 128 元", "same boilerplate line everywhere "]
+    members, claims = [], []
+    for i in range(160):
+        g = "hot" if rng.random() < 0.6 else f"g{i % 5}"
+        members.append((g, f"o{i}", f"s{i}", f"h{rng.randrange(120)}", i % 50, None if i == 3 else "".join(rng.choice(parts) for _ in range(8))))
+    texts = {}
+    members = [(g, o, s, h, d, texts.setdefault((g, h), t)) for g, o, s, h, d, t in members]
+    for i in range(220):
+        g, *_, text = rng.choice(members)
+        text = text or "nothing"
+        a = rng.randrange(max(1, len(text) - 3))
+        quote = text[a:a + rng.choice([2, 6, 12, 30])]
+        if rng.random() < 0.4:
+            quote = quote.replace("，", rng.choice(["", "!", "，，"])).replace("九", rng.choice(["九", "十"]))
+        claims.append((g, f"c{i}", rng.choice([quote, quote, "，。", None]) if i % 9 == 0 else quote))
+    m = spark.createDataFrame(members, "group_id STRING, obs_id STRING, source_id STRING, content_hash STRING, day INT, text STRING").withColumn("published_at", F.timestamp_seconds(F.col("day") * 86400)).drop("day")
+    c = spark.createDataFrame(claims, "group_id STRING, claim_id STRING, quote STRING")
+    best = {}
+    for g, o, s, h, d, t in members:
+        best[g, h] = max(best.get((g, h), (-1,)), (d, o, t))
+    want = {k: max([(d, o) for (gg, _), (d, o, t) in best.items() if gg == g and aligned(q, t)], default=(None, None))[1] for g, k, q in claims}
+    assert {r["claim_id"]: r["obs_id"] for r in facts_module.claim_provenance(c, m).collect()} == want
+    assert sum(v is not None for v in want.values()) > 60 and None in want.values()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from marquee import constants as C
 from marquee.functions.text import lines, not_blank
 from marquee.functions.times import display_time, iso_local, local_day
+from marquee.operators.ranking import positions
 from marquee.session import materialize
 
 CARD = ["campaign_id", "activity_id"]
@@ -113,9 +114,11 @@ def card_sources(items: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def digest_lines(items: DataFrame, activities: DataFrame, actions: DataFrame, venues: DataFrame, sources: DataFrame,
-                 generated_at: Column, zone: str = C.DEFAULT_ZONE) -> DataFrame:
+                 generated_at: Column, zone: str = C.DEFAULT_ZONE, texts: DataFrame | None = None) -> DataFrame:
     """The digest as ordered lines: (card_at, ip_name, card_job, section, line_key, line).
 
+    ``texts`` (job_id, text_key, line) has the lines of notices in order; they follow the summary of their job.
+
     Cards come in the order of their first job by (time or now, name, job id). Sorting by all five
     keys gives the text; it is written by a range-sorted job and never built in one task.
     """
@@ -134,6 +137,9 @@ def digest_lines(items: DataFrame, activities: DataFrame, actions: DataFrame, ve
     reasons = card_reasons(items.withColumn("campaign_notice", F.lit(False)), zone).withColumn("_k", keyed).drop(*CARD).join(
         heads.withColumn("_k", keyed), "_k")
     why = line(reasons, 2, F.concat_ws("-", "first_job", "action_id"), F.col("summary"))
+    if texts is not None:
+        told = items.select("job_id", keyed.alias("_k")).join(texts, "job_id").join(heads.withColumn("_k", keyed), "_k")
+        why = why.unionByName(line(told, 2, F.concat_ws("-", "job_id", F.lit("\uffff"), "text_key"), F.col("line")))
     shown = F.concat_ws(" · ", *[F.when(not_blank(c), F.col(c)) for c in ("province", "city", "name", "address", "online_platform")])
     where = line(inside.join(venues.drop("campaign_id"), "activity_id"), 3, F.col("venue_id"), F.concat(F.lit(C.VENUE_LINE), shown))
     when = lines(F.concat(F.col("title"), F.lit("："), display_time("at", "start_date", zone)),
@@ -145,8 +151,16 @@ def digest_lines(items: DataFrame, activities: DataFrame, actions: DataFrame, ve
     return reduce(DataFrame.unionByName, [title, sub, why, where, does, cited])
 
 
+DIGEST_ORDER = ["card_at", "ip_name", "card_job", "section", "line_key", "line"]
+
+
+def numbered_digest(digest: DataFrame) -> DataFrame:
+    """The digest's lines with ``line_no``, their place in the whole text: a rank within a range of lines plus the lines of the ranges before."""
+    return positions(digest, [], DIGEST_ORDER, "line_no")
+
+
 def write_digest(digest: DataFrame, path: str) -> None:
-    (digest.orderBy("card_at", "ip_name", "card_job", "section", "line_key").select("line").write.mode("overwrite").text(path))
+    digest.orderBy(*DIGEST_ORDER).select("line").write.mode("overwrite").text(path)
 
 
 def freeze_day(items: DataFrame, snapshots: DataFrame, day: Column) -> DataFrame:

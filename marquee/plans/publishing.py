@@ -306,13 +306,43 @@ def _folder(t: Tables) -> str:
     return f"{state_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _land(t: Tables, rows: DataFrame, time: str, block: str | None = None) -> str:
+    """Land rows in files by ranges of ``time`` (no file holds two of ``block``), written by one job; the files' times are in that order, as if they had come one by one."""
+    path = f"{_folder(t)}/landing"
+    writer = rows.repartitionByRange(12, time).sortWithinPartitions(time).write.option("maxRecordsPerFile", "100000")
+    (writer.partitionBy(block) if block else writer).parquet(path)
+    place = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())
+    listed, found = files.listFiles(place, True), []
+    while listed.hasNext():
+        file = listed.next().getPath()
+        if file.getName().startswith("part-"):
+            found.append(file)
+    for k, file in enumerate(sorted(found, key=lambda p: (p.getParent().getName(), p.getName()))):
+        files.setTimes(file, 1_700_000_000_000 + 1000 * k, -1)
+    return path
+
+
 def _event_stream(t: Tables) -> DataFrame:
-    """The events as they land: one file or more for each week, in order of time, and one file to a batch."""
-    path, e = f"{_folder(t)}/landing", t.raw("events")
-    week = F.date_trunc("week", F.col("ts"))
-    for r in e.select(week.alias("w")).distinct().orderBy("w").collect():
-        e.where(week == F.lit(r["w"])).coalesce(1).write.mode("append").parquet(path)
-    return streams.landing(t.spark, path, e.schema, maxFilesPerTrigger="1").withColumn("published_at", F.col("ts").cast("timestamp"))
+    """The events as they land: files in order of time, two to a batch."""
+    e = t.raw("events")
+    return streams.landing(t.spark, _land(t, e, "ts"), e.schema, maxFilesPerTrigger="2").withColumn("published_at", F.col("ts").cast("timestamp"))
+
+
+@query("stream_late", """
+    WITH l AS (SELECT *, epoch(CASE WHEN event_id % 50 = 0 THEN ts + INTERVAL 5 DAY ELSE ts END)::BIGINT // 172800 AS block FROM events),
+    m AS (SELECT block, max(max(ts)) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM l GROUP BY block)
+    SELECT event_id, coalesce(ts < newest - INTERVAL 2 DAY, false) AS late FROM l JOIN m USING (block)""")
+def stream_late(t: Tables) -> DataFrame:
+    """Events land in blocks of two days, every fiftieth five days late: what comes more than two days after its time is kept apart."""
+    at = F.col("ts").cast("timestamp")
+    landed = F.when(F.col("event_id") % 50 == 0, at + F.expr("INTERVAL 5 DAYS")).otherwise(at)
+    e = t.raw("events").select("event_id", at.alias("at"), landed.alias("landed"), F.floor(F.unix_seconds(landed) / 172800).alias("block"))
+    folder, kind = _folder(t), e.schema
+    streams.split_late(streams.landing(t.spark, _land(t, e, "landed", "block"), kind, maxFilesPerTrigger="1").select("event_id", "at"), folder, "at")
+    kind = e.select("event_id", "at").schema
+    rows = streams.drained(t.spark, folder, kind).select("event_id", F.lit(False).alias("late"))
+    return rows.unionByName(streams.late_rows(t.spark, folder, kind).select("event_id", F.lit(True).alias("late")))
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")

@@ -210,6 +210,28 @@ def digest_lines(t: Tables) -> DataFrame:
     return rows.groupBy("card_job", big("section").alias("section"), "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("digest_text", sql(*_JOBS, "venues", body=_DUE + "," + _CARDS + "," + _SOURCES + """,
+    hd AS (SELECT campaign_id, activity_id, min(coalesce(expected_at, TIMESTAMP '1998-06-20 03:00:00')) AS card_at, min({'a': coalesce(expected_at, TIMESTAMP '1998-06-20 03:00:00'), 'n': ip_name, 'j': job_id}) AS f, max(ctitle) AS ctitle FROM cd GROUP BY campaign_id, activity_id),
+    rs AS (SELECT campaign_id, activity_id, told, action_id, min(job_id) AS first_job FROM cd GROUP BY campaign_id, activity_id, kind, told, action_id, expected_at, expected_date),
+    ln AS (SELECT f, 0 AS section, '0' AS k, '【' || coalesce(a.title, ctitle) || '】' AS line FROM hd LEFT JOIN activities a USING (activity_id)
+      UNION ALL SELECT f, 1, '0', ctitle FROM hd JOIN activities a USING (activity_id) WHERE a.title <> ctitle
+      UNION ALL SELECT f, 2, concat_ws('-', first_job, action_id), told FROM hd JOIN rs ON rs.campaign_id = hd.campaign_id AND rs.activity_id IS NOT DISTINCT FROM hd.activity_id
+      UNION ALL SELECT f, 2, job_id || '-' || chr(65535) || '-' || x, 'told ' || x || ' ' || hd.campaign_id FROM hd JOIN cd ON cd.campaign_id = hd.campaign_id AND cd.activity_id IS NOT DISTINCT FROM hd.activity_id, (SELECT unnest(['1', '2']) AS x) WHERE job_id LIKE 'notice-%'
+      UNION ALL SELECT f, 3, venue_id, '地点：' || concat_ws(' · ', v.city, v.name, v.online_platform) FROM hd JOIN venues v USING (activity_id)
+      UNION ALL SELECT f, 4, action_id, concat_ws(chr(10), x.title || '：' || coalesce(strftime(x.at_ + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M'), x.start_date::VARCHAR || '（时刻待公布）', '时间待公布'),
+           CASE WHEN x.end_at IS NOT NULL OR x.end_date IS NOT NULL THEN '截止：' || coalesce(strftime(x.end_at + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M'), x.end_date::VARCHAR || '（时刻待公布）') END, x.rules, x.quantity_limit)
+           FROM hd JOIN actions x USING (activity_id) WHERE NOT cancelled
+      UNION ALL SELECT f, 5, url, '信息依据：' || coalesce(summary, account_name) || ' ' || url FROM hd JOIN src USING (campaign_id))
+    SELECT row_number() OVER (ORDER BY f.a, f.n, f.j, section, k, line) - 1 AS line_no, line FROM ln"""))
+def digest_text(t: Tables) -> DataFrame:
+    """The whole digest in order, with two lines of text for every notice."""
+    items = materialize(_due(t)[0])
+    texts = items.where("campaign_notice").select("job_id", "campaign_id", F.explode(F.array(F.lit("1"), F.lit("2"))).alias("text_key")).select(
+        "job_id", "text_key", F.concat_ws(" ", F.lit("told"), "text_key", "campaign_id").alias("line"))
+    rows = due.digest_lines(items, t.activities(), t.actions(), t.venues(), _sources(t), instant("1998-06-20 03:00:00"), texts=texts)
+    return due.numbered_digest(rows).select("line_no", "line")
+
+
 def _frozen(t: Tables, j: DataFrame) -> DataFrame:
     items = materialize(_due(t, j=j)[0])
     yesterday = items.select("job_id", "candidate_id", "campaign_id", "campaign_notice", "semantic_key").withColumn("delivery_day", F.lit("1998-06-19").cast("date"))
@@ -326,7 +348,14 @@ def _baseline(t: Tables, snapshot: DataFrame) -> DataFrame:
     rows = snapshot.join(t.campaigns().select("campaign_id", "custkey"), "campaign_id").where((F.col("custkey") % 4 != 0) & ~F.col("label").isin("时间", "事项", "已取消"))
     value = F.when(F.col("label") == "规则", "before").when(F.col("label") == "状态", "ended").otherwise(F.col("value"))
     rows = rows.withColumn("value", value).withColumn("receipt_id", F.concat(F.lit("rc-"), "campaign_id"))
-    return notices.baselines(rows.where("custkey % 2 = 0"), rows, rows.withColumn("value", F.lit("never used")))
+    return notices.baselines(rows.where("custkey % 2 = 0"), rows, rows.withColumn("value", F.lit("never used")), _heads(t))
+
+
+def _heads(t: Tables) -> DataFrame:
+    """The receipts that campaigns' readers have seen last; those of every twelfth campaign kept no facts."""
+    c = t.campaigns().withColumn("receipt_id", F.concat(F.lit("rc-"), "campaign_id"))
+    sent = c.select("campaign_id", F.col("receipt_id").alias("job_id"), F.lit("2024-01-01").cast("timestamp").alias("sent_at"), "custkey")
+    return notices.baseline_heads(sent.where("(custkey % 4 <> 0 or custkey % 12 = 0) and custkey % 2 = 0"), c.where("custkey % 4 <> 0").select("campaign_id", "receipt_id"), sent.where("custkey % 4 <> 0"))
 
 
 def _delta(t: Tables, snapshot: DataFrame, base: DataFrame) -> DataFrame:
@@ -368,7 +397,7 @@ def notice_lines(t: Tables) -> DataFrame:
 _STATE = """, fx AS (SELECT campaign_id, '{"key":"' || entity_id || ':' || label || '","value":"' || value || '"}' AS fact FROM ext), st AS (SELECT campaign_id, """ + set_sql("fact", 64) + """ AS state FROM fx GROUP BY 1)"""
 
 
-@query("notice_jobs", sql(*_NOTICE, body=_LINES + _STATE + """, b AS (SELECT DISTINCT campaign_id FROM told), s AS (SELECT DISTINCT campaign_id FROM once)
+@query("notice_jobs", sql(*_NOTICE, body=_LINES + _STATE + """, b AS (SELECT campaign_id FROM campaigns WHERE custkey % 4 <> 0 OR custkey % 12 = 0), s AS (SELECT DISTINCT campaign_id FROM once)
     SELECT 'notice-' || sha256('["' || c.campaign_id || '","' || CASE WHEN b.campaign_id IS NULL THEN '' ELSE 'rc-' || c.campaign_id END || '","' || state || '"]')[1:24] AS job_id, c.campaign_id, CASE WHEN b.campaign_id IS NULL THEN 'announcement' ELSE 'update' END AS kind, CASE WHEN b.campaign_id IS NOT NULL THEN '活动更新' WHEN s.campaign_id IS NOT NULL THEN '新联动' ELSE '新联动：详情待公布' END AS summary
     FROM campaigns c JOIN st USING (campaign_id) LEFT JOIN b USING (campaign_id) LEFT JOIN s USING (campaign_id) WHERE b.campaign_id IS NULL OR s.campaign_id IS NOT NULL"""))
 def notice_jobs(t: Tables) -> DataFrame:
@@ -376,7 +405,7 @@ def notice_jobs(t: Tables) -> DataFrame:
     base = materialize(_baseline(t, snapshot))
     lines = notices.described(_delta(t, snapshot, base), _titles(t))
     sent = t.campaigns().select(F.col("campaign_id").alias("job_id"))
-    return notices.campaign_jobs(t.campaigns().select("campaign_id"), snapshot, base, lines, sent, t.now).select("job_id", "campaign_id", "kind", "summary")
+    return notices.campaign_jobs(t.campaigns().select("campaign_id"), snapshot, _heads(t), lines, sent, t.now).select("job_id", "campaign_id", "kind", "summary")
 
 
 @query("notice_texts", sql(*_NOTICE, body=_LINES + """,

@@ -81,7 +81,8 @@ class _Versions(StatefulProcessor):
 
 def version_changes(posts: DataFrame) -> DataFrame:
     """New and edited versions of posts (obs_id, content_hash, seen_at); unchanged sightings stay silent."""
-    posts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    if posts.isStreaming and "RocksDB" not in (posts.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", None) or ""):
+        posts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # the only store that can hold several states
     return posts.select("obs_id", "content_hash", "seen_at").groupBy("obs_id").transformWithStateInPandas(
         statefulProcessor=_Versions(), outputStructType=VERSION, outputMode="Append", timeMode="None")
 
@@ -97,6 +98,32 @@ def drain(df: DataFrame, folder: str, output_mode: str = "append") -> None:
     query.awaitTermination()
 
 
+def split_late(posts: DataFrame, folder: str, time: str, natural_days: int = 2) -> None:
+    """Keep rows apart that come after their time: those older than ``natural_days`` before the newest row of all earlier batches.
+
+    ``rows`` in ``folder`` gets what is in time, ``late`` the rest, ``marks`` each batch's newest time; all three are folders by batch. A
+    batch looks at the marks of the batches before it only, so one that is repeated after a failure splits its rows as before.
+    """
+    marks = f"{folder}/marks"
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        seen = spark.read.schema("newest TIMESTAMP, batch BIGINT").parquet(marks).where(F.col("batch") < number) if number else None
+        newest = seen.agg(F.max("newest")).first()[0] if seen is not None else None
+        limit = F.lit(newest).cast("timestamp") - F.make_interval(days=F.lit(natural_days)) if newest is not None else F.lit(None).cast("timestamp")
+        in_time = F.coalesce(F.col(time) >= limit, F.lit(True))
+        batch.where(in_time).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        batch.where(~in_time).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        batch.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(f"{marks}/batch={number}")
+
+    each_batch(posts, folder, save)
+
+
+def late_rows(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
+    """What :func:`split_late` kept apart; :func:`drained` reads what came in time."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/late")
+
+
 def drained(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
     """Rows written by :func:`drain`, with the number of their batch."""
     full = f"{schema}, batch BIGINT" if isinstance(schema, str) else T.StructType([*schema.fields, T.StructField("batch", T.LongType())])

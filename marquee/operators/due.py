@@ -174,13 +174,12 @@ def freeze_day(items: DataFrame, snapshots: DataFrame, day: Column) -> DataFrame
 def day_receipts(frozen: DataFrame, receipts: DataFrame, sent_at: Column, day: Column) -> DataFrame:
     """Receipts of exactly the frozen jobs plus the one that closes the day; none when it is closed."""
     closing = F.concat(F.lit("daily-digest-"), day.cast("string"))
-    # one bucket is looked up before anything is built: a closed day gets no receipts
-    closed = not receipts.where((F.col("delivery_day") == day) & (F.col("job_id") == closing)).isEmpty()
+    closed = receipts.where((F.col("delivery_day") == day) & (F.col("job_id") == closing)).select("delivery_day").distinct()
     rows = frozen.select("job_id", "candidate_id", "semantic_key", F.when(F.col("campaign_notice"), F.col("campaign_id")).alias("campaign_id"), "delivery_day")
     end = frozen.select("delivery_day").distinct().select(
         closing.alias("job_id"), F.lit(None).cast("string").alias("candidate_id"), F.concat(F.lit("daily-digest:"), day.cast("string")).alias("semantic_key"),
         F.lit(None).cast("string").alias("campaign_id"), "delivery_day")
-    return rows.unionByName(end).where(F.lit(not closed)).withColumn("sent_at", sent_at).withColumn("channel", F.lit("email"))
+    return rows.unionByName(end).join(closed, "delivery_day", "left_anti").select(*rows.columns).withColumn("sent_at", sent_at).withColumn("channel", F.lit("email"))
 
 
 def send_gate(pending: DataFrame, watched: list[str], final_retry: bool) -> DataFrame:

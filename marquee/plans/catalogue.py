@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marquee.functions import ids
 from marquee.functions.times import instant
 from marquee.operators import additions, assembly, consolidation, facts, matching, merging
+from marquee.operators.reviews import merge_reviews
 from marquee.plans.catalog import query, set_sql
 from marquee.plans.material import big, stamp
 from marquee.plans.stand_ins import Tables
@@ -431,6 +432,39 @@ def open_reviews(t: Tables) -> DataFrame:
     return closed.join(queued, "review_id", "left").select("review_id", F.col("resolved_campaign_id").alias("resolved"), F.coalesce("queued", F.lit(False)).alias("queued"))
 
 
+def review_tables(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders as queued reviews of their customer's name: (reviews, their sources, campaigns, their sources).
+
+    A draft cites its customer's post and a note that orders share; every fifth names a partner, every third is resolved already.
+    """
+    campaigns = t.campaigns()
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    orders = t.raw("orders").select("o_orderkey", F.col("o_custkey").alias("custkey"), "o_orderdate", "o_orderpriority")
+    reviews = orders.join(campaigns.select("custkey", "ip_slug", "ip_name"), "custkey").select(
+        F.concat(F.lit("rev-"), F.lpad(k.cast("string"), 12, "0")).alias("review_id"), F.concat(F.lit("draft-"), (k % 1000).cast("string")).alias("campaign_id"),
+        "ip_slug", "ip_name", F.when(k % 5 == 0, F.col("o_orderpriority")).alias("partner"), F.concat(F.lit("Order "), F.col("o_orderpriority")).alias("title"),
+        F.when(k % 7 == 0, "announced").alias("status"), at.alias("announced_at"), at.alias("first_seen_at"), at.alias("updated_at"), F.lit(1).alias("revision"),
+        F.lit(None).cast("string").alias("redirected_to"), "custkey", F.when(k % 3 == 0, "done").alias("resolved_campaign_id"))
+    cites = lambda *names: F.explode(F.array(*names)).alias("source_id")
+    post, note = F.concat(F.lit("post-"), F.col("custkey").cast("string")), F.concat(F.lit("note-"), (k % 211).cast("string"))
+    cited = orders.where("o_orderkey % 3 <> 0").select(F.concat(F.lit("rev-"), F.lpad(k.cast("string"), 12, "0")).alias("review_id"), cites(post, note), F.sha2("o_orderpriority", 256).alias("content_hash"), F.lit("").alias("summary"))
+    held = campaigns.select("campaign_id", post.alias("source_id"), F.sha2("title", 256).alias("content_hash"), F.lit("stored").alias("summary"))
+    return reviews, cited, campaigns, held
+
+
+@query("merged_reviews")
+def merged_reviews(t: Tables) -> DataFrame:
+    """Every review and the campaign it was merged into, each draft seeing what the ones before it left; tested against the loop."""
+    reviews, cited, campaigns, held = review_tables(t)
+    queued = consolidation.open_reviews(reviews, campaigns)
+    merged, sources, closed, _ = merge_reviews(queued, cited, campaigns, held, t.now)
+    marked = consolidation.close_reviews(reviews, closed.select("review_id", F.col("resolved_campaign_id").alias("campaign_id")))
+    of_campaign = sources.groupBy("campaign_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    state = merged.select("campaign_id", "partner", "title", "status", "revision").join(of_campaign, "campaign_id", "left")
+    return (marked.select("review_id", F.col("resolved_campaign_id").alias("campaign_id")).join(state, "campaign_id", "left")
+            .select("review_id", "campaign_id", "partner", "title", "status", "revision", F.coalesce("n_sources", F.lit(0)).alias("n_sources")))
+
+
 # --- facts --------------------------------------------------------------------------------------
 
 # A group holds what a user's events of three days say; the field is given by the event's number, dates of one activity may turn round.

@@ -1,5 +1,6 @@
 """Tables, sinks, pages, feeds, streams and plan shapes."""
 
+import json
 import io
 from contextlib import redirect_stdout
 
@@ -134,3 +135,12 @@ def test_answers_and_due_buckets(spark):
     assert got[0]["relevant"] is True and got[0]["partner"] == "P" and (got[1] is None or got[1]["relevant"] is None)
     days = spark.sql("SELECT explode(sequence(date'2026-01-01', date'2026-01-05')) AS d")
     assert tables.due_until(days, "d", "2026-01-03").count() == 3
+
+
+def test_forum_texts_that_begin_like_json(spark):
+    """Only content that is JSON from end to end is read as JSON."""
+    content = ["47 Of thend", '"a" b', '{"describe":"x"} tail', '{"describe":" y "}', '"z"', "12", "1, 2", "null", "[1]\n"]
+    rows = [(str(i), json.dumps({"data": {"post": {"post": {"post_id": str(i), "subject": "", "created_at": 1, "content": c}}}})) for i, c in enumerate(content)]
+    landed = spark.createDataFrame(rows, "post_id STRING, payload STRING").selectExpr("'a' AS account_id", "'n' AS account_name", "timestamp'2024-01-01' AS first_seen_at", "payload")
+    got = {r["canonical_content_id"]: r["text"] for r in feeds.forum_posts(landed).collect()}
+    assert [got[str(i)] for i in range(len(content))] == ["47 Of thend", '"a" b', '{"describe":"x"} tail', "y", "z", "", "1, 2", "", ""]

@@ -208,14 +208,14 @@ def invalid_intervals(entities: DataFrame, start: str, end: str) -> DataFrame:
         "problem", F.when(days, "end date precedes start date").otherwise("end precedes start"))
 
 
-def claim_provenance(claims: DataFrame, members: DataFrame) -> DataFrame:
+def claim_provenance(claims: DataFrame, members: DataFrame, signs: bool = False) -> DataFrame:
     """Newest member post that contains the quote of a claim; claims no member supports come back with nulls.
 
     claims: group_id, claim_id, quote; members: group_id, obs_id, source_id, content_hash, published_at, text.
     Copies of one text, told by their content hash, are checked once, with the newest copy standing for them, and so are claims of one
     quote. A quote meets only the texts that hold the rarest of its anchors (:func:`marquee.functions.evidence.anchors_of`) within the
     group; ids meet first, and texts are fetched for those pairs. The newest NEWEST of them are aligned, the others only if those fail.
-    Quotes too short for an anchor meet all texts of their group.
+    Quotes too short for an anchor meet all texts of their group. ``signs``: see :func:`marquee.functions.evidence.quote_matches`.
     """
     newest = members.groupBy("group_id", "content_hash").agg(F.max(F.struct("published_at", "obs_id", "source_id", "content_hash")).alias("m"))
     held = newest.select("group_id", F.col("m.obs_id").alias("obs_id"), "m")
@@ -229,7 +229,7 @@ def claim_provenance(claims: DataFrame, members: DataFrame) -> DataFrame:
     pairs = rarest.select("group_id", "quote", F.col("r.anchor").alias("anchor")).join(placed, ["group_id", "anchor"]).select("group_id", "quote", "m")
     pairs = materialize(pairs.withColumn("place", F.row_number().over(W.partitionBy("group_id", "quote").orderBy(F.desc("m"))) <= NEWEST))
     said = texts.select("group_id", "m", "text")
-    best = lambda rows: rows.where(quote_matches("quote", "text")).groupBy("group_id", "quote").agg(F.max("m").alias("m"))
+    best = lambda rows: rows.where(quote_matches("quote", "text", signs)).groupBy("group_id", "quote").agg(F.max("m").alias("m"))
     first = materialize(best(pairs.where("place").join(said, ["group_id", "m"])))
     later = best(pairs.where("not place").join(first, ["group_id", "quote"], "left_anti").join(said, ["group_id", "m"]))
     short = best(quotes.where("anchors is null").select("group_id", "quote").join(said, "group_id"))

@@ -227,3 +227,12 @@ def test_quotes_by_anchors_equal_all_pairs(spark, monkeypatch, newest):
     want = {k: max([(d, o) for (gg, _), (d, o, t) in best.items() if gg == g and aligned(q, t)], default=(None, None))[1] for g, k, q in claims}
     assert {r["claim_id"]: r["obs_id"] for r in facts_module.claim_provenance(c, m).collect()} == want
     assert sum(v is not None for v in want.values()) > 60 and None in want.values()
+
+
+def test_quotes_of_signs_where_they_are_asked_for(spark):
+    """A lone sign or an empty quote stands in its text only if the caller says so; letters keep their rule."""
+    c = spark.createDataFrame([("g", "dot", "."), ("g", "empty", ""), ("g", "other", "!"), ("g", "word", "B"), ("g", "none", None)], "group_id STRING, claim_id STRING, quote STRING")
+    m = spark.createDataFrame([("g", "o1", "s", "h", "A."), ("g", "o2", "s", "h", "A.")], "group_id STRING, obs_id STRING, source_id STRING, content_hash STRING, text STRING").withColumn("published_at", F.timestamp_seconds(F.lit(0)))
+    found = lambda **k: {r["claim_id"]: r["obs_id"] for r in facts_module.claim_provenance(c, m, **k).collect()}
+    assert found(signs=True) == {"dot": "o2", "empty": "o2", "other": None, "word": None, "none": None}
+    assert set(found().values()) == {None}

@@ -57,14 +57,14 @@ def new_children(additions: DataFrame, activities: DataFrame, posts: DataFrame,
             .drop("_text", "_ok"))
 
 
-def judge_exclusions(exclusions: DataFrame, activities: DataFrame, posts: DataFrame) -> DataFrame:
+def judge_exclusions(exclusions: DataFrame, activities: DataFrame, posts: DataFrame, signs: bool = False) -> DataFrame:
     """Exclusions (campaign_id, activity_id, obs_id, quote, reason) with a problem where unproven.
 
-    ``activities`` are those stored before the run: only they can be excluded.
+    ``activities`` are those stored before the run: only they can be excluded. ``signs``: see :func:`quote_matches`.
     """
     known = activities.select("campaign_id", "activity_id").distinct().withColumn("_known", F.lit(True))
     cited = posts.select("obs_id", F.col("text").alias("_text"))
-    rows = exclusions.join(known, ["campaign_id", "activity_id"], "left").join(cited, "obs_id", "left").withColumn("_ok", quote_matches("quote", "_text"))
+    rows = exclusions.join(known, ["campaign_id", "activity_id"], "left").join(cited, "obs_id", "left").withColumn("_ok", quote_matches("quote", "_text", signs))
     problem = (F.when(~F.coalesce("_ok", F.lit(False)), "invalid scope exclusion evidence")
                .when(F.col("_known").isNull(), "scope exclusion must refer to legacy activity"))
     return rows.withColumn("problem", problem).drop("_text", "_ok", "_known")

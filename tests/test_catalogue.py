@@ -236,3 +236,11 @@ def test_quotes_of_signs_where_they_are_asked_for(spark):
     found = lambda **k: {r["claim_id"]: r["obs_id"] for r in facts_module.claim_provenance(c, m, **k).collect()}
     assert found(signs=True) == {"dot": "o2", "empty": "o2", "other": None, "word": None, "none": None}
     assert set(found().values()) == {None}
+
+
+def test_exclusions_by_a_lone_sign(spark):
+    asked = spark.createDataFrame([("c", "a1", "o", "."), ("c", "a2", "o", "!")], "campaign_id STRING, activity_id STRING, obs_id STRING, quote STRING").withColumn("reason", F.lit("r"))
+    posts = spark.createDataFrame([("o", "A.")], "obs_id STRING, text STRING")
+    judged = lambda **k: {r["activity_id"]: r["problem"] for r in additions.judge_exclusions(asked, asked, posts, **k).collect()}
+    bad = "invalid scope exclusion evidence"
+    assert judged(signs=True) == {"a1": None, "a2": bad} and judged() == {"a1": bad, "a2": bad}

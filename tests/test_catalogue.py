@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions.evidence import aligned
 from marquee.functions.times import instant
+from marquee.operators import additions
 from marquee.operators import facts as facts_module
 from marquee.operators.consolidation import consolidate_activities, partner_targets
 from marquee.operators.facts import judge_updates, latest_facts

@@ -1,7 +1,7 @@
 """Tables, sinks, pages, feeds, streams and plan shapes."""
 
-import json
 import io
+import json
 from contextlib import redirect_stdout
 
 import pytest

@@ -302,14 +302,21 @@ def diagnostics_tail(t: Tables) -> DataFrame:
 
 # --- streams ------------------------------------------------------------------------------------
 
+#: Ranges of time in which a table lands.
+LANDED = 12
+
+
 def _folder(t: Tables) -> str:
     return f"{state_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _land(t: Tables, rows: DataFrame, time: str, block: str | None = None) -> str:
-    """Land rows in files by ranges of ``time`` (no file holds two of ``block``), written by one job; the files' times are in that order, as if they had come one by one."""
+    """Land rows in files by ranges of ``time`` (no file holds two of ``block``), written by one job; the files' times are in that order, as if they had come one by one.
+
+    There are LANDED files at every size, or as many for a block: the batches of a stream grow with the table, not their number.
+    """
     path = f"{_folder(t)}/landing"
-    writer = rows.repartitionByRange(12, time).sortWithinPartitions(time).write.option("maxRecordsPerFile", "100000")
+    writer = rows.repartitionByRange(LANDED, time).sortWithinPartitions(time).write
     (writer.partitionBy(block) if block else writer).parquet(path)
     place = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration())

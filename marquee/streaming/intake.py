@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from marquee.constants import DEFAULT_ZONE
@@ -55,25 +54,21 @@ class _Versions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "content_hash STRING, first_seen_at TIMESTAMP, updated_at TIMESTAMP")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["seen_at", "content_hash"])
-        old = self.seen.get() if self.seen.exists() else None
-        out = []
-        for digest, at in zip(batch["content_hash"], batch["seen_at"]):
-            at = at.to_pydatetime()
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        old, known = self.seen.get(), False
+        last = lambda value: (value is None, value)
+        for row in sorted(rows, key=lambda r: (last(r["seen_at"]), last(r["content_hash"]))):
+            digest, at = row["content_hash"], row["seen_at"]
             if old is None:
                 old, change = (digest, at, None), "new"
             elif old[0] != digest:
                 old, change = (digest, old[1], at), "edited"
             else:
                 continue
-            out.append((key[0], *old, change))
-        if out:
-            self.seen.update(old)
-            frame = pd.DataFrame(out, columns=["obs_id", "content_hash", "first_seen_at", "updated_at", "change"])
-            for name in ("first_seen_at", "updated_at"):
-                frame[name] = pd.to_datetime(frame[name])
-            yield frame
+            known = True
+            yield Row(obs_id=key[0], content_hash=digest, first_seen_at=old[1], updated_at=old[2], change=change)
+        if known:
+            self.seen.update(tuple(old))
 
     def close(self) -> None:
         pass
@@ -83,7 +78,7 @@ def version_changes(posts: DataFrame) -> DataFrame:
     """New and edited versions of posts (obs_id, content_hash, seen_at); unchanged sightings stay silent."""
     if posts.isStreaming and "RocksDB" not in (posts.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", None) or ""):
         posts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # the only store that can hold several states
-    return posts.select("obs_id", "content_hash", "seen_at").groupBy("obs_id").transformWithStateInPandas(
+    return posts.select("obs_id", "content_hash", "seen_at").groupBy("obs_id").transformWithState(
         statefulProcessor=_Versions(), outputStructType=VERSION, outputMode="Append", timeMode="None")
 
 

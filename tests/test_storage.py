@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions.times import instant
+from marquee.plans import publishing
 from marquee.plans.stand_ins import Tables
 from marquee.operators import due
 from marquee.sources import extraction, feeds, pages, registry, sinks, tables
@@ -144,3 +145,20 @@ def test_forum_texts_that_begin_like_json(spark):
     landed = spark.createDataFrame(rows, "post_id STRING, payload STRING").selectExpr("'a' AS account_id", "'n' AS account_name", "timestamp'2024-01-01' AS first_seen_at", "payload")
     got = {r["canonical_content_id"]: r["text"] for r in feeds.forum_posts(landed).collect()}
     assert [got[str(i)] for i in range(len(content))] == ["47 Of thend", '"a" b', '{"describe":"x"} tail', "y", "z", "", "1, 2", "", ""]
+
+
+def test_batches_of_a_stream_do_not_grow_in_number(spark):
+    """A table of any size lands in as many files, in order of time."""
+    rows = spark.range(1_500_000).select("id", F.timestamp_seconds("id").alias("ts"))
+    files = spark.read.parquet(publishing._land(Tables(spark, ""), rows, "ts")).groupBy(F.input_file_name().alias("f")).agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("id").alias("n")).orderBy("lo").collect()
+    assert len(files) == publishing.LANDED and sum(f["n"] for f in files) == 1_500_000
+    assert all(a["hi"] < b["lo"] for a, b in zip(files, files[1:]))
+
+
+def test_stream_versions_without_a_time_or_hash_come_last(spark, tmp_path):
+    land, out = str(tmp_path / "land"), str(tmp_path / "out")
+    rows = spark.createDataFrame([("a", None, "2026-08-30 01:00:00"), ("a", "1", None), ("a", "2", "2026-08-30 01:00:00")], "obs_id STRING, content_hash STRING, t STRING")
+    rows.select("obs_id", "content_hash", F.col("t").cast("timestamp").alias("seen_at")).coalesce(1).write.parquet(land)
+    streams.drain(streams.version_changes(streams.landing(spark, land, "obs_id STRING, content_hash STRING, seen_at TIMESTAMP")), out)
+    got = [(r["content_hash"], r["change"]) for r in streams.drained(spark, out, streams.VERSION).collect()]
+    assert sorted(got, key=str) == sorted([("2", "new"), (None, "edited"), ("1", "edited")], key=str)

@@ -97,7 +97,10 @@ def microblog_posts(payloads: DataFrame, full: DataFrame | None = None, kind: st
         else:
             found = full.select(F.col("post_id").alias(f"{side}_id"), F.col("full_text").alias(f"{side}_full"),
                                 F.col("full_links").alias(f"{side}_links"))
-            rows = rows.withColumn(f"{side}_want", wanted).join(found, F.col(f"{side}_want") == F.col(f"{side}_id"), "left")
+            # posts that want no text are dealt by their content: as one null key they would all go to one task
+            own = F.xxhash64("p.id", "p.created_at", "p.text").cast("string")
+            rows = rows.withColumn(f"{side}_want", wanted).withColumn(f"{side}_key", F.coalesce(f"{side}_want", own))
+            rows = rows.join(found, (F.col(f"{side}_key") == F.col(f"{side}_id")) & F.col(f"{side}_want").isNotNull(), "left")
     p, r = F.col("p"), F.col("r")
     repost = strip_markup(_raw_text(r, F.col("r_full")))
     rows = (rows

@@ -162,3 +162,20 @@ def test_stream_versions_without_a_time_or_hash_come_last(spark, tmp_path):
     streams.drain(streams.version_changes(streams.landing(spark, land, "obs_id STRING, content_hash STRING, seen_at TIMESTAMP")), out)
     got = [(r["content_hash"], r["change"]) for r in streams.drained(spark, out, streams.VERSION).collect()]
     assert sorted(got, key=str) == sorted([("2", "new"), (None, "edited"), ("1", "edited")], key=str)
+
+
+def test_posts_that_want_no_long_text_do_not_meet_in_one_task(spark):
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        post = "named_struct('card_type', 9, 'mblog', named_struct('id', string(id), 'created_at', 'Mon Jan 01 20:00:00 +0800 2024', 'text', 'body', 'isLongText', id % 10 = 0))"
+        landed = spark.range(2000).selectExpr("'a' AS account_id", "'n' AS account_name", "timestamp'2024-01-01' AS first_seen_at", f"to_json(named_struct('data', named_struct('cards', array({post})))) AS payload")
+        full = feeds.long_texts(spark.range(0, 2000, 20).selectExpr("string(id) AS post_id", "to_json(named_struct('data', named_struct('longTextContent', 'full'))) AS payload"))
+        posts = feeds.microblog_posts(landed, full)
+        assert max(r["n"] for r in posts.select("text", F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("text").alias("n"), F.max("text")).collect()) < 1000
+        assert {(r["text"], r["problem"]): r["count"] for r in posts.groupBy("text", "problem").count().collect()} == {("body", None): 1800, ("full", None): 100, ("body", "long post content was not found"): 100}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from marquee import constants as C
 from marquee.functions.evidence import anchors, quote_matches
+from marquee.operators.components import components
 from marquee.operators.ranking import positions
 from marquee.session import materialize
 
-#: Groups of one run that a window reads in a row; later slices get what earlier ones hold from one row each.
+#: Groups of one campaign that a window reads in a row; later slices get what earlier ones hold from one row each.
 SLICE = 4096
 #: Texts of a quote's rarest anchor that are aligned before the others.
 NEWEST = 8
@@ -50,17 +51,37 @@ def judge_updates(updates: DataFrame, facts: DataFrame, posts: DataFrame, entiti
     What a row depends on is which earlier rows of its field, its entity's interval and its campaign's sources took effect. All rows are
     judged at once from a first guess of that, and again from the result, until nothing changes. The earliest group is right at once and
     every turn settles at least one more group along every chain of groups that touch each other, so the end is what judging them in
-    order gives; groups that touch nothing in common, and chains in which no group fails, need no turn of their own.
+    order gives; groups that touch nothing in common, and chains in which no group fails, need no turn of their own. Campaigns that no
+    group ties to a row that changed are settled: a turn judges only the others again.
     """
     rows = materialize(_sound_rows(updates, facts, posts, entities, campaign_sources))
     sliced = (rows.agg(F.max("_slice")).first()[0] or 0) > 0
+    ties = rows.groupBy("group_id").agg(F.min("campaign_id").alias("low"), F.max("campaign_id").alias("high")).where("low <> high")
+    domain, alone = "campaign_id", ties.isEmpty()
+    if not alone:
+        domain = "_domain"
+        rows = materialize(rows.join(components(rows.select("campaign_id", "group_id").distinct(), "campaign_id", "group_id", domain), "campaign_id"))
+    settled: list[DataFrame] = []
     while True:
-        judged = materialize(_judge_turn(rows, sliced))
-        bad = judged.where("problem is not null").groupBy("group_id").agg(F.lit(False).alias("_ok"))
-        done = judged.join(bad, "group_id", "left").withColumn("group_ok", F.coalesce("_ok", F.lit(True))).withColumn("now", F.col("group_ok") & (F.col("outcome") == "applied"))
-        if done.where("live <> now").isEmpty():
-            return done.select(*updates.columns, "source_id", "content_hash", "cited_at", "old_value", "problem", "outcome", "group_ok")
-        rows = done.withColumn("live", F.col("now")).select(*rows.columns)
+        judged = _judge_turn(rows, sliced)
+        # one deal by campaign and slice serves these as well, where no group and no campaign lies in two of its parts
+        judged = _marked(judged, F.col("problem").isNotNull(), "group_id", "_bad", ["campaign_id", "_slice"] if alone else None)
+        judged = judged.withColumn("group_ok", ~F.col("_bad")).withColumn("now", F.col("group_ok") & (F.col("outcome") == "applied"))
+        done = materialize(_marked(judged, F.col("live") != F.col("now"), domain, "_moved", ["_slice"] if alone and not sliced else None))
+        settled.append(done.where("not _moved").select(*updates.columns, "source_id", "content_hash", "cited_at", "old_value", "problem", "outcome", "group_ok"))
+        moved = done.where("_moved")
+        if moved.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
+        rows = moved.withColumn("live", F.col("now")).select(*rows.columns)
+
+
+def _marked(rows: DataFrame, test: Column, key: str, name: str, within: list[str] | None) -> DataFrame:
+    """``rows`` with a column that is true on all rows of a key if the test holds on one of them; the keys of ``within`` deal the rows already."""
+    if within is not None:
+        return rows.withColumn(name, F.bool_or(test).over(W.partitionBy(*within, key)))
+    rows = materialize(rows)
+    hit = rows.where(test).select(key).distinct().withColumn(name, F.lit(True))
+    return rows.join(hit, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def _sound_rows(updates: DataFrame, facts: DataFrame, posts: DataFrame, entities: DataFrame, campaign_sources: DataFrame | None) -> DataFrame:
@@ -70,19 +91,21 @@ def _sound_rows(updates: DataFrame, facts: DataFrame, posts: DataFrame, entities
         "_entity", F.when(F.size("_parts") > 1, F.element_at("_parts", -2))).withColumn("_field", F.element_at("_parts", -1))
     repeated = updates.groupBy("group_id", "campaign_id", "field_path").agg((F.count(F.lit(1)) > 1).alias("_repeated"))
     cited = posts.select("obs_id", "source_id", "content_hash", F.col("published_at").alias("cited_at"), F.col("text").alias("_text"))
+    # the quote is looked up where the text is met, so that texts do not go through the joins after it
+    rows = rows.join(cited, "obs_id", "left").withColumn("_quoted", F.coalesce(quote_matches("quote", "_text"), F.lit(False))).drop("_text")
     nested = "parent_id" in entities.columns
     inside = F.coalesce("parent_id", F.lit("")) if nested else F.lit("")
     known = entities.select("campaign_id", F.col("entity_id").alias("_entity"), inside.alias("_parent")).distinct().withColumn("_known", F.lit(True))
     rows = rows.withColumn("_parent", F.when((F.size("_parts") == 5) & F.lit(nested), F.try_element_at("_parts", F.lit(2))).otherwise(""))
     stored = facts.select("campaign_id", "field_path", F.col("value").alias("stored_value"), F.col("published_at").alias("proven_at"))
-    rows = (rows.join(repeated, ["group_id", "campaign_id", "field_path"]).join(cited, "obs_id", "left")
+    rows = (rows.join(repeated, ["group_id", "campaign_id", "field_path"])
             .join(known, ["campaign_id", "_entity", "_parent"], "left").join(stored, ["campaign_id", "field_path"], "left"))
     newest = F.lit(None).cast("timestamp")
     if campaign_sources is not None:
         rows = rows.join(campaign_sources.groupBy("campaign_id").agg(F.max("published_at").alias("_newest")), "campaign_id", "left")
         newest = F.col("_newest")
     status_ok = (F.col("_field") != "status") | F.col("value").isin(C.EDITABLE_STATUS)
-    faults = [("repeated", F.col("_repeated")), ("quote", ~F.coalesce(quote_matches("quote", "_text"), F.lit(False))), ("null", F.col("value").isNull()),
+    faults = [("repeated", F.col("_repeated")), ("quote", ~F.col("_quoted")), ("null", F.col("value").isNull()),
               ("target", F.col("_scope").isNull()), ("entity", F.col("_entity").isNotNull() & F.col("_known").isNull()),
               ("field", ~_editable(F.col("_scope"), F.col("_field"))), ("status", ~status_ok)]
     fault = F.coalesce(*[F.when(test, C.FACT_PROBLEMS[name]) for name, test in faults])
@@ -94,10 +117,13 @@ def _sound_rows(updates: DataFrame, facts: DataFrame, posts: DataFrame, entities
     rows = rows.withColumn("_owner", owner).join(bounds, ["campaign_id", "_owner"], "left")
     rows = materialize(rows.select(*updates.columns, "source_id", "content_hash", "cited_at", "stored_value", "proven_at", newest.alias("newest"),
                                    fault.alias("fault"), "_field", "_owner", "bounds"))
-    groups = rows.groupBy("group_id").agg(F.max("cited_at").alias("_at"), F.bool_and(F.col("fault").isNull()).alias("sound"))
-    placed = positions(groups, [], ["_at", "group_id"], "seq").select("group_id", "sound", "seq")
+    # a group's place is counted in each campaign that it touches: only groups of one campaign meet
+    whole = W.partitionBy("group_id")
+    groups = rows.groupBy("campaign_id", "group_id").agg(F.max("cited_at").alias("_at"), F.bool_and(F.col("fault").isNull()).alias("sound"))
+    groups = groups.withColumns({"_at": F.max("_at").over(whole), "sound": F.bool_and("sound").over(whole)})
+    placed = positions(groups, ["campaign_id"], ["_at", "group_id"], "seq").select("campaign_id", "group_id", "sound", "seq")
     first = F.col("sound") & ~F.coalesce((F.col("value") == F.col("stored_value")) | (F.col("cited_at") <= F.col("proven_at")), F.lit(False))
-    return rows.join(placed, "group_id").withColumn("_slice", F.floor(F.col("seq") / SLICE)).withColumn("live", first)
+    return rows.join(placed, ["campaign_id", "group_id"]).withColumn("_slice", F.floor(F.col("seq") / SLICE)).withColumn("live", first)
 
 
 def _before(rows: DataFrame, keys: list[str], found: dict[str, Column], sliced: bool) -> DataFrame:
@@ -106,7 +132,7 @@ def _before(rows: DataFrame, keys: list[str], found: dict[str, Column], sliced:
     A key of any size is read slice by slice of SLICE groups; one row for each slice carries what the earlier slices hold.
     """
     inside = W.partitionBy(*keys, "_slice").orderBy("seq").rangeBetween(W.unboundedPreceding, -1)
-    if not sliced:  # all groups are in the first slice
+    if not sliced:  # all groups of every campaign are in its first slice
         return rows.withColumns({n: F.max(c).over(inside) for n, c in found.items()})
     ahead = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = rows.groupBy(*keys, "_slice").agg(*[F.max(c).alias(f"_c_{n}") for n, c in found.items()])

@@ -183,6 +183,20 @@ def test_two_groups_that_only_together_turn_an_interval(spark):
     assert {k[0]: v for k, v in got.items()} == {"g1": ("applied", None, True), "g2": ("rejected", "end date precedes start date", False)}
 
 
+def test_groups_over_several_campaigns_and_turns_of_what_changed(spark, monkeypatch):
+    """a fails, so b of two campaigns stands, so c fails; a campaign without such a chain is judged once. Slices are counted in a campaign."""
+    q, turns = "限购两件", []
+    judge = facts_module._judge_turn
+    monkeypatch.setattr(facts_module, "SLICE", 3)
+    monkeypatch.setattr(facts_module, "_judge_turn", lambda rows, sliced: turns.append((sliced, {r.campaign_id for r in rows.select("campaign_id").collect()})) or judge(rows, sliced))
+    got = judged(spark, [("a", "c", "title", "t", "p4", q), ("a", "c", "activities.a1.start_date", "2026-03-01", "p4", q), ("b", "c", "title", "u", "p4", q), ("b", "d", "partner", "x", "p4", q), ("c", "d", "partner", "y", "p4", q),
+                         ("k", "e", "title", "t", "p2", q), ("l", "e", "title", "u", "p3", q)], [("c", "activities.a1.end_date", "2026-02-01", 1)])
+    assert {(k[0], k[1]): v[::2] for k, v in got.items()} == {
+        ("a", "title"): ("applied", False), ("a", "activities.a1.start_date"): ("rejected", False), ("b", "title"): ("applied", True), ("b", "partner"): ("applied", True), ("c", "partner"): ("rejected", False),
+        ("k", "title"): ("applied", True), ("l", "title"): ("applied", True)}
+    assert [sliced for sliced, _ in turns] == [False] * len(turns) and turns[0][1] == {"c", "d", "e"} and all(held == {"c", "d"} for _, held in turns[1:]) and len(turns) > 2
+
+
 def test_latest_facts_mark_ties(spark):
     rows = spark.createDataFrame([("c", "f", "a", 1), ("c", "f", "b", 2), ("c", "g", "a", 3), ("c", "g", "b", 3)], "campaign_id STRING, field_path STRING, value STRING, published_at INT")
     got = {r["field_path"]: (r["value"], r["tied"]) for r in latest_facts(rows).collect()}

@@ -63,3 +63,13 @@ def test_second_digest_of_a_day_changes_nothing(spark):
     assert due.day_receipts(frozen, first.select("job_id", "delivery_day"), instant("2026-08-31 15:00:00"), day).count() == 0
     again = due.freeze_day(frozen.withColumn("job_id", F.lit("j2")).drop("delivery_day"), frozen, day)
     assert [r["job_id"] for r in again.collect()] == ["j1"]
+
+
+def test_due_jobs_deal_only_the_points_they_name(spark):
+    """Points of activities that no due job names leave where they are made, before the join deals them again."""
+    from marquee.plans import reminders
+    from marquee.plans.stand_ins import Tables
+
+    items, _ = reminders._due(Tables(spark, "/root/testdata/sf0.001"))
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[:plan.index("Window")]

@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from marquee.functions.times import instant
+from marquee.operators import reviews
 from marquee.operators.reviews import merge_reviews, settle_reviews
 from reviews_loop import loop_reviews
 
@@ -68,3 +69,21 @@ def test_no_reviews(spark):
     reviews, cited, campaigns, sources = frames(spark, *made)
     stored, held, closed, conflicts = merge_reviews(reviews.where("false"), cited.where("false"), campaigns, sources, F.lit(NOW).cast("timestamp"))
     assert stored.count() == 3 and held.count() == sources.count() and closed.isEmpty() and conflicts.isEmpty()
+
+
+def test_guesses_do_not_multiply(spark, monkeypatch):
+    """Drafts of different partners want one id: no table of a guess may grow with the square of their number."""
+    rows, kept = [], reviews.materialize
+
+    def counted(frame):
+        out = kept(frame)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(reviews, "materialize", counted)
+    n, campaigns = 150, [("c", "other", None, "t", None, None, AT, AT, 1, None)]
+    drafts = [(f"r{i:03}", "n", "a", f"p{i}", "t", None, None, AT, AT, 1, None, None) for i in range(n)]
+    cited = [(f"r{i:03}", f"s{i}", "h", "") for i in range(n)]
+    out = settle_reviews(*frames(spark, campaigns, [("c", "s", "h", "")], drafts, cited)).collect()
+    assert len({r["campaign_id"] for r in out}) == n and {r["review_id"] for r in out if r["campaign_id"] == "n"} == {"r000"}
+    assert max(rows) < 100 * n

@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles, found by a prefix filter over shingles in order of rarity."""
+"""Near copies by the exact Jaccard similarity of word shingles: proposed by SimHash with multi-index hashing, completed by a prefix filter."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from marquee.llm.common import slices, stage
+from marquee.llm import simhash
+from marquee.llm.common import held, slices, stage
 from marquee.llm.simhash import _hashes
 from marquee.operators.components import components
 
@@ -51,6 +52,7 @@ def _mapped(docs: DataFrame, schema: str, make) -> DataFrame:
     """``make()`` in every task gives the function from (doc ids, texts) to a batch, and one for what comes at the task's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near copies", 0, lambda: None)  # a worker of an earlier stage lets go of its model
         work, close = make()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -61,7 +63,8 @@ def _mapped(docs: DataFrame, schema: str, make) -> DataFrame:
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, node) of every row; and as rows without a node what a task counts: (bucket, n) of buckets common in it, bucket -1 for all."""
+    """(doc_id, node, bits) of every row, ``bits`` its SimHash; and as rows without a node what a task counts: (bucket, n) of buckets common in it,
+    bucket -1 for all."""
     kind = docs.schema["doc_id"].dataType
 
     def make():
@@ -71,20 +74,21 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t, width) for t in texts]
             np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
             nothing = pa.nulls(len(ids), pa.int64())
-            return pa.RecordBatch.from_arrays([ids, pa.array([_node(s) for s in sets], pa.binary()), nothing, nothing], names=["doc_id", "node", "bucket", "n"])
+            return pa.RecordBatch.from_arrays([ids, pa.array([_node(s) for s in sets], pa.binary()), pa.array(simhash.majorities(sets, len(sets))), nothing, nothing],
+                                              names=["doc_id", "node", "bits", "bucket", "n"])
 
         def close() -> Iterator[pa.RecordBatch]:
             often = np.flatnonzero(counts >= max(COMMON, COMMON * counts.mean()))
             k = len(often) + 1
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, ids_kind), pa.nulls(k, pa.binary()), pa.array(np.r_[-1, often]), pa.array(np.r_[counts.sum(), counts[often]])],
-                                             names=["doc_id", "node", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, ids_kind), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(np.r_[-1, often]), pa.array(np.r_[counts.sum(), counts[often]])],
+                                             names=["doc_id", "node", "bits", "bucket", "n"])
 
         return work, close
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     ids_kind = to_arrow_type(kind)
-    return _mapped(docs, f"doc_id {kind.simpleString()}, node binary, bucket bigint, n bigint", make)
+    return _mapped(docs, f"doc_id {kind.simpleString()}, node binary, bits bigint, bucket bigint, n bigint", make)
 
 
 def _common(prints: DataFrame) -> dict[int, int]:
@@ -142,6 +146,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, kind: str) -> DataFram
     bits = docs.sparkSession.sparkContext.broadcast(_marked(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near copies", 0, lambda: None)  # a worker of an earlier stage lets go of its model
         seen: set[bytes] = set()
         for batch in batches:
             h = batch.column("h").to_numpy()
@@ -157,6 +162,18 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, kind: str) -> DataFram
     return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, f"node binary, size int, found array<{kind}>")
 
 
+def _proposed(named: DataFrame) -> DataFrame:
+    """Pairs (a, b) that operator 8 proposes: nodes whose SimHash differs in two bits or fewer, by multi-index hashing.
+
+    A node of the same SimHash is paired with the smallest one of it, and these are paired as their SimHashes are linked: no pairs of copies.
+    """
+    heads = stage(named.groupBy("bits").agg(F.min("node").alias("head")), "heads_of_bits")
+    left, right = (heads.select(F.col("bits").alias(c), F.col("head").alias(f"h{c}")) for c in "ab")
+    far = simhash.links(heads).join(left, "a").join(right, "b").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b"))
+    same = named.join(heads, "bits").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return stage(far.unionByName(same), "proposed")
+
+
 def _roots(links: DataFrame) -> DataFrame:
     """(node, root) of all linked nodes."""
     members = links.select(F.col("b").alias("node"), F.col("a").alias("point")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("point")).distinct())
@@ -188,8 +205,8 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     Texts with equal shingle sets are one node, found by a map-side combined minimum. Two nodes are linked if their exact similarity is
     0.8 or more; no link that joins two groups is lost. Linked nodes share a shingle of their prefixes, so nodes meet only there; what
-    many texts share comes last in the order and is rarely in a prefix. First every node is compared with the smallest node that it
-    meets. Where a shingle's nodes are not all in one group then, all its pairs across groups are compared, or, if there are more than
+    many texts share comes last in the order and is rarely in a prefix. First the pairs that SimHash proposes are compared, and every node with
+    the smallest node that it meets; the rest makes this whole, since two similar sets may differ in many bits. Where a shingle's nodes are not all in one group then, all its pairs across groups are compared, or, if there are more than
     SMALL, all with some of them, four times as many in each turn, until they are one group or every node has been a head. Sizes and places in the prefix
     rule pairs out before any set is fetched; only ids travel. Then two bytes of every shingle are compared, which can rule out but never
     wrongly, and whole sets are made for the rest. Texts without a word are one group, and so are null texts; a null doc_id
@@ -197,14 +214,16 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     prints = stage(_prints(docs, width), "prints")
     of_docs = prints.where("node is not null")
-    named = stage(of_docs.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    named = stage(of_docs.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("bits").alias("bits")), "nodes")
+    proposed = _proposed(named)
     here = W.partitionBy("token")
     at = F.struct("node", "size", "pos")
     first = _index(docs, _common(prints), width).withColumn("at", at).withColumns(
         {"head": F.min("at").over(here), "last": F.max("at").over(here), "n": F.count(F.lit(1)).over(here)})
     met = stage(first.where("head.node <> last.node").where((F.col("n") > 2) | _possible("head", "last")).select("token", "at", "head").distinct(), "met")
 
-    some = met.select("at.node").distinct().join(named, "node").select(F.col("least").alias("doc_id")).distinct()
+    meant = met.select("at.node").union(proposed.select("a")).union(proposed.select("b"))
+    some = meant.distinct().join(named, "node").select(F.col("least").alias("doc_id")).distinct()
     short = stage(_sets(docs, some, width, "smallint"), "short")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -215,7 +234,7 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return stage(_compared(likely, whole), "links")
 
     star = met.where(F.col("at.node") != F.col("head.node")).where(_possible("at", "head")).groupBy(F.col("at.node").alias("b")).agg(F.min("head.node").alias("a"))
-    links = verified(star)
+    links = verified(star.select("a", "b").union(proposed.select("a", "b")).distinct())
     roots, rest, most = _roots(links), met.select("token", "at"), HEADS
     while True:
         placed = stage(rest.withColumn("node", F.col("at.node")).join(roots, "node", "left").select("token", "at", F.coalesce("root", "node").alias("root")), "placed")

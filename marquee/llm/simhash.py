@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,8 +41,13 @@ def _ones(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def _majorities(texts: list[str | None], width: int) -> np.ndarray:
     """The fingerprint of every text, as signed 64-bit numbers."""
-    out = np.zeros(len(texts), np.uint64)
-    held: list[tuple[int, list[int]]] = []
+    return majorities((_hashes(t, width) for t in texts), len(texts))
+
+
+def majorities(found: Iterable[Sequence[int]], n: int) -> np.ndarray:
+    """The fingerprints of ``n`` texts from the hashes of their shingles, as signed 64-bit numbers."""
+    out = np.zeros(n, np.uint64)
+    held: list[tuple[int, Sequence[int]]] = []
     size = 0
 
     def flush() -> None:
@@ -52,12 +59,11 @@ def _majorities(texts: list[str | None], width: int) -> np.ndarray:
         out[[i for i, _ in held]] = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
         held.clear()
 
-    for i, text in enumerate(texts):
-        h = _hashes(text, width)
+    for i, h in enumerate(found):
         if len(h) > BLOCK:  # a very long text is summed block by block
             ones = sum(_ones(np.array(h[k:k + BLOCK], np.uint64), np.array([0])) for k in range(0, len(h), BLOCK))
             out[i] = np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<u8")[0, 0]
-        elif h:
+        elif len(h):
             held.append((i, h))
             size += len(h)
             if size > BLOCK:

@@ -94,3 +94,27 @@ def test_large_bucket_of_several_groups_and_odd_tables(spark, odd, none, monkeyp
     assert near_copies.groups(none).count() == 0 and near_copies.deduplicate(none).count() == 0
     kept = near_copies.deduplicate(odd)
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 6, 7, 8]
+
+
+def test_pairs_come_from_simhash_first(spark, monkeypatch):
+    """Operator 8's hashing proposes pairs: all prints at two bits or fewer are joined, and the groups are built from what it proposes."""
+    rng, seen, proposed = random.Random(8), [], near_copies._proposed
+    core = [f"w{rng.randrange(10 ** 6)}" for _ in range(400)]
+    texts = [" ".join([*core[:k], "other", *core[k + 1:]]) for k in rng.sample(range(400), 30)]
+    texts += [" ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(60)) for _ in range(10)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+
+    def kept(named):
+        seen.append((named.collect(), (out := proposed(named)).collect()))
+        return out
+
+    monkeypatch.setattr(near_copies, "_proposed", kept)
+    assert {r.component_id for r in near_copies.groups(frame).collect() if r.doc_id < 30} == {0}
+    nodes, pairs = seen[0]
+    label = {r.node: r.node for r in nodes}
+    want = dict(label)
+    for links, of in ((pairs, label), ([(a.node, b.node) for a in nodes for b in nodes if bin((a.bits ^ b.bits) & (1 << 64) - 1).count("1") <= 2], want)):
+        for a, b in links:
+            low, high = sorted((of[a], of[b]))
+            of.update({k: low for k, v in of.items() if v == high})
+    assert pairs and label == want

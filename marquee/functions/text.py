@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import string
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,9 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-NAME_NOISE = r"[^0-9A-Za-z㐀-鿿]+"
-# removed by plain replacement first, which spares the pattern most of its matches
-COMMON_MARKS = [" ", "\n", ".", ","]
+# letters and digits one by one: Java looks them up in a table, where it tries ranges in turn
+NAME_NOISE = f"[^{string.digits}{string.ascii_letters}㐀-鿿]+"
 SPACE_EDGES = r"(?U)^\s+|\s+$"
 
 
@@ -23,10 +23,7 @@ def col(value: Column | str) -> Column:
 
 def fold(value: Column | str) -> Column:
     """Keep ASCII letters, digits and CJK ideographs, in lower case; null counts as empty."""
-    text = F.coalesce(col(value), F.lit(""))
-    for mark in COMMON_MARKS:
-        text = F.replace(text, F.lit(mark), F.lit(""))
-    return F.lower(F.regexp_replace(text, NAME_NOISE, ""))
+    return F.lower(F.regexp_replace(F.coalesce(col(value), F.lit("")), NAME_NOISE, ""))
 
 
 def squeeze(value: Column | str) -> Column:
@@ -47,17 +44,16 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def bigrams(value: Column | str) -> Column:
-    """Distinct two-character shingles of the folded text; the whole text when shorter.
+def shingles(folded: Column) -> Column:
+    """Distinct two-character shingles of a folded text, whose characters are single code units; the whole text when shorter."""
+    return (F.when(F.length(folded) == 0, F.array().cast("array<string>"))
+            .when(F.length(folded) <= 2, F.array(folded))
+            .otherwise(F.array_distinct(F.regexp_extract_all(folded, F.lit("(?=(..))"), F.lit(1)))))
 
-    The text is folded and cut into characters once, so the work grows with its length.
-    """
-    pairs = lambda chars: F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.concat(a, b))
-    shingles = lambda chars: (
-        F.when(F.size(chars) == 0, F.array().cast("array<string>"))
-        .when(F.size(chars) <= 2, F.array(F.array_join(chars, "")))
-        .otherwise(F.array_distinct(F.array_compact(pairs(chars)))))
-    return bound(F.filter(F.split(fold(value), ""), lambda c: c != ""), shingles)
+
+def bigrams(value: Column | str) -> Column:
+    """:func:`shingles` of the folded text, which is folded once."""
+    return bound(fold(value), shingles)
 
 
 def jaccard(left: Column, right: Column) -> Column:

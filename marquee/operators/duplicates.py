@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee import constants as C
-from marquee.functions.text import bigrams, fold, jaccard, not_blank
+from marquee.functions.text import fold, jaccard, not_blank, shingles
 from marquee.functions.urls import canonical_url
 from marquee.operators.components import components
 from marquee.operators.ranking import positions
@@ -74,23 +74,23 @@ def verdict(same_id: Column, same_canonical: Column, same_hash: Column, same_tex
 
 def _pair_side(obs: DataFrame, id_name: str, side: str) -> DataFrame:
     urls = F.array_distinct(F.transform(F.coalesce("outbound_urls", F.array().cast("array<string>")), canonical_url))
-    row = F.struct("obs_id", "source_id", "canonical_content_id", "content_hash", "text",
+    row = F.struct("obs_id", "source_id", "canonical_content_id", "content_hash", fold("text").alias("text"),
                    urls.alias("urls"), F.coalesce("media_hashes", F.array().cast("array<string>")).alias("media"))
     return obs.select(F.col("obs_id").alias(id_name), row.alias(side))
 
 
 def pair_verdicts(pairs: DataFrame, obs: DataFrame) -> DataFrame:
-    """Compare the given pairs (left_id, right_id) of posts. Never builds pairs itself."""
+    """Compare the given pairs (left_id, right_id) of posts, whose texts are folded once, before they meet. Never builds pairs itself."""
     both = (pairs.join(_pair_side(obs, "left_id", "l"), "left_id").join(_pair_side(obs, "right_id", "r"), "right_id"))
     l, r = F.col("l"), F.col("r")
-    both = both.withColumn("_media", F.arrays_overlap(l["media"], r["media"])).withColumn("_text", fold(l["text"]) == fold(r["text"]))
+    both = both.withColumn("_media", F.arrays_overlap(l["media"], r["media"])).withColumn("_text", l["text"] == r["text"])
     # shingles are cut only for pairs that share a medium and are not copies
-    close = both.withColumn("_near", F.when(F.col("_media") & ~F.col("_text"), jaccard(bigrams(l["text"]), bigrams(r["text"]))).otherwise(F.lit(0.0)))
+    close = both.withColumn("_near", F.when(F.col("_media") & ~F.col("_text"), jaccard(shingles(l["text"]), shingles(r["text"]))).otherwise(F.lit(0.0)))
     return close.select("left_id", "right_id", *verdict(
         (l["obs_id"] == r["obs_id"]) | (l["source_id"] == r["source_id"]),
         not_blank(l["canonical_content_id"]) & (l["canonical_content_id"] == r["canonical_content_id"]),
         l["content_hash"] == r["content_hash"],
-        F.col("_text") & not_blank(fold(l["text"])),
+        F.col("_text") & not_blank(l["text"]),
         F.arrays_overlap(l["urls"], r["urls"]), F.col("_media"), F.col("_near")))
 
 

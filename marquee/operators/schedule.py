@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from marquee import constants as C
 from marquee.functions.ids import job_key
 from marquee.functions.times import iso_local, local_day, local_midnight
+from marquee.session import materialize
 
 POINT = ["activity_id", "action_id", "kind", "title", "at", "start_date", "is_deadline"]
 
 
-def schedule_points(activities: DataFrame, actions: DataFrame, zone: str = C.DEFAULT_ZONE) -> DataFrame:
+def schedule_points(activities: DataFrame, actions: DataFrame, zone: str = C.DEFAULT_ZONE, wanted: Column | None = None) -> DataFrame:
     """All dated points: open remindable actions, their derived ends, and activity starts and ends.
 
     A day without an hour becomes local midnight here and nowhere else. An activity's own start or
-    end is left out where a point at that instant already plays the same role.
+    end is left out where a point at that instant already plays the same role. With ``wanted``, a condition on ``at``, only points that
+    meet it are made; as roles are compared at one instant, these are the same as without it.
     """
     moment = lambda at, day: F.coalesce(F.col(at), local_midnight(day, zone))
 
@@ -44,6 +46,7 @@ def schedule_points(activities: DataFrame, actions: DataFrame, zone: str = C.DEF
                   "at": moment("end_at", "end_date"), "start_date": F.col("end_date")})
     # actions are read once: an activity's own point stays where no action has one of the same role at that instant
     both_sides = points.withColumn("_own", F.lit(False)).unionByName(extra.withColumn("_own", F.lit(True)))
+    both_sides = both_sides if wanted is None else both_sides.where(wanted)
     alone = F.min("_own").over(W.partitionBy("activity_id", "at", "is_deadline"))
     return both_sides.withColumn("_alone", alone).where("not _own or _alone").select(*POINT)
 
@@ -54,10 +57,15 @@ def wording(kind: Column, title: Column) -> Column:
     return F.concat(prefix.when(kind.isin(C.DEADLINE_KINDS), C.SUMMARY_DEADLINE).otherwise(C.SUMMARY_OTHER), title)
 
 
+def still_open(activities: DataFrame) -> DataFrame:
+    """Activities that are not closed themselves, whatever their campaign is."""
+    return activities.where(~F.col("status").isin(C.CLOSED))
+
+
 def open_activities(activities: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Activities that are open inside campaigns that are open: activity_id, campaign_id."""
     heads = campaigns.where(~F.col("status").isin(C.CLOSED)).select("campaign_id")
-    return activities.where(~F.col("status").isin(C.CLOSED)).select("activity_id", "campaign_id").join(heads, "campaign_id", "left_semi")
+    return still_open(activities).select("activity_id", "campaign_id").join(heads, "campaign_id", "left_semi")
 
 
 def future_jobs(points: DataFrame, owners: DataFrame, now: Column, zone: str = C.DEFAULT_ZONE, remind_day_before: bool = True) -> DataFrame:
@@ -72,6 +80,18 @@ def future_jobs(points: DataFrame, owners: DataFrame, now: Column, zone: str = C
                        F.col("start_date").alias("expected_date"), key.alias("semantic_key"), wording(F.col("kind"), F.col("title")).alias("summary"))
 
 
+def coming_points(activities: DataFrame, actions: DataFrame, now: Column, zone: str = C.DEFAULT_ZONE) -> DataFrame:
+    """The points of :func:`schedule_points` from which :func:`future_jobs` makes jobs, and perhaps more.
+
+    Those before today are left out before anything is dealt, unless some row has a day to come and an instant that is over: a point counts by its day,
+    but its role is told by its instant.
+    """
+    start = local_midnight(local_day(now, zone), zone)
+    odd = lambda at, day: F.coalesce((F.col(at) < start) & (F.col(day) >= local_day(now, zone)), F.lit(False))
+    strange = reduce(DataFrame.unionByName, [df.where(odd(a, "start_date") | odd("end_at", "end_date")).select(F.lit(1).alias("n")) for df, a in ((activities, "start_at"), (actions, "at"))])
+    return schedule_points(activities, actions, zone, F.col("at") >= start if strange.isEmpty() else None)
+
+
 def change_jobs(changes: DataFrame, zone: str = C.DEFAULT_ZONE) -> DataFrame:
     """Jobs for change records: an announcement for a new campaign, an update otherwise, none for a source."""
     key = F.concat(F.lit("change:"), "semantic_key")
@@ -84,10 +104,11 @@ def change_jobs(changes: DataFrame, zone: str = C.DEFAULT_ZONE) -> DataFrame:
 def reuse_job_ids(desired: DataFrame, stored: DataFrame) -> DataFrame:
     """Keep the id of a stored job for the same point, so its receipt still counts."""
     key = ["activity_id", "action_id", "expected_at", "kind"]
-    old = stored.where("action_id is not null").groupBy(*key).agg(F.min(F.struct("due_date", "job_id", "semantic_key")).alias("_o"))
+    first = F.struct("due_date", "job_id", "semantic_key")
+    # two aggregates, so that who needs the ids alone moves no long keys
+    old = stored.where("action_id is not null").groupBy(*key).agg(F.min(F.struct("due_date", "job_id")).alias("_o"), F.min_by("semantic_key", first).alias("_k"))
     rows = desired.join(old, key, "left")
-    return rows.withColumn("job_id", F.coalesce("_o.job_id", "job_id")).withColumn(
-        "semantic_key", F.coalesce("_o.semantic_key", "semantic_key")).select(*desired.columns)
+    return rows.withColumn("job_id", F.coalesce("_o.job_id", "job_id")).withColumn("semantic_key", F.coalesce("_k", "semantic_key")).select(*desired.columns)
 
 
 def reconcile(desired: DataFrame, stored: DataFrame, manifest: DataFrame, owners: DataFrame) -> DataFrame:
@@ -97,13 +118,14 @@ def reconcile(desired: DataFrame, stored: DataFrame, manifest: DataFrame, owners
     campaign_id) of all stored activities. An obsolete job stays when its activity now belongs to
     another campaign, whose own compile takes it over.
     """
-    wanted = reuse_job_ids(desired, stored)
+    wanted = materialize(reuse_job_ids(desired, stored).select("job_id", "campaign_id"))  # read twice, joined once
     have = stored.select("job_id", F.lit(True).alias("_have"))
     wants = wanted.join(have, "job_id", "left").select(
         "job_id", "campaign_id", F.when(F.col("_have"), "keep").otherwise("add").alias("change"))
     gone = manifest.join(wanted.select("job_id"), "job_id", "left_anti")
-    place = stored.select("job_id", "activity_id").join(owners.select("activity_id", F.col("campaign_id").alias("_owner")), "activity_id")
-    elsewhere = gone.join(place, "job_id").where("_owner <> campaign_id").select("job_id")
+    # what is gone is found first: only that looks for its owner
+    place = gone.join(stored.select("job_id", "activity_id"), "job_id")
+    elsewhere = place.join(owners.select("activity_id", F.col("campaign_id").alias("_owner")), "activity_id").where("_owner <> campaign_id").select("job_id")
     drop = gone.join(elsewhere, "job_id", "left_anti").select("job_id", "campaign_id", F.lit("delete").alias("change"))
     return wants.unionByName(drop)
 
@@ -119,8 +141,14 @@ def reparent(jobs: DataFrame, activities: DataFrame) -> DataFrame:
 
 
 def valid_jobs(jobs: DataFrame, points: DataFrame, owners: DataFrame) -> DataFrame:
-    """Jobs without an action, and jobs whose point still stands at the same instant in an open activity."""
-    live = points.join(owners.select("activity_id"), "activity_id", "left_semi").select(
-        "activity_id", "action_id", F.col("at").alias("expected_at"))
+    """Jobs without an action, and jobs whose point still stands at the same instant in an open activity.
+
+    ``jobs`` is a stored table: it is asked first between which instants its points can lie.
+    """
+    low, high = jobs.where("action_id is not null").agg(F.min("expected_at"), F.max("expected_at")).first()
+    inside = F.col("at").between(F.lit(low), F.lit(high)) if low is not None else F.lit(False)
+    live = points.where(inside).select("activity_id", "action_id", F.col("at").alias("expected_at"))
     free = jobs.where("action_id is null")
-    return free.unionByName(jobs.where("action_id is not null").join(live, ["activity_id", "action_id", "expected_at"], "left_semi").select(*jobs.columns))
+    # jobs meet the points, then owners are asked for the jobs that are left, not for all points
+    stand = jobs.where("action_id is not null").join(live, ["activity_id", "action_id", "expected_at"], "left_semi").join(owners.select("activity_id"), "activity_id", "left_semi")
+    return free.unionByName(stand.select(*jobs.columns))

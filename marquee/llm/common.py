@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +55,7 @@ def arrow_map(df: DataFrame, schema: str, work: Callable[[dict[str, list]], dict
             for part in slices(batch, text):
                 out = work({n: part.column(n).to_pylist() for n in part.schema.names})
                 yield pa.RecordBatch.from_arrays([pa.array(v) if not isinstance(v, pa.Array) else v for v in out.values()], names=list(out))
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -74,6 +77,7 @@ def with_result(docs: DataFrame, name: str, kind: str, make: Callable[[], Callab
         for batch in batches:
             for part in slices(batch, "text", most):
                 yield pa.RecordBatch.from_arrays([part.column("row"), work(part.column("text").to_pylist())], names=["row", "result"])
+        give_back()
 
     done = rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, result {kind}")
     return done.select("row.*", F.col("result").alias(name))
@@ -101,10 +105,20 @@ def held(kind: str, key: object, make: Callable[[], object]) -> object:
     store = sys.__dict__.setdefault("_marquee_held", {})
     if (kind, key) not in store:
         store.clear()
+        give_back()
         store[kind, key] = make()
     return store[kind, key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on through all stages, and neither Python, Arrow nor the C library does so by itself."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
 def crc_mod(doc_id: Column | str, k: int) -> Column:
     """crc32 of the id as text, modulo k; a null id counts as the empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -108,6 +108,7 @@ def fit(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) -> Mo
     picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")]).select("text", number[F.col("lang")].alias("lang")).distinct()
 
     def work(c: dict[str, list]) -> dict[str, object]:
+        held("language counts", 0, lambda: None)  # a worker of an earlier stage lets go of its model
         out: list[np.ndarray] = []
         for k in set(c["lang"]):
             found = [w for t, lang in zip(c["text"], c["lang"], strict=True) if lang == k for w in WORD.findall(t.lower())]

@@ -131,7 +131,7 @@ def _text_at(value: Column, path: str) -> Column:
     return F.when(_kind_of(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
 
 
-def _whole_json(text: Column) -> Column:
+def whole_json(text: Column) -> Column:
     """Text that is JSON from end to end as a variant, else null: Spark's own parser passes over what follows the first value."""
     end = F.sha2(text, 256)
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit('\n,"'), end, F.lit('"]')))
@@ -156,7 +156,7 @@ def forum_posts(payloads: DataFrame, kind: str = "miyoushe", subsite: str = "ys"
     shown = F.flatten(F.transform(ops, lambda o: F.array(_text_at(o["insert"], "$.image"), _text_at(o["insert"], "$.image_url"))))
     linked = F.flatten(F.transform(ops, lambda o: F.array(
         F.when(_kind_of(o["insert"]) == "STRING", o["attributes"]["link"]), _text_at(o["insert"], "$.link"), _text_at(o["insert"], "$.url"))))
-    old = _whole_json(legacy)
+    old = whole_json(legacy)
     plain = F.when(~not_blank(trim_all(legacy)), "").when(old.isNull(), legacy).otherwise(
         F.coalesce(_text_at(old, "$.describe"), _text_at(old, "$"), F.lit("")))
     none = F.array().cast(_EMPTY)

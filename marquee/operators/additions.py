@@ -41,14 +41,14 @@ def unseen(incoming: DataFrame, stored: DataFrame, parent: str, key: str, signat
     return fresh.join(stored.select(parent, signature), [parent, signature], "left_anti")
 
 
-def new_children(additions: DataFrame, activities: DataFrame, posts: DataFrame, collection: str) -> DataFrame:
+def new_children(additions: DataFrame, activities: DataFrame, posts: DataFrame, collection: str, signs: bool = False) -> DataFrame:
     """Additions (activity_id, obs_id, quote, payload) with their id and, where they cannot stand, a problem.
 
-    ``payload`` is the canonical JSON of the new action or venue.
+    ``payload`` is the canonical JSON of the new action or venue. ``signs``: see :func:`quote_matches`.
     """
     known = activities.select("activity_id", "campaign_id").dropDuplicates(["activity_id"])
     cited = posts.select("obs_id", "source_id", F.col("text").alias("_text"))
-    rows = additions.join(known, "activity_id", "left").join(cited, "obs_id", "left").withColumn("_ok", quote_matches("quote", "_text"))
+    rows = additions.join(known, "activity_id", "left").join(cited, "obs_id", "left").withColumn("_ok", quote_matches("quote", "_text", signs))
     identity = F.concat_ws(":", "activity_id", F.lit(collection), "obs_id", "payload")
     bad = F.col("campaign_id").isNull() | ~F.coalesce("_ok", F.lit(False))
     entity = F.concat(F.lit(collection + "-"), ids.digest(identity, 16))

@@ -23,6 +23,6 @@ def odd(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["forum_feed", "quote_alignment"])
+@pytest.mark.parametrize("name", ["forum_feed", "quote_alignment", "new_children"])
 def test_texts_without_words(spark, odd, name):
     assert oracle.compare(contract.queries()[name](spark, odd), oracle.connect(odd), contract.oracle_sql()[name]) is None

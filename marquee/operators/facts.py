@@ -240,27 +240,30 @@ def claim_provenance(claims: DataFrame, members: DataFrame, signs: bool = False)
     claims: group_id, claim_id, quote; members: group_id, obs_id, source_id, content_hash, published_at, text.
     Copies of one text, told by their content hash, are checked once, with the newest copy standing for them, and so are claims of one
     quote. A quote meets only the texts that hold the rarest of its anchors (:func:`marquee.functions.evidence.anchors_of`) within the
-    group; ids meet first, and texts are fetched for those pairs. The newest NEWEST of them are aligned, the others only if those fail.
+    group; hashes of the anchors meet under numbers, and texts are fetched once for those pairs. The newest NEWEST of them are aligned, the others only if those fail.
     Quotes too short for an anchor meet all texts of their group. ``signs``: see :func:`marquee.functions.evidence.quote_matches`.
     """
     newest = members.groupBy("group_id", "content_hash").agg(F.max(F.struct("published_at", "obs_id", "source_id", "content_hash")).alias("m"))
     held = newest.select("group_id", F.col("m.obs_id").alias("obs_id"), "m")
-    texts = materialize(members.select("group_id", "obs_id", "text").join(held, ["group_id", "obs_id"]).select("group_id", "m", "text", anchors("text").alias("anchors")))
-    quotes = materialize(claims.select("group_id", "quote").distinct().withColumn("anchors", anchors("quote")))
-    placed = materialize(texts.select("group_id", "m", F.explode("anchors").alias("anchor")))
-    often = placed.groupBy("group_id", "anchor").agg(F.count(F.lit(1)).alias("n"))
-    asked = quotes.select("group_id", "quote", F.explode("anchors").alias("anchor"))
+    number, key = F.monotonically_increasing_id(), F.xxhash64("group_id", "anchor").alias("key")
+    texts = materialize(members.select("group_id", "obs_id", "text").join(held, ["group_id", "obs_id"]).select(number.alias("t"), "group_id", "m", "text", anchors("text").alias("anchors")))
+    quotes = materialize(claims.select("group_id", "quote").distinct().select(number.alias("q"), "group_id", "quote", anchors("quote").alias("anchors")))
+    asked = quotes.select("q", "group_id", F.explode("anchors").alias("anchor")).select("q", key)
+    placed = materialize(texts.select("t", "group_id", F.explode("anchors").alias("anchor")).select("t", key).join(asked.select("key"), "key", "left_semi"))
     # an anchor that no text of the group has rules its quote out
-    rarest = asked.join(often, ["group_id", "anchor"], "left").groupBy("group_id", "quote").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "anchor")).alias("r")).where("r.n > 0")
-    pairs = rarest.select("group_id", "quote", F.col("r.anchor").alias("anchor")).join(placed, ["group_id", "anchor"]).select("group_id", "quote", "m")
-    pairs = materialize(pairs.withColumn("place", F.row_number().over(W.partitionBy("group_id", "quote").orderBy(F.desc("m"))) <= NEWEST))
-    said = texts.select("group_id", "m", "text")
-    best = lambda rows: rows.where(quote_matches("quote", "text", signs)).groupBy("group_id", "quote").agg(F.max("m").alias("m"))
-    first = materialize(best(pairs.where("place").join(said, ["group_id", "m"])))
-    later = best(pairs.where("not place").join(first, ["group_id", "quote"], "left_anti").join(said, ["group_id", "m"]))
-    short = best(quotes.where("anchors is null").select("group_id", "quote").join(said, "group_id"))
-    found = claims.join(first.unionByName(later).unionByName(short), ["group_id", "quote"]).select("claim_id", "m.*")
-    return claims.join(found, "claim_id", "left")
+    often = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(often, "key", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("r")).where("r.n > 0")
+    pairs = rarest.select("q", F.col("r.key").alias("key")).join(placed, "key").select("q", "t").join(texts.select("t", "m"), "t")
+    pairs = materialize(pairs.select("q", "t", (F.row_number().over(W.partitionBy("q").orderBy(F.desc("m"))) <= NEWEST).alias("place")))
+    short = quotes.where("anchors is null").select("q", "group_id").join(texts.select("t", "group_id"), "group_id").select("q", "t")
+    asks, said = quotes.select("q", "group_id", "quote"), texts.select("t", F.col("group_id").alias("_of"), "m", "text")
+    # keys are hashes, so groups are compared where texts are at hand
+    best = lambda rows: rows.join(asks, "q").join(said, "t").where(F.col("group_id") == F.col("_of")).where(quote_matches("quote", "text", signs)).groupBy("q").agg(F.max("m").alias("m"))
+    found = materialize(best(pairs.where("place").select("q", "t").unionByName(short)))
+    rest = materialize(pairs.where("not place").select("q", "t").join(found, "q", "left_anti"))
+    if not rest.isEmpty():
+        found = found.unionByName(best(rest))
+    return claims.join(found.join(asks, "q").drop("q"), ["group_id", "quote"], "left").select("claim_id", *[c for c in claims.columns if c != "claim_id"], "m.*")
 
 
 def verified_groups(proven: DataFrame) -> DataFrame:

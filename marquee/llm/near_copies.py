@@ -25,6 +25,8 @@ BUCKET_BITS, COMMON = 20, 8
 SMALL, HEADS = 64, 32
 #: Words of the bitmap of wanted documents, as a power of two.
 WORD_BITS = 20
+#: Shingles are counted in 2 ** SKETCH_BITS parts of a set's sketch; a set with more than MOST_SKETCHED shingles has none.
+SKETCH_BITS, MOST_SKETCHED = 7, 32767
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -137,10 +139,15 @@ def _marked(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def sketch(found: np.ndarray) -> np.ndarray | None:
+    """How many shingles of a set begin with each of 2 ** SKETCH_BITS bit patterns: two sets share no more than the smaller counts add up to."""
+    return np.bincount((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int16) if len(found) <= MOST_SKETCHED else None
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, kind: str) -> DataFrame:
-    """(node, size, found) of the documents with the ``wanted`` ids, and of few others whose ids share their bits; a task gives a node's once.
+    """(node, size, found, sketch) of the documents with the ``wanted`` ids, and of few others whose ids share their bits; a task gives a node's once.
 
-    ``found`` has whole hashes (bigint) or the distinct first 16 bits of them (smallint). Texts stay where they are: the bitmap tells which
+    ``found`` has whole hashes (bigint) or the distinct first 16 bits of them (smallint), ``sketch`` the counts of :func:`sketch`. Texts stay where they are: the bitmap tells which
     are needed. A full one would only let more through.
     """
     bits = docs.sparkSession.sparkContext.broadcast(_marked(wanted))
@@ -157,9 +164,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, kind: str) -> DataFram
                 seen.update(new)
                 whole = [s.view(np.int64) if kind == "bigint" else np.unique((s >> np.uint64(48)).astype(np.uint16)).view(np.int16) for s in new.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([len(s) for s in new.values()], pa.int32()),
-                                                  pa.array(whole, pa.list_(pa.int64() if kind == "bigint" else pa.int16()))], names=["node", "size", "found"])
+                                                  pa.array(whole, pa.list_(pa.int64() if kind == "bigint" else pa.int16())),
+                                                  pa.array([sketch(s) for s in new.values()], pa.list_(pa.int16()))], names=["node", "size", "found", "sketch"])
 
-    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, f"node binary, size int, found array<{kind}>")
+    return docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(run, f"node binary, size int, found array<{kind}>, sketch array<smallint>")
 
 
 def _proposed(named: DataFrame) -> DataFrame:
@@ -188,6 +196,14 @@ def _possible(a: str, b: str) -> Column:
     return (down * F.least(*size) >= up * F.greatest(*size)) & ((up + down) * left >= up * (size[0] + size[1]))
 
 
+def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches allow the least similarity, so that whole rows of shingles travel for few pairs only."""
+    left, right = (sets.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    up, down = LEAST
+    most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda n, x: n + x)
+    return pairs.join(right, "b").join(left, "a").where(F.coalesce((up + down) * most >= up * (F.col("na") + F.col("nb")), F.lit(True))).select("a", "b").distinct()
+
+
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets can have the least similarity. With whole hashes this is the exact similarity.
 
@@ -208,7 +224,7 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     many texts share comes last in the order and is rarely in a prefix. First the pairs that SimHash proposes are compared, and every node with
     the smallest node that it meets; the rest makes this whole, since two similar sets may differ in many bits. Where a shingle's nodes are not all in one group then, all its pairs across groups are compared, or, if there are more than
     SMALL, all with some of them, four times as many in each turn, until they are one group or every node has been a head. Sizes and places in the prefix
-    rule pairs out before any set is fetched; only ids travel. Then two bytes of every shingle are compared, which can rule out but never
+    rule pairs out before any set is fetched; only ids travel. Then sketches of a fixed size and two bytes of every shingle are compared, which can rule out but never
     wrongly, and whole sets are made for the rest. Texts without a word are one group, and so are null texts; a null doc_id
     counts last. An empty table gives no rows; other columns are ignored.
     """
@@ -227,8 +243,9 @@ def groups(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     short = stage(_sets(docs, some, width, "smallint"), "short")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Linked pairs: two bytes a shingle rule most pairs out, whole sets decide on the rest."""
-        likely = stage(_compared(pairs, short), "likely")
+        """Linked pairs: sketches rule most pairs out, then two bytes a shingle, and whole sets decide on the rest."""
+        near = stage(_bounded(pairs, short), "near")
+        likely = stage(_compared(near, short), "likely")
         nodes = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
         whole = stage(_sets(docs, nodes.join(named, "node").select(F.col("least").alias("doc_id")), width, "bigint"), "whole")
         return stage(_compared(likely, whole), "links")
